@@ -3,10 +3,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def pearson(a: str, b: str) -> Column:
@@ -36,41 +36,40 @@ def ln_factorial(n: Column) -> Column:
     return F.when(n < 10, F.get(small, n.cast("int"))).otherwise(series)
 
 
-def _beta_tail(t: float, df: float) -> float:
-    """Two-sided Student-t probability by the continued fraction of the beta function."""
-    if not (math.isfinite(t) and df > 0):
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x in (0.0, 1.0):
-        return x
-    flip = x > (a + 1.0) / (a + b + 2.0)
-    if flip:
-        x, a, b = 1.0 - x, b, a
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    tiny, c, d, h = 1e-300, 1.0, 0.0, 1.0
-    for i in range(2000):
-        m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 + term * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + term / c
-        c = c if abs(c) > tiny else tiny
-        h *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    tail = front * (h - 1.0) / a
-    return 1.0 - tail if flip else tail
+def student_t_p(t: Column, df: Column) -> Column:
+    """Two-sided Student-t probability; meant for the few rows of a test table.
+
+    The helper is nested so that it travels with the function and executors
+    need no copy of this package.
+    """
+    def tail(t_value: float, freedom: float) -> float:
+        # Regularised incomplete beta function at df / (df + t^2), a = df / 2, b = 1 / 2.
+        if not (math.isfinite(t_value) and freedom > 0):
+            return float("nan")
+        x, a, b = freedom / (freedom + t_value * t_value), freedom / 2.0, 0.5
+        if x >= 1.0:
+            return 1.0
+        if x <= 0.0:
+            return 0.0
+        swapped = x > (a + 1.0) / (a + b + 2.0)
+        if swapped:
+            x, a, b = 1.0 - x, b, a
+        scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+                         + a * math.log(x) + b * math.log1p(-x)) / a
+        # Continued fraction 1 / (1 + d1 / (1 + d2 / ...)), from the far end.
+        value = 1.0
+        for step in range(400, 0, -1):
+            m = step // 2
+            if step % 2:
+                d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            else:
+                d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            value = 1.0 + d / value
+        part = scale / value
+        return 1.0 - part if swapped else part
 
+    @F.pandas_udf(DoubleType())
+    def p_value(ts: pd.Series, dfs: pd.Series) -> pd.Series:
+        return pd.Series([tail(a, b) for a, b in zip(ts.astype(float), dfs.astype(float))], dtype=float)
 
-@F.pandas_udf("double")
-def student_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value; meant for the few rows of a test table."""
-    return pd.Series(np.vectorize(_beta_tail, otypes=[float])(t.to_numpy(float), df.to_numpy(float)))
+    return p_value(t, df)

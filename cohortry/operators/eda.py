@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,13 +70,23 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataF
 
 
 def correlations(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
-    """Pairs i < j of the correlation matrix, one aggregate for all: ``(a, b, r)``."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ])))
+    """Pairs i < j of the correlation matrix over rows where both are known: ``(a, b, r)``.
+
+    Each row fans out to its pairs, which the map side folds at once into one
+    small buffer per pair.
+    """
+    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("xs"))
+    pairs = values.select("xs", F.posexplode("xs").alias("i", "x")).select(
+        "i", "x", F.posexplode(F.slice("xs", F.col("i") + 2, len(columns))).alias("step", "y")
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    # A constant column gives no correlation; the built-in raises for it.
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return (
+        pairs.filter(both).groupBy("i", "step").agg(pearson("x", "y").alias("r"))
+        .select(F.get(names, F.col("i")).alias("a"),
+                F.get(names, F.col("i") + F.col("step") + 1).alias("b"), "r")
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
@@ -85,7 +94,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATED) -> Da
     upper = correlations(df, columns)
     both = F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("r").alias("r")),
-        F.struct(F.col("b"), F.col("a"), F.col("r")),
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r").alias("r")),
     )
     diagonal = df.agg(*[
         F.when(F.stddev_pop(c) > 0, 1.0).alias(c) for c in columns
@@ -188,7 +197,7 @@ def outcome_by_attributes(df: DataFrame, attributes: Sequence[str], outcome: str
     """
     pairs = [F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("level"))
              for c in attributes]
-    pairs.append(F.struct(F.lit("overall"), F.lit("all")))
+    pairs.append(F.struct(F.lit("overall").alias("attribute"), F.lit("all").alias("level")))
     return (
         df.select(outcome, F.inline(F.array(*pairs))).filter("level is not null")
         .groupBy("attribute", "level")
@@ -230,7 +239,7 @@ def welch_tests(df: DataFrame, attributes: Sequence[str], outcome: str) -> DataF
         ).alias("df"),
         F.try_divide(gap, pooled).alias("cohens_d"),
     )
-    return scored.withColumn("p", student_t_p("t", "df"))
+    return scored.withColumn("p", student_t_p(F.col("t"), F.col("df")))
 
 
 def mask_frequency(df: DataFrame, column: str) -> DataFrame:
@@ -265,8 +274,6 @@ def row_shares(df: DataFrame, row: str, column: str, top: int) -> DataFrame:
 
     Counting comes first, so the choice of rows works on the small table.
     """
-    from pyspark.sql import Window
-
     cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(
         F.count("*").alias("n")
     )

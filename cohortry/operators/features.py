@@ -132,11 +132,11 @@ def reconcile(features: DataFrame, ledger: DataFrame) -> DataFrame:
     )
     a, b = one_row(sums), one_row(book)
     both = ledger.sparkSession.range(1).select(a.alias("a"), b.alias("b"))
-    return both.select(F.inline(F.array(
-        F.struct(F.lit("units").alias("measure"), F.col("a.u").alias("profile"),
-                 F.col("b.u").alias("ledger"), (F.col("a.u") - F.col("b.u")).alias("difference")),
-        F.struct(F.lit("capital"), F.col("a.c"), F.col("b.c"), F.col("a.c") - F.col("b.c")),
-    )))
+    return both.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("measure"), F.col("a")[f].alias("profile"),
+                 F.col("b")[f].alias("ledger"), (F.col("a")[f] - F.col("b")[f]).alias("difference"))
+        for name, f in (("units", "u"), ("capital", "c"))
+    ])))
 
 
 def feature_dictionary(spark: SparkSession) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +29,30 @@ def stack_labels(df: DataFrame, label_columns: dict[object, str], key: str = "k"
 
 def label_moments(df: DataFrame, label: str, columns: Sequence[str],
                   by: Sequence[str] = ()) -> DataFrame:
-    """``(by.., label, feature, n, mean, ss, lo, hi)``; ss is the squared deviation sum."""
-    wide = df.groupBy(*by, label).agg(
-        F.count("*").alias("n"),
-        *[F.struct(F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("ss"),
-                   F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(f"m_{i}")
-          for i, c in enumerate(columns)],
+    """``(by.., label, feature, n, mean, ss, lo, hi)``; ss is the squared deviation sum.
+
+    All columns go through one vector aggregate; they must not hold NULLs.
+    """
+    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in columns]))
+    summary = Summarizer.metrics("mean", "variance", "min", "max").summary(F.col("_v"))
+    wide = df.select(*by, label, vector.alias("_v")).groupBy(*by, label).agg(
+        F.count("*").alias("n"), summary.alias("_s")
     )
-    return wide.select(*by, label, "n", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m_{i}.mean").alias("mean"),
-                 F.col(f"m_{i}.ss").alias("ss"), F.col(f"m_{i}.lo").alias("lo"),
-                 F.col(f"m_{i}.hi").alias("hi"))
-        for i, c in enumerate(columns)
-    ])))
+    names = F.array(*[F.lit(c) for c in columns])
+    parts = [vector_to_array(F.col(f"_s.{f}")) for f in ("mean", "variance", "min", "max")]
+    long = wide.select(*by, label, "n", F.explode(F.arrays_zip(names, *parts)).alias("_z")).select(
+        *by, label, "n", F.col("_z.0").alias("feature"), F.col("_z.1").alias("mean"),
+        (F.col("_z.2") * (F.col("n") - 1)).alias("ss"), F.col("_z.3").alias("lo"), F.col("_z.4").alias("hi"),
+    )
+    return long
 
 
 def feature_separation(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by.., feature, n, labels, ssb, ssw, eta_squared)`` from label moments."""
+    """``(by.., feature, n, smallest, labels, ssb, ssw, eta_squared)`` from label moments."""
     group = Window.partitionBy(*by, "feature")
     grand = F.sum(F.col("n") * F.col("mean")).over(group) / F.sum("n").over(group)
     sums = moments.withColumn("_g", grand).groupBy(*by, "feature").agg(
-        F.sum("n").alias("n"), F.count("*").alias("labels"),
+        F.sum("n").alias("n"), F.min("n").alias("smallest"), F.count("*").alias("labels"),
         F.sum(F.col("n") * (F.col("mean") - F.col("_g")) * (F.col("mean") - F.col("_g"))).alias("ssb"),
         F.sum("ss").alias("ssw"),
         (F.min("lo") == F.max("hi")).alias("constant"),
@@ -66,18 +71,24 @@ def eta_squared(df: DataFrame, label: str, columns: Sequence[str] = BEHAVIOUR_CO
     )
 
 
+def _mean_separation() -> list[Column]:
+    return [
+        F.avg(F.when(F.col("feature").isin(*group), F.col("eta_squared"))).alias(name)
+        for name, group in (("behavioural_separation", BEHAVIOUR_CORE), ("declared_separation", DECLARED))
+    ]
+
+
 def separation(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean eta squared of the behaviour and of the declared columns."""
     columns = list(dict.fromkeys(BEHAVIOUR_CORE + DECLARED))
-    eta = eta_squared(df, label, columns, by)
+    return eta_squared(df, label, columns, by).groupBy(*by).agg(*_mean_separation())
 
-    def mean_of(group: Sequence[str]) -> Column:
-        return F.avg(F.when(F.col("feature").isin(*group), F.col("eta_squared")))
 
-    return eta.groupBy(*by).agg(
-        mean_of(BEHAVIOUR_CORE).alias("behavioural_separation"),
-        mean_of(DECLARED).alias("declared_separation"),
-    )
+def _ratio() -> Column:
+    return F.try_divide(
+        F.try_divide("ssb", F.col("labels") - 1),
+        F.try_divide("inertia", F.col("rows") - F.col("labels")),
+    ).alias("calinski_harabasz")
 
 
 def variance_ratio(df: DataFrame, label: str, columns: Sequence[str],
@@ -87,12 +98,26 @@ def variance_ratio(df: DataFrame, label: str, columns: Sequence[str],
     return parts.groupBy(*by).agg(
         F.max("n").alias("rows"), F.max("labels").alias("labels"),
         F.sum("ssw").alias("inertia"), F.sum("ssb").alias("ssb"),
-    ).select(
-        *by, "rows", "labels", "inertia",
-        F.try_divide(
-            F.try_divide("ssb", F.col("labels") - 1),
-            F.try_divide("inertia", F.col("rows") - F.col("labels")),
-        ).alias("calinski_harabasz"),
+    ).select(*by, "rows", "labels", "inertia", _ratio())
+
+
+def moment_scores(df: DataFrame, label: str, columns: Sequence[str], substance: bool,
+                  k: Column, by: Sequence[str]) -> DataFrame:
+    """Inertia, variance ratio, cluster sizes and separations from one pass."""
+    more = [c for c in dict.fromkeys(BEHAVIOUR_CORE + DECLARED) if c not in columns] if substance else []
+    parts = feature_separation(label_moments(df, label, [*columns, *more], by), by)
+    matrix = F.col("feature").isin(*columns)
+    sums = parts.groupBy(*by).agg(
+        F.max("n").alias("rows"), F.max("labels").alias("labels"), F.min("smallest").alias("smallest"),
+        F.sum(F.when(matrix, F.col("ssw"))).alias("inertia"),
+        F.sum(F.when(matrix, F.col("ssb"))).alias("ssb"),
+        *(_mean_separation() if substance else []),
+    )
+    size = F.when(F.col("labels") < k, F.lit(0).cast("bigint")).otherwise(F.col("smallest"))
+    return sums.select(
+        *by, "inertia", _ratio(), size.alias("min_cluster_size"),
+        (size / F.col("rows")).alias("min_cluster_pct"),
+        *(("behavioural_separation", "declared_separation") if substance else ()),
     )
 
 
@@ -121,8 +146,7 @@ def davies_bouldin(df: DataFrame, label: str, columns: Sequence[str],
     )).alias("t"))
     worst = F.transform("t", lambda i: F.array_max(F.transform(
         F.filter("t", lambda j: j["l"] != i["l"]),
-        lambda j: F.coalesce(F.try_divide(i["s"] + j["s"], _distance(i["c"], j["c"])),
-                             F.when(i["s"] + j["s"] > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))),
+        lambda j: F.coalesce(F.try_divide(i["s"] + j["s"], _distance(i["c"], j["c"])), F.lit(0.0)),
     )))
     mean = F.aggregate(worst, F.lit(0.0), lambda a, x: a + x) / F.size("t")
     return tops.select(*by, mean.alias("davies_bouldin"))

@@ -13,23 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.operators.scalars import one_row, per_group
+from cohortry.operators.scalars import per_group
 
 _ACCURACY = 10000
 _MARGIN = 8.0 / _ACCURACY
 
 
-def _bracket_columns(columns: Sequence[str], probs: Sequence[float]) -> list:
-    out = []
-    for i, c in enumerate(columns):
-        for j, p in enumerate(probs):
-            low, high = p - _MARGIN, p + _MARGIN
-            lo = F.min(c) if low <= 0 else F.percentile_approx(c, low, _ACCURACY)
-            hi = F.max(c) if high >= 1 else F.percentile_approx(c, high, _ACCURACY)
-            out += [lo.alias(f"lo_{i}_{j}"), hi.alias(f"hi_{i}_{j}")]
-    return out
-
-
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -41,62 +30,67 @@ def exact_quantiles(
     ``by`` names one grouping column with few values. NULLs are skipped.
     """
     keys = [by] if by else []
-    base = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    if by:
-        base = base.filter(F.col(by).isNotNull())
-    names = [f"v{i}" for i in range(len(columns))]
-    base = base.toDF(*keys, *names)
-    brackets = base.groupBy(*keys).agg(*_bracket_columns(names, probs))
-    known = per_group(brackets, by)[F.col(by)] if by else one_row(brackets)
-    rows = base.withColumn("_b", known)
-
-    slots = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-
-    def bound(side: str, i: int, j: int):
-        return F.col("_b")[f"{side}_{i}_{j}"]
+    source = df.filter(F.col(by).isNotNull()) if by else df
+    long = source.select(
+        *keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("fi", "v")
+    )
 
-    counted = rows.groupBy(*keys).agg(*[
-        F.struct(
-            F.count(f"v{i}").alias("n"),
-            F.count_if(F.col(f"v{i}") < bound("lo", i, j)).alias("below"),
-            F.max(F.when(F.col(f"v{i}") < bound("lo", i, j), F.col(f"v{i}"))).alias("prev"),
-            F.count_if(F.col(f"v{i}") > bound("hi", i, j)).alias("above"),
-            F.min(F.when(F.col(f"v{i}") > bound("hi", i, j), F.col(f"v{i}"))).alias("next"),
-        ).alias(f"s_{i}_{j}")
-        for i, j in slots
-    ])
-    outside = counted.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("fi"), F.lit(j).alias("pi"), F.lit(float(probs[j])).alias("prob"),
-                 *[F.col(f"s_{i}_{j}")[f].alias(f) for f in ("n", "below", "prev", "above", "next")])
-        for i, j in slots
-    ])))
-    at = (F.col("n") - 1) * F.col("prob")
-    outside = outside.filter("n > 0").select(
-        "*", F.floor(at).alias("r0"), (at - F.floor(at)).alias("frac")
+    edges = [p + s * _MARGIN for p in probs for s in (-1, 1)]
+    inner = [min(max(e, 0.0), 1.0) for e in edges]
+    sketch = long.groupBy(*keys, "fi").agg(
+        F.percentile_approx("v", inner, _ACCURACY).alias("e"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    lo = [F.col("lo") if e <= 0 else F.col("e")[2 * i] for i, e in enumerate(edges[0::2])]
+    hi = [F.col("hi") if e >= 1 else F.col("e")[2 * i + 1] for i, e in enumerate(edges[1::2])]
+    brackets = (
+        sketch.select(*keys, F.struct("fi", F.array(*lo).alias("lo"), F.array(*hi).alias("hi")).alias("b"))
+        .groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    )
+    found = per_group(brackets, by)[F.col(by)]["bs"] if by else brackets.scalar()
+    rows = (
+        long.filter(F.col("v").isNotNull())
+        .withColumn("b", F.get(found, F.col("fi")))
+        .select(*keys, "fi", "v", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     )
 
-    hits = F.array(*[
-        F.when(
-            F.col(f"v{i}").between(bound("lo", i, j), bound("hi", i, j)),
-            F.struct(F.lit(i).alias("fi"), F.lit(j).alias("pi"), F.col(f"v{i}").alias("x")),
+    # What lies outside each bracket.
+    v, slots = F.col("v"), range(len(probs))
+    counted = rows.groupBy(*keys, "fi").agg(F.count("*").alias("n"), *[
+        x for j in slots for x in (
+            F.count_if(v < F.col("lo")[j]).alias(f"below_{j}"),
+            F.max(F.when(v < F.col("lo")[j], v)).alias(f"prev_{j}"),
+            F.count_if(v > F.col("hi")[j]).alias(f"above_{j}"),
+            F.min(F.when(v > F.col("hi")[j], v)).alias(f"next_{j}"),
         )
-        for i, j in slots
     ])
+    outside = counted.select(*keys, "fi", "n", F.inline(F.array(*[
+        F.struct(F.lit(j).alias("pi"), F.lit(float(probs[j])).alias("prob"),
+                 *[F.col(f"{f}_{j}").alias(f) for f in ("below", "prev", "above", "next")])
+        for j in slots
+    ])))
+    exact = (F.col("n") - 1) * F.col("prob")
+    # A position that is whole but for rounding is that rank.
+    at = F.when(F.abs(exact - F.round(exact)) <= 1e-9 + F.col("n") * 1e-14, F.round(exact)).otherwise(exact)
+    outside = outside.select("*", F.floor(at).alias("r0"), (at - F.floor(at)).alias("frac"))
+
+    # What lies inside, sorted.
+    hits = F.array_compact(F.array(*[
+        F.when(v.between(F.col("lo")[j], F.col("hi")[j]), F.lit(j)) for j in slots
+    ]))
     group = [*keys, "fi", "pi"]
-    running = Window.partitionBy(*group).orderBy("x").rowsBetween(
+    running = Window.partitionBy(*group).orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inside = (
-        rows.select(*keys, F.explode(F.array_compact(hits)).alias("h"))
-        .select(*keys, "h.fi", "h.pi", "h.x")
-        .groupBy(*group, "x").agg(F.count("*").alias("cnt"))
+        rows.select(*keys, "fi", "v", F.explode(hits).alias("pi"))
+        .groupBy(*group, "v").agg(F.count("*").alias("cnt"))
         .withColumn("upto", F.sum("cnt").over(running))
     )
 
     def pick(offset: int):
         rank = F.col("r0") + offset
         start = F.col("below") + F.col("upto") - F.col("cnt")
-        here = F.max(F.when((rank >= start) & (rank < F.col("below") + F.col("upto")), F.col("x")))
+        here = F.max(F.when((rank >= start) & (rank < F.col("below") + F.col("upto")), F.col("v")))
         prev = F.max(F.when(rank == F.col("below") - 1, F.col("prev")))
         nxt = F.max(F.when(rank == F.col("n") - F.col("above"), F.col("next")))
         return F.coalesce(here, prev, nxt)
@@ -104,11 +98,12 @@ def exact_quantiles(
     picked = outside.join(inside, group, "left").groupBy(*group, "prob", "frac").agg(
         pick(0).alias("v0"), pick(1).alias("v1")
     )
-    checked = F.coalesce(F.col("v0"), F.raise_error(F.lit("quantile rank not covered")).cast("double"))
-    value = F.when(F.col("frac") > 0, F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac"))
+    missing = F.raise_error(F.lit("quantile rank not covered")).cast("double")
+    step = F.when(F.col("frac") > 0, (F.coalesce("v1", missing) - F.col("v0")) * F.col("frac"))
     feature = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("fi") + 1)
     return picked.select(
-        *keys, feature.alias("feature"), "prob", F.coalesce(value, checked).alias("value")
+        *keys, feature.alias("feature"), "prob",
+        (F.coalesce("v0", missing) + F.coalesce(step, F.lit(0.0))).alias("value"),
     )
 
 

@@ -37,7 +37,7 @@ def fit_kmeans_many(df: DataFrame, ks: Sequence[int], n_init: int, seed: int = S
     def fit(task: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
         k, restart = task
         model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, featuresCol=features,
-                       predictionCol="cluster").fit(df)
+                       predictionCol="_nearest").fit(df)
         return k, model.summary.trainingCost, restart, model
 
     tasks = [(k, r) for k in ks for r in range(n_init)]
@@ -68,33 +68,44 @@ def label_with(df: DataFrame, models: dict[int, KMeansModel], features: str = "f
 # --- scores -------------------------------------------------------------------
 def score_labelings(labelled: DataFrame, columns: Sequence[str], ks: Sequence[int],
                     substance: bool, silhouette: str = "euclidean") -> list[dict]:
-    """All measures for all k at once: one dict per k, in order of k."""
+    """All measures for all k at once: one dict per k, in order of k.
+
+    One pass gives everything that follows from label means and variances;
+    the other measures are independent jobs that run beside it. The results
+    are one row per k.
+    """
     names = {k: f"label_{k}" for k in ks}
-    kept = list(dict.fromkeys(
-        [*columns, *(BEHAVIOUR_CORE + DECLARED if substance else ()), *names.values()]
-    ))
-    stacked = M.stack_labels(labelled.select(*kept), names)
-    by = ["k"]
-    frames = [
-        M.variance_ratio(stacked, "label", columns, by),
-        M.davies_bouldin(stacked, "label", columns, by),
-        M.cluster_sizes(stacked, "label", F.col("k"), by),
-    ]
-    if substance:
-        frames += [M.separation(stacked, "label", by), M.flag_redundancy(stacked, "label", by)]
-    out: dict[int, dict] = {k: {"k": k} for k in ks}
-    for frame in frames:
-        for row in frame.collect():
-            out[row["k"]].update(row.asDict())
-    if silhouette == "euclidean":
-        scores = M.silhouette_score(labelled, columns, {names[k]: k for k in ks})
-        for row in scores.collect():
-            out[int(row["labeling"].split("_")[1])]["silhouette"] = row["silhouette"]
-    elif silhouette == "squared":
-        for k in ks:
-            out[k]["silhouette"] = M.squared_silhouette(labelled, names[k])
-    else:
-        raise ValueError(f"unknown silhouette {silhouette!r}")
+    more = list(dict.fromkeys(BEHAVIOUR_CORE + DECLARED)) if substance else []
+    used = [*columns, *(c for c in more if c not in columns), *names.values()]
+    stacked = M.stack_labels(labelled.select(*used), names)
+
+    def moments() -> list:
+        return M.moment_scores(stacked, "label", columns, substance, F.col("k"), ["k"]).collect()
+
+    def compactness() -> list:
+        return M.davies_bouldin(stacked, "label", columns, ["k"]).collect()
+
+    def redundancy() -> list:
+        return M.flag_redundancy(stacked, "label", ["k"]).collect() if substance else []
+
+    def cohesion() -> list[dict]:
+        if silhouette == "squared":
+            return [{"k": k, "silhouette": M.squared_silhouette(labelled, c)} for k, c in names.items()]
+        if silhouette != "euclidean":
+            raise ValueError(f"unknown silhouette {silhouette!r}")
+        scores = M.silhouette_score(labelled, columns, {c: k for k, c in names.items()}).collect()
+        return [{"k": int(r["labeling"].split("_")[1]), "silhouette": r["silhouette"]} for r in scores]
+
+    tasks = (moments, compactness, redundancy, cohesion)
+    pool = ThreadPool(len(tasks))
+    try:
+        done = pool.map(inheritable_thread_target(labelled.sparkSession)(lambda task: task()), tasks)
+    finally:
+        pool.close()
+    out: dict[int, dict] = {k: {} for k in ks}
+    for rows in done:
+        for row in rows:
+            out[row["k"]].update(row if isinstance(row, dict) else row.asDict())
     return [out[k] for k in ks]
 
 

@@ -172,11 +172,9 @@ def subsample(df: DataFrame, key: str, fraction: float, run: int, seed: int = SE
         return df
     if want == 0:
         return df.limit(0)
-    # The rank want-1 of n values, as the quantile that falls on it exactly.
-    cut = exact_quantiles(drawn.select("_u"), ["_u"], [(want - 1) / (n - 1)] if n > 1 else [0.0])
-    # The rank may miss the value by rounding alone; the middle to the next value is safe.
-    edge = cut.agg(F.max("value").alias("v")).first()["v"]
-    return drawn.filter(F.col("_u") <= edge + 0.5).drop("_u")
+    # The want-th smallest hash is the quantile whose position is a whole rank.
+    edge = exact_quantiles(drawn.select("_u"), ["_u"], [(want - 1) / (n - 1)]).first()["value"]
+    return drawn.filter(F.col("_u") <= edge).drop("_u")
 
 
 def stability_runs(df: DataFrame, columns: Sequence[str], k: int, base_label: str,
