@@ -41,14 +41,10 @@ def labels_changed(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.coalesce(F.sum(per_row), F.lit(0))
 
 
-def _unique_register(raw: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    return keep_first(raw, "client_id", order)
-
-
 def clean_register(raw: DataFrame, order: Sequence[str | Column] = REGISTER_COLUMNS,
                    reference: dt.date = REFERENCE_DATE) -> DataFrame:
     """Typed register with age, flags and full name; one row per client."""
-    rows = tidy_labels(_unique_register(raw, order), REGISTER_LABELS)
+    rows = tidy_labels(keep_first(raw, "client_id", order), REGISTER_LABELS)
     typed = rows.withColumns({
         "date_of_birth": P.mixed_date(F.col("date_of_birth")),
         "satisfaction_score": P.to_whole(F.col("satisfaction_score")).cast("int"),
@@ -149,7 +145,7 @@ def cleaning_report(
     ledger_order: Sequence[str | Column] = LEDGER_COLUMNS,
 ) -> DataFrame:
     """The audit as ``(position, check, value)``, value as text."""
-    first_clients = _unique_register(raw_register, register_order)
+    first_clients = keep_first(raw_register, "client_id", register_order)
     first_listings = keep_first(raw_ledger, "listing_id", ledger_order)
     register = clean_register(raw_register, register_order)
     ledger = clean_ledger(raw_ledger, ledger_order)

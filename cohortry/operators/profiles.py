@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortry.config import (
     FINGERPRINT, PROFILE_MEANS, PROFILE_RATES, SEGMENT_LIBRARY, SEGMENT_ORDER,
 )
-from cohortry.operators.scalars import one_row
+from cohortry.operators.scalars import one_row, per_group
 
 _MEANS = PROFILE_MEANS + PROFILE_RATES
 
@@ -85,7 +85,8 @@ def segment_library(spark: SparkSession) -> DataFrame:
 def attach_segments(df: DataFrame, label: str = "cluster") -> tuple[DataFrame, DataFrame]:
     """Clients with ``segment``, and the profile with name, thesis and strategy.
 
-    ``df`` should be staged. The name table has one row per label.
+    ``df`` should be staged. The names, one per label, are looked up in a map,
+    so the clients are neither joined nor shuffled.
     """
     profile = build_profile(df, label)
     names = name_segments(profile, label)
@@ -94,7 +95,7 @@ def attach_segments(df: DataFrame, label: str = "cluster") -> tuple[DataFrame, D
         profile.join(names, label).join(library, "segment", "left")
         .fillna("", subset=["thesis", "strategy"])
     )
-    return df.join(F.broadcast(names), label, "left"), described
+    return df.withColumn("segment", per_group(names, label)[F.col(label)]["segment"]), described
 
 
 def _overall(df: DataFrame, columns: Sequence[str], f) -> Column:

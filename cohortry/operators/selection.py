@@ -27,7 +27,7 @@ EXPERIMENT_SCHEMA = (
 
 # --- fits ---------------------------------------------------------------------
 def fit_kmeans_many(df: DataFrame, ks: Sequence[int], n_init: int, seed: int = SEED,
-                    max_iter: int = 100, parallelism: int = 8,
+                    max_iter: int = 100, tol: float = 1e-3, parallelism: int = 8,
                     features: str = "features") -> dict[int, KMeansModel]:
     """The cheapest of ``n_init`` fits for every k; ``df`` should be persisted.
 
@@ -36,7 +36,7 @@ def fit_kmeans_many(df: DataFrame, ks: Sequence[int], n_init: int, seed: int = S
     """
     def fit(task: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
         k, restart = task
-        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, featuresCol=features,
+        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=tol, featuresCol=features,
                        predictionCol="_nearest").fit(df)
         return k, model.summary.trainingCost, restart, model
 
