@@ -1,6 +1,7 @@
 """Feature matrices: scaling, one-hot columns and assembly as a saved pipeline."""
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -27,6 +28,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def require_complete(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise when a column that is measured or modelled holds NULLs; rows are never dropped for it."""
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    short = {c: n for c, n in missing.items() if n}
+    if short:
+        raise ValueError(f"values are missing, fill them or fix their source: {short}")
+
+
 def scaling_terms(df: DataFrame, fs: FeatureSet, scaler: str) -> list[tuple[str, str]]:
     """``(name, SQL expression)`` of the scaled numbers; one aggregate of one row.
 

@@ -13,7 +13,7 @@ from cohortry.config import (
     BEHAVIOUR_CORE, BUYER_FLAGS, DECLARED, FEATURE_SETS, K_RANGE, SCALERS, SEED, FeatureSet,
 )
 from cohortry.operators import metrics as M
-from cohortry.operators.matrix import Matrix, build_matrix
+from cohortry.operators.matrix import Matrix, build_matrix, require_complete
 
 INDICES = ("silhouette", "davies_bouldin", "calinski_harabasz")
 EXPERIMENT_SCHEMA = (
@@ -137,6 +137,9 @@ def run_experiment(features: DataFrame, feature_sets: dict[str, FeatureSet] = FE
     Each matrix is persisted once for all its fits and scores; the result has
     one row per configuration.
     """
+    require_complete(features, list(dict.fromkeys(
+        [*BEHAVIOUR_CORE, *DECLARED, *(c for fs in feature_sets.values() for c in fs.numeric)]
+    )))
     rows = []
     for name, fs in feature_sets.items():
         for scaler in scalers:

@@ -3,6 +3,7 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.config import FEATURE_SETS
 from cohortry.operators import reporting as R
@@ -15,14 +16,18 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def done(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
-    views.register_text(spark, SF).write.option("header", True).csv(f"{folder}/register")
+    register = views.register_text(spark, SF).withColumns({
+        # The model needs every age and score, so what cannot be read is mended here.
+        "date_of_birth": F.when(F.col("date_of_birth") == "not known", "1/2/1970").otherwise(F.col("date_of_birth")),
+        "satisfaction_score": F.when(F.col("satisfaction_score") == "none given", "3").otherwise(F.col("satisfaction_score")),
+    })
+    register.write.option("header", True).csv(f"{folder}/register")
     views.ledger_text(spark, SF).drop("line_order").write.option("header", True).csv(f"{folder}/ledger")
     settings = segmentation.Settings(
         feature_sets={n: FEATURE_SETS[n] for n in ("behaviour_core", "behaviour_demo_flags")},
         scalers=("standard", "minmax"), ks=(2, 3, 4), grid_restarts=1, final_restarts=2,
         stability_runs=2, stability_restarts=1, min_cluster_size=5, micro_clusters=40, home_country="NATION_0",
     )
-    # One birth date in 97 cannot be read; the run goes on with the rest.
     summary = segmentation.run(spark, f"{folder}/register", f"{folder}/ledger", f"{folder}/out", settings)
     return f"{folder}/out", summary
 
@@ -64,3 +69,12 @@ def test_report_tables(spark, done, tmp_path):
 def test_missing_tables_say_what_to_do(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="run"):
         readers.read_report_tables(spark, str(tmp_path / "none"))
+
+
+def test_missing_ages_stop_the_search(spark, done):
+    from cohortry.operators.selection import run_experiment
+
+    features = readers.read_features(spark, f"{done[0]}/client_features")
+    gap = features.withColumn("age", F.when(F.col("age") > 30, F.col("age")))
+    with pytest.raises(ValueError, match="age"):
+        run_experiment(gap, {"behaviour_core": FEATURE_SETS["behaviour_core"]}, ("standard",), (2,), n_init=1)
