@@ -39,40 +39,38 @@ def percent_rank_average(column: str, by: Sequence[str] = ()) -> Column:
     return rank / F.count("*").over(whole)
 
 
-def fallback_names(profile: DataFrame, label: str = "cluster") -> DataFrame:
-    """Names from the position on the capital and the ticket scale: ``(label, segment)``."""
-    ranked = profile.select(
-        label,
-        percent_rank_average("total_investment").alias("cap"),
-        percent_rank_average("avg_property_price").alias("tic"),
-    )
-    cap = F.when(F.col("cap") > 0.66, "High").when(F.col("cap") > 0.33, "Mid").otherwise("Low")
-    tic = F.when(F.col("tic") > 0.66, "premium").when(F.col("tic") > 0.33, "mid-ticket").otherwise("value")
-    return ranked.select(label, F.concat(cap, F.lit("-capital "), tic, F.lit(" buyers")).alias("segment"))
+def _fallback(cap: Column, tic: Column) -> Column:
+    capital = F.when(cap > 0.66, "High").when(cap > 0.33, "Mid").otherwise("Low")
+    ticket = F.when(tic > 0.66, "premium").when(tic > 0.33, "mid-ticket").otherwise("value")
+    return F.concat(capital, F.lit("-capital "), ticket, F.lit(" buyers"))
 
 
-def ranked_names(profile: DataFrame, label: str = "cluster") -> DataFrame:
-    """Names of four segments by rank: most units, then highest and lowest ticket, then the rest."""
+def name_segments(profile: DataFrame, label: str = "cluster") -> DataFrame:
+    """``(label, segment)`` for a profile table.
+
+    Four labels get the named roles by rank: most units; of the rest, the
+    highest and the lowest ticket; then what is left. Any other number gets
+    names from the position on the capital and the ticket scale. All of it is
+    window work on one row per label.
+    """
     value, premium, core, accumulator = SEGMENT_ORDER
     table = Window.partitionBy(F.lit(0))
     most = F.row_number().over(table.orderBy(F.desc("total_properties"), label))
-    marked = profile.select(label, "avg_property_price", (most > 1).alias("rest"))
+    marked = profile.select(
+        label, "avg_property_price", (most > 1).alias("rest"), F.count("*").over(table).alias("labels"),
+        percent_rank_average("total_investment").alias("cap"),
+        percent_rank_average("avg_property_price").alias("tic"),
+    )
     high = F.row_number().over(table.orderBy(F.desc("rest"), F.desc("avg_property_price"), label))
     low = F.row_number().over(table.orderBy(F.desc("rest"), "avg_property_price", label))
-    return marked.select(label, "rest", high.alias("high"), low.alias("low")).select(
-        label,
+    ranked = marked.withColumns({"high": high, "low": low})
+    role = (
         F.when(~F.col("rest"), accumulator).when(F.col("high") == 1, premium)
-        .when(F.col("low") == 1, value).otherwise(core).alias("segment"),
+        .when(F.col("low") == 1, value).otherwise(core)
     )
-
-
-def name_segments(profile: DataFrame, label: str = "cluster") -> DataFrame:
-    """``(label, segment)`` for a profile table; four labels get the named roles."""
-    four = profile.agg((F.count("*") == 4).alias("v")).scalar()
-    roles = ranked_names(profile, label).withColumnRenamed("segment", "role")
-    other = fallback_names(profile, label).withColumnRenamed("segment", "other")
-    return roles.join(other, label).select(
-        label, F.when(four, F.col("role")).otherwise(F.col("other")).alias("segment")
+    return ranked.select(
+        label,
+        F.when(F.col("labels") == 4, role).otherwise(_fallback(F.col("cap"), F.col("tic"))).alias("segment"),
     )
 
 
