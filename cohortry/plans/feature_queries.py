@@ -15,7 +15,9 @@ from cohortry.plans.registry import (
 from cohortry.sources import views as V
 
 _MONEY = ("total_investment avg_property_price max_property_price min_property_price "
-          "price_dispersion avg_floor_area total_area avg_price_per_sqft")
+          "avg_floor_area total_area avg_price_per_sqft")
+# Means of cents by a count divisible by 8 end in a 5, so they are compared at six places.
+_PLACES = {**{c: 6 for c in _MONEY.split()}, "price_dispersion": 5}
 _RATIOS = "apartment_share office_share tower_diversity purchase_intensity"
 
 
@@ -28,7 +30,7 @@ def sold_listings(spark, sf_dir):
 
 
 @query("client_purchases", "WITH " + BEHAVIOUR + f"""
-SELECT client_id, total_properties, {rnd(_MONEY, 6)}, unique_towers, first_purchase, last_purchase,
+SELECT client_id, total_properties, {rnd(_MONEY, 6)}, {rnd("price_dispersion", 5)}, unique_towers, first_purchase, last_purchase,
   active_months, apartment_count, office_count,
   CAST(apartment_count AS DOUBLE) / total_properties AS apartment_share,
   CAST(office_count AS DOUBLE) / total_properties AS office_share,
@@ -38,19 +40,19 @@ SELECT client_id, total_properties, {rnd(_MONEY, 6)}, unique_towers, first_purch
 FROM behaviour""")
 def client_purchases(spark, sf_dir):
     return rounded(FE.aggregate_purchases(V.ledger(spark, sf_dir)),
-                   {**{c: 6 for c in _MONEY.split()}, **{c: 17 for c in _RATIOS.split()}})
+                   {**_PLACES, **{c: 17 for c in _RATIOS.split()}})
 
 
 @query("client_features", "WITH " + FEATURES + f"""
 SELECT client_id, full_name, client_type, gender, country, region, date_of_birth, age,
   acquisition_purpose, satisfaction_score, loan_applied, referral_channel, loan_flag, is_investment,
-  is_company, total_properties, {rnd(_MONEY, 6)}, unique_towers, first_purchase, last_purchase,
+  is_company, total_properties, {rnd(_MONEY, 6)}, {rnd("price_dispersion", 5)}, unique_towers, first_purchase, last_purchase,
   active_months, apartment_count, office_count, {rnd(_RATIOS, 8)}, purchase_span_days, is_domestic,
   has_purchase, age_band, age_band_order, investment_band_order, investment_band
 FROM features""")
 def client_features(spark, sf_dir):
     return rounded(features(spark, sf_dir),
-                   {**{c: 6 for c in _MONEY.split()}, **{c: 8 for c in _RATIOS.split()}})
+                   {**_PLACES, **{c: 8 for c in _RATIOS.split()}})
 
 
 @query("single_month_purchases", "WITH " + LEDGER + """
@@ -336,10 +338,10 @@ def segment_centres(spark, sf_dir):
 
 @query("feature_set_columns", "WITH " + FEATURES + """
 SELECT client_id, total_properties, round(total_investment, 6) AS total_investment,
-  round(avg_property_price, 6) AS avg_property_price, round(price_dispersion, 6) AS price_dispersion,
+  round(avg_property_price, 6) AS avg_property_price, round(price_dispersion, 5) AS price_dispersion,
   round(office_share, 8) AS office_share, purchase_span_days, age, satisfaction_score, is_company, loan_flag,
   is_investment, is_domestic, gender, referral_channel, country, region FROM features""")
 def feature_set_columns(spark, sf_dir):
     fs = FEATURE_SETS["prd_full"]
     return rounded(features(spark, sf_dir).select("client_id", *fs.numeric, *fs.categorical), {
-        "total_investment": 6, "avg_property_price": 6, "price_dispersion": 6, "office_share": 8})
+        "total_investment": 6, "avg_property_price": 6, "price_dispersion": 5, "office_share": 8})

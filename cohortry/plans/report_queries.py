@@ -142,7 +142,7 @@ _NAMED_SQL = "CASE country " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NA
 _CODED_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " END"
 _COUNTRIES = _VIEW + f""", t AS (SELECT {_NAMED_SQL} AS c, count(*) AS clients, sum(total_investment) AS capital,
   avg(total_investment) AS avg_investment FROM view GROUP BY 1)
-SELECT c AS country, clients, round(capital, 2) AS capital, round(avg_investment, 4) AS avg_investment, {_CODED_SQL} AS iso3 FROM t"""
+SELECT c AS country, clients, round(capital, 2) AS capital, round(avg_investment, 6) AS avg_investment, {_CODED_SQL} AS iso3 FROM t"""
 
 
 def _named_view(spark, sf_dir):
@@ -154,12 +154,12 @@ def _named_view(spark, sf_dir):
 
 @query("country_totals", _COUNTRIES)
 def country_totals(spark, sf_dir):
-    return rounded(R.country_totals(_named_view(spark, sf_dir)), {"capital": 2, "avg_investment": 4})
+    return rounded(R.country_totals(_named_view(spark, sf_dir)), {"capital": 2, "avg_investment": 6})
 
 
 @query("mapped_countries", _COUNTRIES + f" WHERE {_CODED_SQL} IS NOT NULL")
 def mapped_countries(spark, sf_dir):
-    return rounded(R.mapped_countries(_named_view(spark, sf_dir)), {"capital": 2, "avg_investment": 4})
+    return rounded(R.mapped_countries(_named_view(spark, sf_dir)), {"capital": 2, "avg_investment": 6})
 
 
 @query("country_total_texts", _VIEW + ", t AS (SELECT country, count(*) AS n, sum(total_investment) AS s, avg(total_investment) AS a FROM view GROUP BY 1) "
