@@ -21,18 +21,22 @@ FILTERS = (
 
 
 # --- filters ------------------------------------------------------------------
-def selection(choices: Mapping[str, Sequence[str]]) -> Column:
-    """True for rows whose every chosen attribute is in its list; an empty list matches nothing."""
-    tests = [
-        F.coalesce(F.col(c).isin(*values), F.lit(False)) if values else F.lit(False)
-        for c, values in choices.items()
-    ]
+def _matches(choices: Mapping[str, Sequence[str]]) -> Column:
+    tests = [F.col(c).isin(*values) if values else F.lit(False) for c, values in choices.items()]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def selection(choices: Mapping[str, Sequence[str]]) -> Column:
+    """True for rows whose every chosen attribute is in its list, else false.
+
+    An empty list matches nothing, and so does a missing attribute.
+    """
+    return F.coalesce(_matches(choices), F.lit(False))
+
+
 def filtered(segmented: DataFrame, choices: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The selected clients as plain filters, which reach the scan."""
-    return segmented.filter(selection(choices))
+    """The selected clients; the membership tests are plain, so they reach the scan."""
+    return segmented.filter(_matches(choices))
 
 
 def is_empty(view: DataFrame) -> bool:
