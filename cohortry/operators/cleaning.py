@@ -64,19 +64,23 @@ def clean_ledger(raw: DataFrame, order: Sequence[str | Column] = LEDGER_COLUMNS)
 
     A missing client key is kept: it marks stock that is not sold.
     """
-    rows = tidy_labels(keep_first(raw, "listing_id", order), LEDGER_LABELS)
-    typed = rows.select(
+    typed = _typed_listings(keep_first(raw, "listing_id", order))
+    return typed.withColumn("price_per_sqft", F.try_divide("sale_price", "floor_area_sqft"))
+
+
+def _typed_listings(rows: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
+    return rows.select(
         P.to_whole(F.col("listing_id")).alias("listing_id"),
         P.month_first_date(F.col("transaction_date")).alias("transaction_date"),
-        "unit_category",
+        P.tidy_label(F.col("unit_category")).alias("unit_category"),
         P.to_whole(F.col("tower_number")).alias("tower_number"),
         P.to_whole(F.col("unit_number")).alias("unit_number"),
         P.to_double(F.col("floor_area_sqft")).alias("floor_area_sqft"),
         P.currency(F.col("sale_price")).alias("sale_price"),
-        "listing_status",
+        P.tidy_label(F.col("listing_status")).alias("listing_status"),
         P.key_or_null(F.col("client_ref")).alias("client_ref"),
+        *more,
     )
-    return typed.withColumn("price_per_sqft", F.try_divide("sale_price", "floor_area_sqft"))
 
 
 def missing_key_rule(ledger: DataFrame) -> Column:
@@ -132,6 +136,16 @@ def clients_with_rows(register: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def linkage(register: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row with both key checks, from one join of the counts per key."""
+    known = register.select(F.col("client_id").alias("client_ref"), F.lit(True).alias("known")).distinct()
+    found = F.coalesce(F.col("known"), F.lit(False))
+    return reference_counts(ledger).join(known, "client_ref", "left").agg(
+        F.coalesce(F.sum(F.when(~found, F.col("rows"))), F.lit(0)).alias("orphan_client_refs"),
+        F.count_if(found).alias("clients_with_purchase"),
+    )
+
+
 def shared_keys(register: DataFrame, ledger: DataFrame) -> DataFrame:
     """The keys themselves, as a set intersection."""
     refs = ledger.select(F.col("client_ref").alias("client_id")).filter("client_id is not null")
@@ -147,9 +161,6 @@ def cleaning_report(
     """The audit as ``(position, check, value)``, value as text."""
     first_clients = keep_first(raw_register, "client_id", register_order)
     first_listings = keep_first(raw_ledger, "listing_id", ledger_order)
-    register = clean_register(raw_register, register_order)
-    ledger = clean_ledger(raw_ledger, ledger_order)
-
     c_in = one_row(raw_audit(raw_register, REGISTER_COLUMNS, "client_id"))
     l_in = one_row(raw_audit(raw_ledger, LEDGER_COLUMNS, "listing_id"))
     c_first = one_row(first_clients.agg(
@@ -158,22 +169,23 @@ def cleaning_report(
         F.count_if(P.ambiguous_date(F.col("date_of_birth"))).alias("ambiguous"),
         F.count_if(P.mixed_date(F.col("date_of_birth")).isNull()).alias("unparsed"),
     ))
-    l_first = one_row(first_listings.agg(
-        labels_changed(first_listings, LEDGER_LABELS).alias("changed")
-    ))
-    l_out = one_row(ledger.agg(
+    # One pass over the first listings: labels as they came, the rest as cleaned.
+    tidied = [F.col(c).alias(f"raw_{c}") for c in LEDGER_LABELS]
+    listings = _typed_listings(first_listings, tidied)
+    altered = sum((P.label_changed(F.col(f"raw_{c}")).cast("long") for c in LEDGER_LABELS), F.lit(0).cast("long"))
+    l_out = one_row(listings.agg(
         F.count("*").alias("rows_out"),
+        F.coalesce(F.sum(altered), F.lit(0)).alias("changed"),
         F.count_if(F.col("client_ref").isNull()).alias("missing_ref"),
-        missing_key_rule(ledger).alias("rule"),
+        missing_key_rule(listings).alias("rule"),
         F.count_if(F.col("sale_price").isNull()).alias("unpriced"),
         F.min("transaction_date").alias("first"),
         F.max("transaction_date").alias("last"),
     ))
-    orphans = one_row(orphan_rows(register, ledger))
-    buyers = one_row(clients_with_rows(register, ledger))
+    links = one_row(linkage(first_clients, listings))
     parts = raw_register.sparkSession.range(1).select(
-        c_in.alias("ci"), l_in.alias("li"), c_first.alias("cf"), l_first.alias("lf"),
-        l_out.alias("lo"), orphans.alias("orp"), buyers.alias("buy"),
+        c_in.alias("ci"), l_in.alias("li"), c_first.alias("cf"),
+        l_out.alias("lo"), links.alias("link"),
     )
     checks = (
         ("clients_rows_in", F.col("ci.rows_in")),
@@ -187,9 +199,9 @@ def cleaning_report(
         ("properties_duplicate_ids", F.col("li.duplicate_ids")),
         ("properties_missing_client_ref", F.col("lo.missing_ref")),
         ("missing_ref_all_available", F.col("lo.rule")),
-        ("orphan_client_refs", F.col("orp.orphan_client_refs")),
-        ("clients_with_purchase", F.col("buy.clients_with_purchase")),
-        ("labels_normalised", F.col("cf.changed") + F.col("lf.changed")),
+        ("orphan_client_refs", F.col("link.orphan_client_refs")),
+        ("clients_with_purchase", F.col("link.clients_with_purchase")),
+        ("labels_normalised", F.col("cf.changed") + F.col("lo.changed")),
         ("dob_unparsed", F.col("cf.unparsed")),
         ("dob_ambiguous_rows", F.col("cf.ambiguous")),
         ("price_unparsed", F.col("lo.unpriced")),
