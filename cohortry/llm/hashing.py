@@ -12,10 +12,16 @@ _rng = np.random.default_rng(20240501)
 _BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-# One odd value per byte; A-Z as a-z; nothing for white space.
+#: Kinds of bytes: words between white space.
+_WORD = (~_SPACE).astype(np.uint8)
+#: Digits, ASCII letters and all beyond ASCII are words.
+PLAIN = np.zeros(256, np.uint8)
+PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+#: Words as above, and marks as runs of their own.
+WORDS_AND_MARKS = np.where(PLAIN == 1, 1, np.where(_SPACE | (np.arange(256) < 32), 0, 2)).astype(np.uint8)
+# One odd value per byte, A-Z as a-z.
 _BYTE = _rng.integers(1 << 62, 1 << 63, 256).astype(_U) | _U(1)
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
-_BYTE[_SPACE] = 0
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -48,19 +54,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each white-space separated word, ASCII case folded, and each text's first word.
+def run_hashes(data: np.ndarray, inside: np.ndarray, begins: np.ndarray, value) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of elements, and where the runs begin.
 
-    A polynomial over the word's bytes; the work goes in chunks that end
-    between words, so a very long text needs no more memory at a time.
+    ``inside`` marks the elements of runs, ``begins`` the first of each, and
+    ``value`` gives elements a 64-bit value. The hash is a polynomial over the
+    run; the work goes in chunks that end between runs, so a very long text
+    needs no more memory at a time.
     """
-    inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    heads = offsets[:-1][offsets[:-1] < len(data)]
-    begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
-    first = np.searchsorted(starts, offsets)
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
@@ -68,10 +70,31 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         lo, hi = starts[at], starts[to] if to < len(starts) else len(data)
         up, down = _power_tables(hi - lo)
         local = starts[at:to] - lo
-        sums = np.add.reduceat(_BYTE[data[lo:hi]] * up[:hi - lo], local)
-        out[at:to] = sums * down[local]
+        terms = value(data[lo:hi]) * up[:hi - lo]
+        terms[~inside[lo:hi]] = 0
+        out[at:to] = np.add.reduceat(terms, local) * down[local]
         at = to
-    return mixed(out), first
+    return mixed(out), starts
+
+
+def run_begins(kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a run of one kind begins; kind 0 is between runs, and every text begins anew."""
+    begins = kinds > 0
+    begins[1:] &= kinds[1:] != kinds[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(kinds)]
+    begins[heads] = kinds[heads] > 0
+    return begins
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _WORD) -> tuple[np.ndarray, ...]:
+    """``(hash of each word, each text's first word, where each word begins)``; ASCII case is folded.
+
+    ``kinds`` gives each byte its kind; words are runs of one kind but 0, without
+    more said everything that is not white space.
+    """
+    kind = kinds[data]
+    hashes, starts = run_hashes(data, kind > 0, run_begins(kind, offsets), _BYTE.__getitem__)
+    return hashes, np.searchsorted(starts, offsets), starts
 
 
 _ORDER = mixed(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -116,3 +139,35 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
     for a, b in zip([0, *ends], [*ends, len(lengths)]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def gram_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], value,
+                edge: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size ``(word, hash)`` of all grams of the words ``data[start:end]``, in order.
+
+    With ``edge``, a mark before and after each word belongs to its grams.
+    """
+    lengths = ends - starts + 2 * edge
+    total = int(lengths.sum())
+    word = np.repeat(np.arange(len(starts)), lengths)
+    first = np.cumsum(lengths) - lengths
+    inner = np.arange(total) - first[word] - edge
+    source = starts[word] + inner
+    marks = (inner < 0) | (source >= ends[word])
+    values = value(data[np.minimum(np.maximum(source, 0), len(data) - 1)]) if total else np.zeros(0, _U)
+    values = np.where(marks, _ORDER[62], values)
+    out = []
+    for n in sizes:
+        if total < n:
+            out.append((np.zeros(0, np.int64), np.zeros(0, _U)))
+            continue
+        hashed = np.full(total - n + 1, n, _U)
+        for j in range(n):
+            hashed += values[j:total - n + 1 + j] * _ORDER[j]
+        whole = word[:total - n + 1] == word[n - 1:]
+        out.append((word[:total - n + 1][whole], mixed(hashed[whole])))
+    return out
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return _BYTE[data]

@@ -75,7 +75,7 @@ def _pack(width: int, buckets: int, flush_tokens: int):
 
         for batch in batches:
             for piece in H.slices(batch, "text"):
-                words, first = H.word_hashes(*H.text_bytes(piece.column("text")))
+                words, first, _ = H.word_hashes(*H.text_bytes(piece.column("text")))
                 tokens, bounds = H.shingle_hashes(words, first, width)
                 ids = piece.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
                 for a in range(0, len(ids), 8192):

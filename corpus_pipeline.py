@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, of rows with that id the first text."""
+    """Of each group of near copies the document with the smallest id stays (all rows, where that id repeats)."""
     groups = jaccard_components(docs)
     heads = groups.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(heads.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
