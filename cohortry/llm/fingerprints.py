@@ -12,33 +12,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SHORT = 400  # characters up to which a text's units are characters
+#: Texts of at most so many characters have characters as units: (most, k, s).
+CHARACTERS = ((40, 3, 1), (400, 8, 3))
+#: Longer ones have words: (k, s).
+WORDS = (10, 2)
+_PLACE_BITS = 24
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _inner_runs(units: Column, s: int) -> Column:
-    runs = F.size(units) - (s - 1)
-    return F.when(runs >= 1, F.transform(F.sequence(F.lit(1), runs), lambda i: F.xxhash64(F.slice(units, i, s)))
-                  ).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.sequence(F.lit(1), F.size(units) - (s - 1)), lambda i: F.xxhash64(F.slice(units, i, s)))
 
 
-def anchors(text: Column, k: int, s: int, short_k: int, short_s: int) -> Column:
+def anchors(text: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
     """Anchors of a text in order, as ``hash * 2**24 + place``; equal texts have equal ones.
 
-    A text with fewer units than a run is one anchor as a whole.
+    A text with fewer units than a run, or without an anchor, is one anchor as a whole.
     """
     def of(units: Column, k: int, s: int) -> Column:
         inner = k - s + 1
-        with_inner = F.transform(F.array(_inner_runs(units, s)), lambda h: F.filter(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(h) - (inner - 1), F.lit(1))), lambda i: F.when(
-                F.array_min(F.slice(h, i, inner)) == F.least(F.element_at(h, i), F.element_at(h, i + inner - 1)),
-                F.shiftleft(F.xxhash64(F.element_at(h, i), F.element_at(h, i + inner - 1)), 24)
-                + F.least(i, F.lit((1 << 24) - 1)).cast("long"))), lambda x: x.isNotNull()))
-        found = F.element_at(with_inner, 1)
-        whole = F.array(F.shiftleft(F.xxhash64(F.array_join(units, " ")), 24) + F.lit(1).cast("long"))
-        return F.when(F.size(units) < k, whole).otherwise(found)
-
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.char_length(text) <= _SHORT, of(F.split(text, ""), short_k, short_s)).otherwise(of(words, k, s))
+        whole = F.array(F.shiftleft(F.xxhash64(text), _PLACE_BITS) + F.lit(1).cast("long"))
+        return _let(units, lambda u: F.when(F.size(u) < k, whole).otherwise(_let(
+            _let(_inner_runs(u, s), lambda h: F.transform(F.filter(
+                    F.sequence(F.lit(1), F.size(h) - (inner - 1)), lambda i: F.array_min(F.slice(h, i, inner)) == F.least(
+                        F.element_at(h, i), F.element_at(h, i + inner - 1))),
+                    lambda i: F.shiftleft(F.xxhash64(F.slice(u, i, k)), _PLACE_BITS)
+                    + F.least(i, F.lit((1 << _PLACE_BITS) - 1)).cast("long"))),
+            lambda found: F.when(F.size(found) > 0, found).otherwise(whole))))
+
+    split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    out = of(split, *words)
+    for most, k, s in reversed(characters):
+        out = F.when(F.char_length(text) <= most, of(F.split(text, ""), k, s)).otherwise(out)
+    return out
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -47,39 +57,64 @@ def likeness(a: Column, b: Column) -> Column:
     Anchors are the same when their hash is, and their places lie in the same or
     neighbouring stretches of 4096 units.
     """
-    far = lambda x: F.shiftright(x, 24) * 4096 + F.shiftright(x.bitwiseAND((1 << 24) - 1), 12)
-    mine = F.array_distinct(F.transform(a, far))
-    wide = F.array_distinct(F.flatten(F.transform(b, lambda x: F.array(far(x) - 1, far(x), far(x) + 1))))
-    theirs = F.size(F.array_distinct(F.transform(b, far)))
-    both = F.size(F.array_intersect(mine, wide))
-    return F.coalesce(F.least(both / F.greatest(F.size(mine) + theirs - both, F.lit(1)), F.lit(1.0)), F.lit(0.0))
+    far = lambda x: F.shiftright(x, _PLACE_BITS) * 4096 + F.shiftright(
+        x.bitwiseAND((1 << _PLACE_BITS) - 1), 12)
+    near = lambda x: F.array(x - 1, x, x + 1)
+    return _let(F.struct(F.array_distinct(F.transform(a, far)).alias("a"), F.array_distinct(F.transform(b, far)).alias("b")),
+                lambda p: _let(F.size(F.array_intersect(p["a"], F.flatten(F.transform(p["b"], near)))), lambda both: F.least(
+                    both / F.greatest(F.size(p["a"]) + F.size(p["b"]) - both, F.lit(1)), F.lit(1.0))))
 
 
 def fingerprint_text(found: Column) -> Column:
-    """Anchors as text: hash and place in hex, comma between."""
-    return F.array_join(F.transform(found, lambda x: F.lower(F.hex(x))), ",")
+    """The anchors' hashes in order: 8 hex digits each."""
+    return F.array_join(F.transform(found, lambda x: F.lower(F.right(F.lpad(F.hex(F.shiftright(x, 32)), 8, "0"), F.lit(8)))), "")
 
 
-def next_texts(docs: DataFrame, doc_id: str, text: str, ranges: int) -> DataFrame:
-    """``docs`` with ``next_text``: that of the next row by id (the last row's: the first's).
+def with_next(docs: DataFrame, doc_id: str, value: Column, first: Column, ranges: int) -> DataFrame:
+    """``docs`` with ``_next``, the ``value`` of the next row by id, and ``_after``.
 
-    Ids are dealt in ranges; inside a range the next row is a window's, at its end
-    the first row of the next range.
+    Ids are dealt in ranges. The last row of a range has no ``_next``; ``_after`` is
+    ``first`` of the first row of the next range (after the last: of the first).
     """
-    bounds = docs.approxQuantile(doc_id, [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 else []
-    bounds = sorted(set(bounds))
+    bounds = sorted(set(docs.approxQuantile(doc_id, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
     place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(doc_id))) if bounds else F.lit(0)
     ranged = docs.withColumn("_range", F.coalesce(place, F.lit(0)).cast("int"))
-    order = [F.asc_nulls_first(doc_id), F.xxhash64(text)]
-    inside = ranged.withColumn("_next", F.lead(F.struct(F.col(text).alias("t"))).over(
-        Window.partitionBy("_range").orderBy(*order)))
-    first = ranged.groupBy("_range").agg(F.min_by(F.col(text), F.struct(
-        F.col(doc_id).isNotNull(), F.coalesce(F.col(doc_id), F.lit(0)), F.xxhash64(text))).alias("_first"))
-    # As many rows as ranges: the first text after each range, around the end.
+    tie = F.xxhash64(first)
+    inside = ranged.withColumn("_next", F.lead(value).over(
+        Window.partitionBy("_range").orderBy(F.asc_nulls_first(doc_id), tie)))
+    firsts = ranged.groupBy("_range").agg(F.min_by(first, F.struct(
+        F.col(doc_id).isNotNull(), F.coalesce(F.col(doc_id), F.lit(0)), tie)).alias("_first"))
+    # As many rows as ranges: the first text of the next range, around the end.
     ring = Window.orderBy("_range")
-    ends = first.select("_range", F.coalesce(
-        F.lead(F.struct(F.col("_first").alias("t"))).over(ring),
-        F.first(F.struct(F.col("_first").alias("t"))).over(
-            ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
-    return inside.join(ends, "_range").withColumn("next_text", F.coalesce("_next", "_after")["t"]).drop(
-        "_range", "_next", "_after")
+    ends = firsts.select("_range", F.coalesce(F.lead("_first").over(ring), F.first("_first").over(
+        ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
+    return inside.join(ends, "_range")
+
+
+def fingerprints_of_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                          words: tuple[int, int] = WORDS, characters=CHARACTERS, range_rows: int = 5000) -> DataFrame:
+    """Per row the fingerprint of its text and of its edited text, and how alike they and the next row's are.
+
+    The edited text has its last quarter (``floor(n_chars / 4)`` characters) replaced by
+    the first as many of the next text, by ascending id, null ids first; the last
+    row's next is the first. A null text is empty. Rows that repeat an id stand in the order of
+    a hash of their texts. A single row is its own next; no rows give none.
+    """
+    cuts = {"words": words, "characters": characters}
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ranges = max(1, -(-plain.count() // range_rows))
+    mine = plain.withColumn("_mine", anchors(F.col("text"), **cuts))
+    rows = with_next(mine, "doc_id", F.struct(F.col("text").alias("t"), F.col("_mine").alias("m")), F.col("text"), ranges)
+    n = F.char_length("text")
+    cut = F.floor(n / 4).cast("int")
+    following = F.coalesce(F.col("_next")["t"], F.col("_after"))
+    rows = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), "_mine",
+        F.concat(F.substring("text", F.lit(1), n - cut), F.substring(following, F.lit(1), cut)).alias("_edited"),
+        F.coalesce(F.col("_next")["m"], anchors(F.col("_after"), **cuts)).alias("_theirs"))
+    rows = rows.withColumn("_changed", anchors(F.col("_edited"), **cuts))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+        fingerprint_text(F.col("_mine")).alias("fingerprint"), fingerprint_text(F.col("_changed")).alias("edited_fingerprint"),
+        likeness(F.col("_mine"), F.col("_changed")).alias("near_edited"),
+        likeness(F.col("_mine"), F.col("_theirs")).alias("near_next"))

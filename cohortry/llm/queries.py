@@ -12,8 +12,11 @@ from cohortry.llm.fingerprints import fingerprints_of_edits
 from cohortry.llm.jaccard_join import jaccard_components
 from cohortry.llm.language_id import fit_languages, identify_language
 from cohortry.llm.mixing import mix_sources, word_count
+from cohortry.llm.resampling import fit_ratio, resample
 from cohortry.llm.samples import held_out
 from cohortry.llm.sharding import uniform_shards
+from cohortry.llm.staging import new_folder
+from cohortry.llm.token_files import read_token_digests, write_token_files
 from cohortry.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +149,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return fingerprints_of_edits(docs)
+
+
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = new_folder(spark, "token_files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_digests(spark, path)
+
+
+@query("op2_importance_resampling")
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = resample(docs, fit_ratio(docs, table(spark, sf_dir, "labels")))
+    return drawn.withColumn("held_out", held_out())
