@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +26,99 @@ from cohortry.llm.staging import new_folder, remove
 _HELD = "part int, doc_id long, start long, ids binary"
 _SEGMENT = "part int, start long, n_ids long, doc_ids binary, lengths binary, words binary, directory binary"
 _NO_ID = np.iinfo(np.int64).min
-_CACHE = 400_000
-_tokenizers: dict[str, tuple] = {}
+_CACHE = 1_000_000  # pieces that a worker keeps
+_tokenizers: dict = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer of this Python worker, with what it has found for pieces of texts."""
-    if path not in _tokenizers:
+class _Pieces(dict):
+    """Pieces of texts by number, with their ids one after another; a new piece waits for ``learn``."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.new = tokenizer, []
+        self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self.line_break = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.ids, self.ends, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.filled = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+    def learn(self) -> None:
+        """Ids of the new pieces, in their order.
+
+        Pieces without inner white space go to the tokenizer as one text with line
+        breaks between, which are tokens of their own; the others one by one.
+        """
+        known = len(self) - len(self.new)
+        joined, alone = [], []
+        for i, p in enumerate(self.new):
+            (joined if _one_word(p) else alone).append(i)
+        sizes = np.zeros(len(self.new), np.int64)
+        found: list[np.ndarray] = []
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(self.new[i] for i in joined)],
+                                                            add_special_tokens=False)[0].ids, "<u4")
+            breaks = np.flatnonzero(ids == self.line_break)
+            if len(breaks) != len(joined) - 1:
+                raise RuntimeError("the tokenizer does not cut at line breaks")
+            sizes[joined] = np.diff(np.r_[-1, breaks, len(ids)]) - 1
+            found.append(np.delete(ids, breaks))
+        for i in alone:
+            own = self.tokenizer.encode(self.new[i], add_special_tokens=False).ids
+            sizes[i] = len(own)
+            found.append(np.array(own, "<u4"))
+        order = np.array(joined + alone)  # as ``found`` has them
+        begin = self.filled
+        ends = np.empty(len(order), np.int64)
+        at = np.cumsum(sizes[order])
+        total = int(at[-1])
+        if begin + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (begin + total))
+        if len(self) > len(self.ends):
+            self.ends, self.sizes = np.resize(self.ends, 2 * len(self)), np.resize(self.sizes, 2 * len(self))
+        ends[order] = begin + at
+        self.ids[begin:begin + total] = np.concatenate(found)
+        self.ends[known:len(self)], self.sizes[known:len(self)] = ends, sizes
+        self.filled = begin + total
+        self.new = []
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and how many each has."""
+        sizes = self.sizes[numbers]
+        shift = np.repeat(self.ends[numbers] - np.cumsum(sizes), sizes)
+        return self.ids[shift + np.arange(len(shift))], sizes
+
+
+def _pieces(path: str) -> _Pieces:
+    """What this Python worker has found so far; begun anew when it grows large."""
+    if path not in _tokenizers or len(_tokenizers[path]) > _CACHE:
         from tokenizers import Tokenizer
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, [])
+        _tokenizers[path] = _Pieces(Tokenizer.from_file(path))
     return _tokenizers[path]
 
 
-_LOOSE = re.compile(r" (?:\s|$)")
+_STOP = re.compile(r"[.,](?<=[a-z][.,])(?!\S)")
+
+
+def _one_word(piece: str) -> bool:
+    """No white space but a blank at the beginning."""
+    word = piece[1:] if piece[:1] == " " else piece
+    return word.split() == [word]
 
 
 def pieces_of(text: str) -> list[str]:
-    """Cuts before every blank that a non-space follows, where byte-level BPE always begins a new word."""
+    """Cuts of a text where byte-level BPE always begins a new word.
+
+    That is before a blank and around a line break, where no other white space is
+    beside them, and before a full stop or comma between a letter and white space. A
+    text with other white space is cut only before blanks that a non-space follows.
+    """
+    if " ".join(text.split()) == text.replace("\n", " ") and "\x00" not in text:
+        return _STOP.sub("\x00\\g<0>", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
     first, *rest = text.split(" ")
-    if not _LOOSE.search(text):
-        return [first, *[" " + x for x in rest]]
     out = [first]
     for x in rest:
         if x and not x[0].isspace():
@@ -54,34 +128,29 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-def encode_texts(path: str, texts: list[str], end: int = 0) -> list[np.ndarray]:
-    """Ids of whole texts, each with ``end`` after it.
+def encode_texts(path: str, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts, each with ``end`` after it, one after another; and how many each has.
 
     Words of a text are independent of each other in byte-level BPE, so each
     different piece is given to the tokenizer once. Texts with a special token go
     to it as they are.
     """
-    tokenizer, known, found = _tokenizer(path)
-    if len(known) > _CACHE:
-        known.clear()
-        found.clear()
-    special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    cut = [None if any(s in x for s in special) else pieces_of(x) for x in texts]
-    new = list({p for pieces in cut if pieces is not None for p in pieces}.difference(known))
-    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[p] = len(found)
-        found.append(e.ids)
-    out = []
-    for text, pieces in zip(texts, cut):
-        if pieces is None:
-            ids = list(tokenizer.encode(text, add_special_tokens=False).ids)
-        else:
-            ids = []
-            for i in map(known.__getitem__, pieces):
-                ids += found[i]
-        ids.append(end)
-        out.append(np.array(ids, "<u4"))
-    return out
+    known = _pieces(path)
+    whole = {i for i, x in enumerate(texts) if any(s in x for s in known.special)}
+    cut = [[] if i in whole else pieces_of(x) for i, x in enumerate(texts)]
+    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    if known.new:
+        known.learn()
+    ids, sizes = known.of(numbers)
+    ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
+    parts, last = [], 0
+    for i, b in enumerate(ends.tolist()):
+        parts.append(np.array(known.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4") if i in whole
+                     else ids[last:b])
+        parts.append(np.array([end], "<u4"))
+        last = b
+    return (np.concatenate(parts) if parts else ids), np.array([len(x) + 1 for x in parts[::2]], np.int64)
 
 
 def _tokenize(path: str, narrow: str):
@@ -89,13 +158,12 @@ def _tokenize(path: str, narrow: str):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in H.slices(batch, "text"):
-                ids = encode_texts(path, piece.column("text").to_pylist())
-                sizes = np.array([len(x) for x in ids])
+                ids, sizes = encode_texts(path, piece.column("text").to_pylist())
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield pa.record_batch([
-                    pa.array(np.full(len(ids), part, np.int32)), piece.column("doc_id"), pa.array(starts, pa.int64()),
-                    pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())], names=["part", "doc_id", "start", "ids"])
+                    pa.array(np.full(len(sizes), part, np.int32)), piece.column("doc_id"), pa.array(starts, pa.int64()),
+                    pa.array([x.tobytes() for x in np.split(ids.astype(narrow), np.cumsum(sizes)[:-1])], pa.binary())], names=["part", "doc_id", "start", "ids"])
     return run
 
 
