@@ -57,12 +57,12 @@ def mix_sources(docs: DataFrame, size: str, key: str = "doc_id", source: str = "
     may swap places in the order, all else is the same in every run. Columns of
     ``docs`` with the three new names are replaced; no rows give no rows.
     """
-    named = docs.drop(*[c for c in ("source_size", "target", "copies") if c in (source, size, key) or c in docs.columns])
-    rows = named.withColumns({
-        "_size": F.coalesce(F.col(size), F.lit(0)).cast("long"),
-        "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
-        "_hash": F.xxhash64(F.lit(seed), F.col(key)),
-    }).withColumns({
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "copies")])
+    rows = docs.select(
+        kept.alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"),
+        F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"),
+    ).withColumns({
         "_class": F.floor(F.log2(F.col("_size") + 1) * 4).cast("int"),
         "_sub": F.pmod(F.col("_hash"), F.lit(_SUBS)).cast("int"),
     })
@@ -75,15 +75,16 @@ def mix_sources(docs: DataFrame, size: str, key: str = "doc_id", source: str = "
     before = Window.partitionBy("_source").orderBy("_class", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(
         targets, "_source").select(*bucket, "_before", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("_hash", key, "_size"))
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("_hash", "_key", "_size"))
     placed = rows.withColumn("_place", place).join(starts, bucket)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("_source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     upto = lambda i: F.floor(rate * i + offset)
     rank = F.col("_before") + F.col("_place")
-    return placed.select(*named.columns, "source_size", "target", (upto(rank) - upto(rank - 1)).cast("int").alias("copies"))
+    return placed.select("_row.*", "source_size", "target", (upto(rank) - upto(rank - 1)).cast("int").alias("copies"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Each row as often as ``copies`` says."""
-    return mixed.filter("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), "copies"))).drop("_c")
+    row = mixed.filter("copies > 0").select(F.struct("*").alias("row"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return row.select("row.*")

@@ -50,12 +50,13 @@ def uniform_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", seed:
     permutation. Columns of ``docs`` named ``shard`` or ``slot`` are replaced; no
     rows give no rows.
     """
-    named = docs.drop("shard", "slot")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    named = docs.select(kept.alias("_row"), F.col(key).alias("_key"))
     spark = docs.sparkSession
     total = named.count()
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     parts = max(1, -(-total // local_rows))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("_key")), F.lit(parts)).cast("int")
     counts = sorted((r[0], r[1]) for r in named.groupBy(part).count().collect())
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     cuts = spark.createDataFrame(
@@ -65,18 +66,18 @@ def uniform_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", seed:
     pieces = max(1, -(-sizes[0] // piece_rows)) if total else 1
 
     def dealt(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("_part").orderBy("_first", key))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_first", "_key"))
         rows = rows.withColumns({
-            "_part": part, "_first": F.xxhash64(F.lit(seed + 1), F.col(key)),
-            "_piece": F.pmod(F.xxhash64(F.lit(seed + 2), F.col(key)), F.lit(pieces)).cast("int"),
+            "_part": part, "_first": F.xxhash64(F.lit(seed + 1), F.col("_key")),
+            "_piece": F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_key")), F.lit(pieces)).cast("int"),
         }).withColumn("_place", place).join(cuts, "_part")
         return rows.withColumn("shard", F.size(F.filter("_upto", lambda x: x < F.col("_place")))).drop("_upto", "_place")
 
     # Rows of one key have one piece, so this narrow pass counts what the full one deals.
-    held = dealt(named.select(key)).groupBy("shard", "_piece").count()
+    held = dealt(named.select("_key")).groupBy("shard", "_piece").count()
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("shard", "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     second = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(
-        F.xxhash64(F.lit(seed + 3), F.col(key)), key))
+        F.xxhash64(F.lit(seed + 3), F.col("_key")), "_key"))
     return dealt(named).withColumn("_second", second).join(starts, ["shard", "_piece"]).select(
-        *named.columns, "shard", (F.col("_start") + F.col("_second") - 1).alias("slot"))
+        "_row.*", "shard", (F.col("_start") + F.col("_second") - 1).alias("slot"))
