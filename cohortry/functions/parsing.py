@@ -22,9 +22,10 @@ def to_double(c: Column) -> Column:
 
 
 def to_whole(c: Column) -> Column:
-    """Whole number; text with a fraction other than zero gives NULL."""
+    """Whole number, large ones exactly; text with a fraction other than zero gives NULL."""
     x = to_double(c)
-    return F.when(x == F.floor(x), x).try_cast("bigint")
+    return F.coalesce(F.when(c.rlike(_NUMBER), F.trim(c)).try_cast("bigint"),
+                      F.when(x == F.floor(x), x).try_cast("bigint"))
 
 
 def currency(c: Column) -> Column:
@@ -104,7 +105,8 @@ def label_flag(c: Column, word: str) -> Column:
 
 
 def full_name(first: Column, last: Column) -> Column:
-    return F.concat(F.trim(first), F.lit(" "), F.trim(last))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.concat(bare(first), F.lit(" "), bare(last))
 
 
 def key_or_null(c: Column, blanks: Iterable[str] = BLANK_KEYS) -> Column:

@@ -46,10 +46,13 @@ def top_levels(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def null_key_table(ledger: DataFrame) -> DataFrame:
-    """Status against missing key."""
-    return ledger.groupBy("listing_status", F.col("client_ref").isNull().alias("key_missing")).agg(
-        F.count("*").alias("n")
-    )
+    """Every status with and without a key, also where no row is."""
+    return ledger.groupBy("listing_status").agg(
+        F.count_if(F.col("client_ref").isNull()).alias("m"), F.count("client_ref").alias("k")
+    ).select("listing_status", F.inline(F.array(
+        F.struct(F.lit(True).alias("key_missing"), F.col("m").alias("n")),
+        F.struct(F.lit(False).alias("key_missing"), F.col("k").alias("n")),
+    )))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
@@ -145,20 +148,24 @@ def monthly_sales(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _all_bins(counts: DataFrame, bins: int) -> DataFrame:
+    """``(bin, n)`` with every bin from 0, also those without a row."""
+    every = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def fixed_histogram(df: DataFrame, column: str, start: float, stop: float, step: float) -> DataFrame:
-    """Counts in [start, stop] by ``step``, last bin closed; values outside are not counted."""
+    """Counts in [start, stop] by ``step``, last bin closed, empty bins with 0; values outside are not counted."""
     last = int((stop - start) / step) - 1
     x = F.col(column)
     place = F.least(F.floor((x - start) / step), F.lit(last))
-    return (
-        df.filter(x.between(start, stop)).groupBy(place.cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-        .select("bin", (F.lit(start) + F.col("bin") * step).cast("double").alias("from_value"), "n")
-    )
+    counts = df.filter(x.between(start, stop)).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return _all_bins(counts, last + 1).select(
+        "bin", (F.lit(start) + F.col("bin") * step).cast("double").alias("from_value"), "n")
 
 
 def equal_histogram(df: DataFrame, column: str, bins: int = 45) -> DataFrame:
-    """Counts in ``bins`` equal steps from minimum to maximum; empty bins are left out."""
+    """Counts in ``bins`` equal steps from minimum to maximum, empty bins with 0."""
     x = F.col(column)
     values = df.filter(x.isNotNull()).select(x.cast("double").alias("x"))
     ends = one_row(values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
@@ -166,10 +173,8 @@ def equal_histogram(df: DataFrame, column: str, bins: int = 45) -> DataFrame:
     place = F.least(F.floor(F.coalesce(
         F.try_divide((F.col("x") - F.col("_e.lo")) * bins, width), F.lit(0.0)
     )), F.lit(bins - 1))
-    return (
-        values.withColumn("_e", ends)
-        .groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    )
+    return _all_bins(
+        values.withColumn("_e", ends).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n")), bins)
 
 
 def box_statistics(df: DataFrame, column: str, by: str) -> DataFrame:

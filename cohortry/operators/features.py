@@ -11,7 +11,7 @@ from cohortry.config import (
 )
 from cohortry.functions import bands
 from cohortry.operators.quantiles import quantile_row
-from cohortry.operators.scalars import broadcast_if_small, one_row
+from cohortry.operators.scalars import one_row
 from cohortry.session import stage_table
 
 
@@ -109,14 +109,14 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 def label_encode(df: DataFrame, columns: Sequence[str] = CODED) -> DataFrame:
     """Adds ``<column>_code``; columns that are not there are skipped.
 
-    A level table is broadcast when a count shows it is small, so a level that
-    many clients share is not shuffled to one task.
+    Adaptive execution broadcasts a small level table and splits a level that many
+    clients share.
     """
     out = df
     for c in columns:
         if c not in df.columns:
             continue
-        codes = broadcast_if_small(label_codes(df, c).withColumnRenamed(c, "_level"))
+        codes = label_codes(df, c).withColumnRenamed(c, "_level")
         out = out.join(
             codes, F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col("_level"), "left"
         ).drop("_level")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.config import (
-    FINGERPRINT, PROFILE_MEANS, PROFILE_RATES, SEGMENT_LIBRARY, SEGMENT_ORDER,
+    FINGERPRINT, PROFILE_MEANS, PROFILE_RATES, SEGMENT_ORDER,
 )
 from cohortry.operators.scalars import one_row, per_group
 
@@ -74,26 +74,36 @@ def name_segments(profile: DataFrame, label: str = "cluster") -> DataFrame:
     )
 
 
-def segment_library(spark: SparkSession) -> DataFrame:
-    """The segment dimension in reporting order."""
-    rows = [(i, *r) for i, r in enumerate(SEGMENT_LIBRARY)]
-    return spark.createDataFrame(rows, "position int, segment string, thesis string, signal string, strategy string")
+def segment_order(spark: SparkSession) -> DataFrame:
+    """The named segments in reporting order."""
+    return spark.createDataFrame(list(enumerate(SEGMENT_ORDER)), "position int, segment string")
 
 
-def attach_segments(df: DataFrame, label: str = "cluster") -> tuple[DataFrame, DataFrame]:
-    """Clients with ``segment``, and the profile with name, thesis and strategy.
+def segment_signals(profile: DataFrame, df: DataFrame, label: str = "cluster") -> DataFrame:
+    """``(label, signal)``: the measure that lies highest against the book, and the lowest."""
+    ratios = F.array_sort(F.filter(F.array(*[
+        F.struct(F.col(c).alias("ratio"), F.lit(c).alias("measure")) for c in _MEANS
+    ]), lambda x: x["ratio"].isNotNull()))
+    return relative_profile(profile, df, label).select(label, ratios.alias("r")).select(
+        label, F.concat(F.lit("highest "), F.element_at("r", -1)["measure"],
+                        F.lit(", lowest "), F.element_at("r", 1)["measure"]).alias("signal"))
+
+
+def attach_segments(df: DataFrame, label: str = "cluster",
+                    strategies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clients with ``segment``, and the profile with name, signal and strategy.
 
     ``df`` should be staged. The names, one per label, are looked up in a map,
-    so the clients are neither joined nor shuffled.
+    so the clients are neither joined nor shuffled. ``strategies``: a table
+    ``(segment, strategy)`` of the user's own.
     """
     profile = build_profile(df, label)
     names = name_segments(profile, label)
-    library = F.broadcast(segment_library(df.sparkSession).drop("position", "signal"))
-    described = (
-        profile.join(names, label).join(library, "segment", "left")
-        .fillna("", subset=["thesis", "strategy"])
-    )
-    return df.withColumn("segment", per_group(names, label)[F.col(label)]["segment"]), described
+    described = profile.join(names, label).join(segment_signals(profile, df, label), label)
+    described = described.join(strategies, "segment", "left") if strategies is not None else described.withColumn(
+        "strategy", F.lit(""))
+    return df.withColumn("segment", per_group(names, label)[F.col(label)]["segment"]), described.fillna(
+        "", subset=["strategy"])
 
 
 def _overall(df: DataFrame, columns: Sequence[str], f) -> Column:
@@ -101,9 +111,10 @@ def _overall(df: DataFrame, columns: Sequence[str], f) -> Column:
 
 
 def relative_profile(profile: DataFrame, df: DataFrame, label: str = "cluster") -> DataFrame:
-    """Segment mean over overall mean."""
+    """Segment mean over overall mean, with the segment's name where the profile has it."""
     rows = profile.withColumn("_o", _overall(df, _MEANS, F.avg))
-    return rows.select(label, *[F.try_divide(F.col(c), F.col("_o")[c]).alias(c) for c in _MEANS])
+    named = ["segment"] if "segment" in profile.columns else []
+    return rows.select(label, *named, *[F.try_divide(F.col(c), F.col("_o")[c]).alias(c) for c in _MEANS])
 
 
 def fingerprint(profile: DataFrame, df: DataFrame, label: str = "cluster",

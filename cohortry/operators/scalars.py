@@ -19,8 +19,3 @@ def per_group(df: DataFrame, key: str) -> Column:
     rest = F.struct(*[F.col(c) for c in df.columns if c != key])
     entries = F.collect_list(F.struct(F.col(key), rest))
     return df.filter(F.col(key).isNotNull()).agg(F.map_from_entries(entries)).scalar()
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast hint when a count shows at most ``rows``; else the plain table, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

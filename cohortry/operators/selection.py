@@ -173,10 +173,13 @@ def viability(experiment: DataFrame, min_cluster_size: int = 25,
 
 # --- choice -------------------------------------------------------------------
 def best_k_per_index(experiment: DataFrame) -> DataFrame:
-    """``(feature_set, scaler, k_silhouette, k_davies_bouldin, k_calinski_harabasz)``; ties to the lowest k."""
+    """``(feature_set, scaler, k_silhouette, k_davies_bouldin, k_calinski_harabasz)``.
+
+    Ties go to the lowest k; a k without a score is not chosen.
+    """
     def best(measure: str, high: bool) -> Column:
         order = F.struct(F.col(measure) if not high else -F.col(measure), F.col("k"))
-        return F.min(order)["k"].alias(f"k_{measure}")
+        return F.min(F.when(F.col(measure).isNotNull(), order))["k"].alias(f"k_{measure}")
 
     return experiment.groupBy("feature_set", "scaler").agg(
         best("silhouette", True), best("davies_bouldin", False), best("calinski_harabasz", True)

@@ -56,15 +56,16 @@ def client_features(spark, sf_dir):
 
 
 @query("single_month_purchases", "WITH " + LEDGER + """
-SELECT client_ref AS client_id, CAST(count(*) AS INTEGER) AS total_properties,
+SELECT transaction_date, client_ref AS client_id, CAST(count(*) AS INTEGER) AS total_properties,
   round(sum(sale_price), 6) + 0.0 AS total_investment,
   round(coalesce(stddev_samp(sale_price), 0), 6) + 0.0 AS price_dispersion
-FROM ledger WHERE listing_status = 'Sold' AND transaction_date = DATE '1996-05-01' GROUP BY 1""")
+FROM ledger WHERE listing_status = 'Sold' GROUP BY 1, 2""")
 def single_month_purchases(spark, sf_dir):
-    """One month of the ledger: most clients have a single purchase, so a deviation of 0."""
-    month = V.ledger(spark, sf_dir).filter("transaction_date = date '1996-05-01'")
-    return rounded(FE.aggregate_purchases(month).select(
-        "client_id", "total_properties", "total_investment", "price_dispersion"), 6)
+    """Every month by client: most have a single purchase in it, so a deviation of 0."""
+    book = V.ledger(spark, sf_dir).withColumn("client_ref", F.struct("transaction_date", "client_ref"))
+    return rounded(FE.aggregate_purchases(book).select(
+        "client_id.transaction_date", F.col("client_id.client_ref").alias("client_id"), "total_properties",
+        "total_investment", "price_dispersion").filter("client_id IS NOT NULL"), 6)
 
 
 @query("label_codes", "WITH " + REGISTER + """
@@ -116,17 +117,18 @@ def largest_countries(spark, sf_dir):
 
 
 @query("age_histogram", "WITH " + REGISTER + """
-SELECT CAST(least(floor((age - 20) / 5.0), 14) AS INTEGER) AS bin,
-  CAST(20 + 5 * least(floor((age - 20) / 5.0), 14) AS DOUBLE) AS from_value, count(*) AS n
-FROM register WHERE age BETWEEN 20 AND 95 GROUP BY 1, 2""")
+SELECT CAST(b AS INTEGER) AS bin, CAST(20 + 5 * b AS DOUBLE) AS from_value, count(age) AS n
+FROM range(15) t(b) LEFT JOIN register ON age BETWEEN 20 AND 95 AND least(floor((age - 20) / 5.0), 14) = b
+GROUP BY b""")
 def age_histogram(spark, sf_dir):
     return eda.fixed_histogram(V.register(spark, sf_dir), "age", 20, 95, 5)
 
 
 @query("price_histogram", "WITH " + LEDGER + """
 , e AS (SELECT min(sale_price) AS lo, max(sale_price) AS hi FROM ledger)
-SELECT CAST(least(floor((sale_price - lo) * 45 / (hi - lo)), 44) AS INTEGER) AS bin, count(*) AS n
-FROM ledger, e GROUP BY 1""")
+SELECT CAST(b AS INTEGER) AS bin, count(p) AS n
+FROM range(45) t(b) LEFT JOIN (
+  SELECT least(floor((sale_price - lo) * 45 / (hi - lo)), 44) AS p FROM ledger, e) ON p = b GROUP BY b""")
 def price_histogram(spark, sf_dir):
     return eda.equal_histogram(V.ledger(spark, sf_dir), "sale_price", 45)
 
@@ -284,28 +286,28 @@ def segmented_clients(spark, sf_dir):
     return segmented(spark, sf_dir).select("client_id", "cluster", "segment")
 
 
-@query("described_segments", "WITH " + PROFILE + """
+_RATIO = ", o AS (SELECT " + ", ".join(f"avg({c}) AS o_{c}" for c in _AVGS.split()) + " FROM clustered)"
+
+
+@query("described_segments", "WITH " + PROFILE + _RATIO + ", r AS (" + " UNION ALL ".join(
+    f"SELECT cluster, {c} / nullif(o_{c}, 0) AS x, '{c}' AS m FROM profile, o" for c in _AVGS.split()) + """),
+s AS (SELECT cluster, arg_max(m, (x, m)) AS hi, arg_min(m, (x, m)) AS lo FROM r WHERE x IS NOT NULL GROUP BY cluster)
 SELECT cluster, segment, n_clients, round(capital_committed, 2) + 0.0 AS capital_committed,
-  CASE segment WHEN 'Value-Tier Buyers' THEN 'A low ticket together with a small footprint.'
-    WHEN 'Large-Format Premium Buyers' THEN 'Unit size and ticket rather than the number of purchases.'
-    WHEN 'Core Multi-Unit Investors' THEN 'Regular purchases at usual prices.'
-    ELSE 'Repeated purchases, not one large ticket.' END AS signal
-FROM profile JOIN names USING (cluster)""")
+  'highest ' || hi || ', lowest ' || lo AS signal
+FROM profile JOIN names USING (cluster) JOIN s USING (cluster)""")
 def described_segments(spark, sf_dir):
-    """Segment sizes with the text of the segment dimension."""
+    """Segment sizes, and what tells each from the book."""
     profile = PR.attach_segments(clustered(spark, sf_dir))[1]
-    library = PR.segment_library(spark).select("segment", "signal")
-    return rounded(profile.join(F.broadcast(library), "segment").select(
+    return rounded(profile.select(
         "cluster", "segment", "n_clients", "capital_committed", "signal"
     ).orderBy("n_clients", "cluster"), 2)
 
 
-@query("relative_profile", "WITH " + PROFILE + ", o AS (SELECT " + ", ".join(
-    f"avg({c}) AS o_{c}" for c in _AVGS.split()) + " FROM clustered) SELECT cluster, " + ", ".join(
-    f"round({c} / nullif(o_{c}, 0), 8) + 0.0 AS {c}" for c in _AVGS.split()) + " FROM profile, o")
+@query("relative_profile", "WITH " + PROFILE + _RATIO + " SELECT cluster, segment, " + ", ".join(
+    f"round({c} / nullif(o_{c}, 0), 8) + 0.0 AS {c}" for c in _AVGS.split()) + " FROM profile JOIN names USING (cluster), o")
 def relative_profile(spark, sf_dir):
     rows = clustered(spark, sf_dir)
-    return rounded(PR.relative_profile(PR.build_profile(rows), rows), 8)
+    return rounded(PR.relative_profile(PR.attach_segments(rows)[1], rows), 8)
 
 
 @query("segment_fingerprint", "WITH " + PROFILE + ", o AS (SELECT " + ", ".join(

@@ -41,10 +41,14 @@ def filtered_clients(spark, sf_dir):
     return _view(spark, sf_dir).select("client_id", "segment", "country", "region")
 
 
-@query("nothing_chosen", _S + " SELECT client_id FROM segmented WHERE false")
+@query("nothing_chosen", _S + """
+SELECT true AS is_empty, 0 AS clients UNION ALL SELECT count(*) = 0, count(*) FROM segmented""")
 def nothing_chosen(spark, sf_dir):
-    """An empty list of regions selects no client."""
-    return R.filtered(segmented(spark, sf_dir), {**CHOICES, "region": []}).select("client_id")
+    """An empty list of regions selects no client; the whole view selects all."""
+    view = segmented(spark, sf_dir)
+    none = R.filtered(view, {"region": []})
+    count = lambda df: df.agg((F.count("*") == 0).alias("is_empty"), F.count("*").alias("clients"))
+    return count(none).unionByName(count(view))
 
 
 @query("region_options", _S + f"""

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,18 +25,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Only a local session may fall back to a temporary folder of the machine.
-    """
+    """The folder for staged tables: ``spark.checkpoint.dir``, or a folder of the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="cohortry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -49,4 +39,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    # Hadoop removes the table when the driver ends.
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,3 +90,9 @@ def test_percent_rank(spark):
 
 def test_country_codes(spark):
     assert apply(spark, ["UK", "USA", "Atlantis", None], iso3) == ["GBR", "USA", None, None]
+
+
+def test_large_ids_and_tabbed_names(spark):
+    df = spark.createDataFrame([("9007199254740993", "\tAnn ", "Lee\t"), (" 12.0", "B", "C"), ("1.5", "", "")], "a string, f string, l string")
+    got = df.select(P.to_whole(F.col("a")).alias("w"), P.full_name(F.col("f"), F.col("l")).alias("n")).collect()
+    assert [(r.w, r.n) for r in got] == [(9007199254740993, "Ann Lee"), (12, "B C"), (None, " ")]

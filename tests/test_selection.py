@@ -66,6 +66,12 @@ def test_ties_go_to_the_lowest_k(spark):
     assert S.best_k_per_index(grid).first()[2:] == (2, 2, 2)
 
 
+def test_a_missing_score_has_no_vote(spark):
+    rows = [("a", "s", 2, None, None, 3.0), ("a", "s", 3, 0.4, 1.0, 4.0)]
+    grid = spark.createDataFrame(rows, "feature_set string, scaler string, k int, silhouette double, davies_bouldin double, calinski_harabasz double")
+    assert S.best_k_per_index(grid).first()[2:] == (3, 3, 3)
+
+
 def test_more_restarts_never_cost_more(spark):
     from cohortry.config import FeatureSet
     from cohortry.operators.matrix import build_matrix
