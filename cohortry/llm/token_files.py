@@ -100,6 +100,7 @@ def _pieces(path: str) -> _Pieces:
     return _tokenizers[path]
 
 
+_NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x00")
 _STOP = re.compile(r"[.,](?<=[a-z][.,])(?!\S)")
 
 
@@ -109,6 +110,13 @@ def _one_word(piece: str) -> bool:
     return word.split() == [word]
 
 
+def _single_spaced(text: str) -> bool:
+    """White space is single blanks and line breaks between words, and there is no NUL."""
+    if text.isascii():
+        return not (any(x in text for x in _NOT_SINGLE) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"))
+    return " ".join(text.split()) == text.replace("\n", " ") and "\x00" not in text
+
+
 def pieces_of(text: str) -> list[str]:
     """Cuts of a text where byte-level BPE always begins a new word.
 
@@ -116,7 +124,7 @@ def pieces_of(text: str) -> list[str]:
     beside them, and before a full stop or comma between a letter and white space. A
     text with other white space is cut only before blanks that a non-space follows.
     """
-    if " ".join(text.split()) == text.replace("\n", " ") and "\x00" not in text:
+    if text and _single_spaced(text):
         return _STOP.sub("\x00\\g<0>", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
     first, *rest = text.split(" ")
     out = [first]
@@ -171,8 +179,9 @@ def _count(narrow: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), narrow), minlength=vocabulary)
+            for a in range(0, batch.num_rows, 256):
+                ids = np.frombuffer(b"".join(batch.column("ids").slice(a, 256).to_pylist()), narrow)
+                total += np.bincount(ids, minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
     return run
@@ -211,7 +220,7 @@ def _segments(table: np.ndarray, narrow: str, segment_ids: int):
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-                      part_bytes: int = 16 << 20, segment_ids: int = 1 << 20) -> None:
+                      part_rows: int = 5000, segment_ids: int = 1 << 20) -> None:
     """Writes the ids of all texts in ascending id order (null ids first, null texts empty).
 
     The vocabulary's counts over all documents make the shared table. Rows that
@@ -222,11 +231,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    ranged = rows.repartitionByRange(max(1, len(cuts) + 1), F.asc_nulls_first("doc_id")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"))
+    parts = max(1, -(-rows.count() // part_rows))
+    order = F.asc_nulls_first("doc_id")
+    ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
     stage = new_folder(spark, "ids")
     ranged.mapInArrow(_tokenize(tokenizer, narrow), _HELD).write.option("compression", "zstd").parquet(stage)
     held = spark.read.schema(_HELD).parquet(stage)
