@@ -158,7 +158,7 @@ def test_token_files(spark, odd, none, tmp_path):
         start += len(ids)
     for name, docs in (("odd", odd), ("none", none)):
         path = str(tmp_path / name)
-        write_token_files(docs, path, PATH, part_bytes=100_000, segment_ids=50_000)
+        write_token_files(docs, path, PATH, part_rows=4, segment_ids=50_000)
         rows = sorted(read_token_digests(spark, path).collect(), key=lambda r: r.start)
         assert len(rows) == docs.count()
         assert [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])][:len(rows)].tolist()
