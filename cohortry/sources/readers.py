@@ -28,18 +28,30 @@ country_code int, region_code int, referral_channel_code int
 
 
 def read_text_table(spark: SparkSession, path: str, columns: Sequence[str],
-                    row_order: str = "file_order") -> DataFrame:
+                    row_order: str = "file_order", multi_line: bool = False) -> DataFrame:
     """A CSV with every column as text, and its row order as an extra column.
 
     The order is file, place of the split in the file, place in the split; it
     decides which of several rows with one key comes first. The header is
-    checked, so columns may not be swapped.
+    checked, so columns may not be swapped. A short line is filled with nulls; one
+    with surplus fields that are not empty fails the read, and so does a short one that a quoted line
+    break has cut. ``multi_line`` reads such records whole; a file is then one task's.
     """
-    schema = StructType([StructField(c, StringType()) for c in columns])
+    fields = [StructField(c, StringType()) for c in columns]
+    quotes = {"quote": '"', "escape": '"'}
     rows = (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-        .option("quote", '"').option("escape", '"').csv(path)
+        spark.read.schema(StructType([*fields, StructField("_line", StringType())]))
+        .options(header=True, enforceSchema=False, multiLine=multi_line, columnNameOfCorruptRecord="_line", **quotes)
+        .csv(path)
     )
+    # Parsed with one field more; as no text is null, that field is null only where it is absent.
+    wide = ", ".join(f"_{i} string" for i in range(len(columns) + 1))
+    surplus = F.from_csv("_line", wide, {**quotes, "nullValue": "\x00", "mode": "PERMISSIVE"})[f"_{len(columns)}"].isNotNull()
+    cut = F.lit(not multi_line) & (F.regexp_count("_line", F.lit('"')) % 2 == 1)
+    named = lambda what: F.raise_error(F.concat(
+        F.lit(f"{what}: "), F.col("_line"), F.lit(" at "), F.coalesce(F.col(columns[0]), F.lit("")))).cast("boolean")
+    rows = rows.filter(F.when(F.col("_line").isNull(), F.lit(True)).when(cut, named("quoted line break, use multi_line"))
+                       .when(surplus, named("more fields than columns")).otherwise(F.lit(True)))
     order = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),

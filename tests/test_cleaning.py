@@ -101,3 +101,20 @@ def test_csv_order_null_tokens_and_header(spark, tmp_path):
     swapped.write_text(",".join(reversed(REGISTER_COLUMNS)) + "\n" + ",".join("abcdefghijkl") + "\n")
     with pytest.raises(Exception, match="CSV header"):
         readers.read_register(spark, str(swapped)).collect()
+
+
+def test_no_field_of_a_text_table_is_lost(spark, tmp_path):
+    def read(text, **how):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.csv"
+        path.write_text(text)
+        return readers.read_text_table(spark, str(path), ["a", "b"], **how)
+
+    short = read("a,b\n1,2\n3\n4,\n")
+    assert short.count() == 3
+    assert [(r.a, r.b) for r in short.collect()] == [("1", "2"), ("3", None), ("4", None)]
+    with pytest.raises(Exception, match="more fields than columns"):
+        read("a,b\n1,2\n3,4,5\n").collect()
+    broken = 'a,b\n"x\ny",7\n1,"q ""z"" r"\n'
+    with pytest.raises(Exception, match="multi_line"):
+        read(broken).collect()
+    assert [(r.a, r.b) for r in read(broken, multi_line=True).collect()] == [("x\ny", "7"), ("1", 'q "z" r')]
