@@ -20,9 +20,14 @@ def class_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int,
     """
     sizes = docs.select("doc_id", F.octet_length("text").alias("_n")).filter(
         F.col("doc_id").isNotNull() & F.col("_n").between(1, most_bytes))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
-    known = labels.filter(F.col("label").isNotNull() & ~held_out()).select("doc_id", "label")
-    chosen = known.join(sizes.select("doc_id"), "doc_id").withColumn("_p", place).filter(F.col("_p") <= most)
+    known = labels.filter(F.col("label").isNotNull() & ~held_out()).select("doc_id", "label").join(sizes.select("doc_id"), "doc_id")
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    # Only hashes in reach of the first ``most`` are ranked, so one label's rows never meet in one task.
+    rows = known.groupBy("label").agg(F.count("*").alias("_rows"))  # one row per label
+    near = known.join(F.broadcast(rows), "label").filter(
+        order / F.lit(2.0 ** 64) + 0.5 < F.lit(2.0 * most + 1000) / F.col("_rows"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
+    chosen = near.withColumn("_p", place).filter(F.col("_p") <= most)
     ids = docs.sparkSession.createDataFrame(
         sorted({(r[0], r[1]) for r in chosen.select("doc_id", "label").collect()}, key=str), chosen.select("doc_id", "label").schema)
     return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter(
