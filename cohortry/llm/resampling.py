@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import hashing as H
-from cohortry.llm.samples import class_sample
+from cohortry.llm.samples import sampled_texts
 from cohortry.llm.staging import staged
 
 
@@ -40,6 +40,15 @@ def _counts(buckets: int):
     return run
 
 
+def _total(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Grams of all texts by bucket, counted in the tasks; one number per bucket reaches the driver."""
+    counts = docs.select("text").mapInArrow(_counts(buckets), "bucket long, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets)
+    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
 def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, per_label: int = 20_000,
               most_bytes: int = 100_000, prior: float = 1.0) -> np.ndarray:
     """Log ratio of target to raw frequency by bucket.
@@ -48,14 +57,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, per_la
     ``per_label`` texts with quality 1, held-out rows left out; without such texts
     the ratio is 0.
     """
-    raw = np.zeros(buckets)
-    for r in docs.select("text").mapInArrow(_counts(buckets), "bucket long, n long").groupBy("bucket").agg(
-            F.sum("n").alias("n")).collect():  # one row per bucket
-        raw[r["bucket"]] = r["n"]
-    good = class_sample(docs, labels.filter("quality = 1").select("doc_id", F.col("quality").alias("label")), per_label, most_bytes)
-    if not len(good):
+    good = sampled_texts(docs, labels.filter("quality = 1").select("doc_id", F.col("quality").alias("label")), per_label, most_bytes)
+    raw, target = _total(docs, buckets), _total(good, buckets)
+    if not target.any():
         return np.zeros(buckets)
-    target = np.bincount(gram_buckets(good.column("text").combine_chunks(), buckets)[1], minlength=buckets).astype(float)
     # Smoothed towards the raw model, so a bucket that the sample is too small to see stays near 0.
     share = (raw + prior) / (raw + prior).sum()
     return np.log((target + prior * buckets * share) / (target.sum() + prior * buckets) / share)

@@ -11,7 +11,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def class_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, seed: int = 5) -> pa.Table:
+def sampled_texts(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, seed: int = 5) -> DataFrame:
     """``(doc_id, label, text, lang)`` of at most ``most`` documents per label, the first by a hash of their id.
 
     ``labels``: ``(doc_id, label)``. Of each document the whole text; texts of more
@@ -31,5 +31,9 @@ def class_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int,
     ids = docs.sparkSession.createDataFrame(
         sorted({(r[0], r[1]) for r in chosen.select("doc_id", "label").collect()}, key=str), chosen.select("doc_id", "label").schema)
     return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter(
-        F.octet_length("text") <= most_bytes).select("doc_id", "label", "text", "lang").orderBy(
-            "doc_id", "label", F.xxhash64("text")).toArrow()
+        F.octet_length("text") <= most_bytes).select("doc_id", "label", "text", "lang")
+
+
+def class_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, seed: int = 5) -> pa.Table:
+    """The rows of ``sampled_texts`` on the driver, in order."""
+    return sampled_texts(docs, labels, most, most_bytes, seed).orderBy("doc_id", "label", F.xxhash64("text")).toArrow()
