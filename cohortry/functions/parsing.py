@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from cohortry.config import BLANK_KEYS, NULL_TOKENS
 
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_MONTH = ("(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|"
+          "(?<=jun)e|(?<=jul)y|(?<=aug)ust|(?<=sep)t(?:ember)?|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?")
+_DAY_NAME = rf"(?i)^(\d{{1,2}})[ -]{_MONTH}[ ,-]\s*(\d{{4}})$"
+_NAME_DAY = rf"(?i)^{_MONTH} (\d{{1,2}}),?\s+(\d{{4}})$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -52,11 +57,11 @@ def date_component(c: Column, position: int) -> Column:
 
 
 def mixed_date(c: Column, day_first: bool = False) -> Column:
-    """Dates written with slashes or dashes, or ISO; one reading order with fall-back.
+    """Dates with slashes or dashes, year first (also with a time) or with an English month name.
 
     The order asked for is used whenever the month position can be a month;
     otherwise the other order is tried. The pattern is picked by the shape of
-    the text first, so each row is parsed once.
+    the text first, so each row is parsed once; a time of day is dropped.
     """
     text = F.trim(c)
     first, second = date_component(text, 0), date_component(text, 1)
@@ -66,8 +71,12 @@ def mixed_date(c: Column, day_first: bool = False) -> Column:
     def read(slashed: str, dashed: str) -> Column:
         return F.when(slash, F.try_to_date(text, slashed)).otherwise(F.try_to_date(text, dashed))
 
+    named = F.initcap(F.regexp_replace(text, _DAY_NAME, "$1 $2 $3"))
+    named_first = F.initcap(F.regexp_replace(text, _NAME_DAY, "$2 $1 $3"))
     return (
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
+        F.when(text.rlike(_YEAR_FIRST), F.try_to_date(F.regexp_replace(text, _YEAR_FIRST, "$1-$3-$4"), "yyyy-M-d"))
+        .when(text.rlike(_DAY_NAME), F.try_to_date(named, "d MMM yyyy"))
+        .when(text.rlike(_NAME_DAY), F.try_to_date(named_first, "d MMM yyyy"))
         .when(~text.rlike(r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"), F.lit(None).cast("date"))
         .when(month_first, read("M/d/yyyy", "M-d-yyyy"))
         .otherwise(read("d/M/yyyy", "d-M-yyyy"))

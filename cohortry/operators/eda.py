@@ -213,7 +213,9 @@ def outcome_by_attributes(df: DataFrame, attributes: Sequence[str], outcome: str
 def welch_tests(df: DataFrame, attributes: Sequence[str], outcome: str) -> DataFrame:
     """Welch t-test and Cohen's d of ``outcome`` for attributes of two levels.
 
-    The groups shrink to six numbers each; p comes from those few rows.
+    The groups shrink to six numbers each; p comes from those few rows. An
+    attribute with another number of levels is returned with that number in
+    ``levels`` and NULL results.
     """
     pairs = F.array(*[
         F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("level"))
@@ -228,7 +230,8 @@ def welch_tests(df: DataFrame, attributes: Sequence[str], outcome: str) -> DataF
         F.count("*").alias("levels"),
         F.min(F.struct("level", "n", "m", "v")).alias("g1"),
         F.max(F.struct("level", "n", "m", "v")).alias("g2"),
-    ).filter("levels = 2")
+    )
+    sides = sides.withColumns({g: F.when(F.col("levels") == 2, F.col(g)) for g in ("g1", "g2")})
     n1, n2 = F.col("g1.n"), F.col("g2.n")
     v1, v2 = F.col("g1.v"), F.col("g2.v")
     e1, e2 = F.try_divide(v1, n1), F.try_divide(v2, n2)
@@ -242,7 +245,7 @@ def welch_tests(df: DataFrame, attributes: Sequence[str], outcome: str) -> DataF
             (e1 + e2) * (e1 + e2),
             F.try_divide(e1 * e1, n1 - 1) + F.try_divide(e2 * e2, n2 - 1),
         ).alias("df"),
-        F.try_divide(gap, pooled).alias("cohens_d"),
+        F.try_divide(gap, pooled).alias("cohens_d"), "levels",
     )
     return scored.withColumn("p", student_t_p(F.col("t"), F.col("df")))
 

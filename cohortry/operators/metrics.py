@@ -270,31 +270,69 @@ def flag_redundancy(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFr
 
 
 # --- silhouette ---------------------------------------------------------------
-_BLOCK_ROWS = 2048
-
-
-def _distance_sums(columns: list[str], labels: list[str], sizes: list[int]):
-    """Task body: summed distances from each left point to each label of the right block."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, y = left[columns].to_numpy(float), right[columns].to_numpy(float)
-        weight = right["w"].to_numpy(float)
-        marks = np.zeros((len(y), sum(sizes)))
-        at = 0
-        for name, size in zip(labels, sizes):
-            marks[np.arange(len(y)), at + right[name].to_numpy(int)] = weight
-            at += size
-        out = np.empty((len(x), marks.shape[1]))
-        step = max(1, 2_000_000 // max(1, len(y)))
-        for s in range(0, len(x), step):
-            part = x[s:s + step]
-            square = np.zeros((len(part), len(y)))
-            for j in range(x.shape[1]):
-                gap = part[:, j, None] - y[None, :, j]
-                square += gap * gap
-            out[s:s + step] = np.sqrt(square, out=square) @ marks
-        got = pd.DataFrame(out, columns=[f"s_{i}" for i in range(out.shape[1])])
-        got.insert(0, "point", left["point"].to_numpy())
-        return got
+_BLOCK_ROWS = 65_536
+_TILE = 1024
+
+
+def _pack_block(columns: list[str], labels: list[str]):
+    """One block of points as one row; the points stand in the order of their values."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values([*columns, *labels])
+        return pd.DataFrame({
+            "home": block["home"].iloc[:1].to_numpy(), "x": [block[columns].to_numpy("<f8").tobytes()],
+            "l": [block[labels].to_numpy("<i4").tobytes()], "w": [block["w"].to_numpy("<i8").tobytes()],
+        })
+
+    return run
+
+
+def _distance_sums(columns: int, sizes: list[int]):
+    """Task body: summed distances between two blocks, from the points of each to the labels of the other."""
+    total = sum(sizes)
+    first = np.cumsum([0, *sizes[:-1]])
+
+    def unpacked(block: pd.DataFrame):
+        x = np.frombuffer(block["x"].iloc[0], "<f8").reshape(-1, columns)
+        labels = np.frombuffer(block["l"].iloc[0], "<i4").reshape(len(x), len(sizes))
+        weight = np.frombuffer(block["w"].iloc[0], "<i8")
+        return x, labels, weight
+
+    def marks(labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(labels), total))
+        out[np.arange(len(labels))[:, None], labels + first] = weight[:, None]
+        return out
+
+    def frame(block: int, sums: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame(sums, columns=[f"s_{i}" for i in range(total)])
+        out.insert(0, "home", np.int32(block))
+        out.insert(1, "place", np.arange(len(sums), dtype=np.int32))
+        for i in range(len(sizes)):
+            out[f"l_{i}"] = labels[:, i]
+        out["w"] = weight
+        return out
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):  # a block without points
+            return frame(0, np.zeros((0, total)), np.zeros((0, len(sizes)), np.int32), np.zeros(0, np.int64))
+        (x, lx, wx), (y, ly, wy), own = unpacked(left), unpacked(right), key[0] == key[1]
+        sx, sy = np.zeros((len(x), total)), np.zeros((len(y), total))
+        for s in range(0, len(x), _TILE):
+            mine = marks(lx[s:s + _TILE], wx[s:s + _TILE])
+            for t in range(s if own else 0, len(y), _TILE):
+                a, b = x[s:s + _TILE], y[t:t + _TILE]
+                square = np.zeros((len(a), len(b)))
+                for j in range(columns):
+                    gap = a[:, j, None] - b[None, :, j]
+                    square += gap * gap
+                distance = np.sqrt(square, out=square)
+                sx[s:s + _TILE] += distance @ marks(ly[t:t + _TILE], wy[t:t + _TILE])
+                if not own:
+                    sy[t:t + _TILE] += distance.T @ mine
+                elif t > s:
+                    sx[t:t + _TILE] += distance.T @ mine
+        if own:
+            return frame(key[0], sx, lx, wx)
+        return pd.concat([frame(key[0], sx, lx, wx), frame(key[1], sy, ly, wy)], ignore_index=True)
 
     return run
 
@@ -304,40 +342,41 @@ def silhouette_points(df: DataFrame, columns: Sequence[str], labels: dict[str, i
     """Exact Euclidean silhouette per distinct point: ``(labeling, label, w, silhouette)``.
 
     ``labels`` maps label columns (0..k-1) to their k. Equal rows become one
-    point of weight ``w`` first. The points are hashed into blocks of bounded
-    size; each pair of blocks is one group of numpy work that returns one row
-    of sums per point, for all labelings at once. No pair of points is ever a
-    row. The work is quadratic in the number of distinct points, as the
-    measure is; ``squared_silhouette`` is the linear one.
+    point of weight ``w`` first. The points are hashed into blocks, each packed
+    into one row; every unordered pair of blocks is one group of numpy work that
+    serves both sides and all labelings, and returns one row of sums per point. No
+    pair of points is ever a row. The work is quadratic in the number of distinct
+    points, as the measure is; ``squared_silhouette`` is the linear one. There
+    are as many blocks as ``block_rows`` asks for, and enough to fill the cores.
     """
     names = list(labels)
     sizes = [labels[c] for c in names]
     cols = [f"c_{i}" for i in range(len(columns))]
     points = df.groupBy(
         *[F.col(c).cast("double").alias(x) for c, x in zip(columns, cols)],
-        *[F.col(c).cast("int").alias(c) for c in names],
+        *[F.col(c).cast("int").alias(f"l_{i}") for i, c in enumerate(names)],
     ).agg(F.count("*").alias("w"))
-    blocks = max(1, math.ceil(points.count() / block_rows))
-    # A point is named by all it consists of, so a task that runs again names it the same.
-    identity = F.sha2(F.to_json(F.struct(*cols, *names)), 256)
-    points = points.withColumn("point", identity).withColumn(
-        "home", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int")
-    )
-    fan = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select("point", *cols, F.col("home").alias("bi"), fan.alias("bj"))
-    right = points.select(*cols, *names, "w", F.col("home").alias("bj"), fan.alias("bi"))
+    marked = [f"l_{i}" for i in range(len(names))]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil(points.count() / block_rows), math.ceil((4 * cores) ** 0.5))
+    packed = points.withColumn("home", F.pmod(F.xxhash64(*cols, *marked), F.lit(blocks)).cast("int")).groupBy(
+        "home").applyInPandas(_pack_block(cols, marked), "home int, x binary, l binary, w binary")
+    left = packed.select(F.col("home").alias("bi"), F.explode(F.sequence("home", F.lit(blocks - 1))).alias("bj"), "x", "l", "w")
+    right = packed.select(F.explode(F.sequence(F.lit(0), "home")).alias("bi"), F.col("home").alias("bj"), "x", "l", "w")
     total = sum(sizes)
-    schema = "point string, " + ", ".join(f"s_{i} double" for i in range(total))
-    sums = (
+    schema = ", ".join(["home int, place int", *[f"s_{i} double" for i in range(total)], *[f"{c} int" for c in marked], "w bigint"])
+    scored = (
         left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
-        .applyInPandas(_distance_sums(cols, names, sizes), schema)
-        .groupBy("point").agg(*[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(total)])
+        .applyInPandas(_distance_sums(len(cols), sizes), schema)
+        .groupBy("home", "place").agg(
+            *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(total)],
+            *[F.max(m).alias(c) for m, c in zip(marked, names)], F.max("w").alias("w"))
     )
     counts = one_row(points.agg(*[
-        F.sum(F.when(F.col(c) == i, F.col("w")).otherwise(0)).alias(f"{c}_{i}")
-        for c in names for i in range(labels[c])
+        F.sum(F.when(F.col(m) == i, F.col("w")).otherwise(0)).alias(f"{c}_{i}")
+        for m, c in zip(marked, names) for i in range(labels[c])
     ]))
-    scored = points.select("point", *names, "w").join(sums, "point").withColumn("_n", counts)
+    scored = scored.withColumn("_n", counts)
     rows, at = [], 0
     for c in names:
         own, other = F.lit(None).cast("double"), []

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,42 +108,31 @@ def cophenetic_correlation(centres: np.ndarray, weights: np.ndarray,
 
 
 def fit_hierarchical(df: DataFrame, columns: Sequence[str], k: int, micro: int = 200,
-                     seed: int = SEED, label: str = "hierarchical_cluster") -> Hierarchy:
+                     seed: int = SEED, label: str = "hierarchical_cluster", max_iter: int = 100) -> Hierarchy:
     """Ward linkage over at most ``micro`` micro-clusters.
 
-    Up to ``micro`` distinct rows are their own micro-clusters, and the result
-    is plain Ward. Beyond that distributed K-Means forms them; only their
-    centres and sizes reach the driver.
+    Distributed K-Means on the distinct rows, weighted by their number and started
+    from random ones of them, forms the micro-clusters; only their centres and
+    sizes reach the driver. Distinct rows that ``micro`` covers are centres of
+    their own, so on those the result is Ward on the rows.
     """
     spark = df.sparkSession
     point = F.array(*[F.col(c).cast("double") for c in columns])
-    few = df.select(point.alias("p")).distinct().limit(micro + 1).count() <= micro
-    if few:
-        rows = df.groupBy(point.alias("p")).agg(F.count("*").alias("w")).orderBy("p").collect()
-        centres = np.array([r["p"] for r in rows], float)
-        weights = np.array([r["w"] for r in rows], float)
-        marked = df.withColumn("_p", point)
-        number = spark.createDataFrame([(list(map(float, c)), i) for i, c in enumerate(centres)],
-                                       "_p array<double>, _micro int")
-    else:
-        model = KMeans(k=micro, seed=seed, maxIter=20, predictionCol="_micro").fit(df)
-        marked = model.transform(df)
-        sums = marked.groupBy("_micro").agg(
-            F.array(*[F.avg(c) for c in columns]).alias("p"), F.count("*").alias("w")
-        ).orderBy("_micro").collect()
-        centres = np.array([r["p"] for r in sums], float)
-        weights = np.array([r["w"] for r in sums], float)
+    distinct = df.groupBy(point.alias("p")).agg(F.count("*").cast("double").alias("w")).withColumn(
+        "_v", array_to_vector("p"))
+    model = KMeans(k=micro, seed=seed, maxIter=max_iter, initMode="random", weightCol="w", featuresCol="_v",
+                   predictionCol="_micro").fit(distinct)
+    sums = model.transform(distinct).groupBy("_micro").agg(
+        F.array(*[F.sum(F.col("p")[i] * F.col("w")) / F.sum("w") for i in range(len(columns))]).alias("p"),
+        F.sum("w").alias("w"),
+    ).orderBy("p").collect()
+    centres = np.array([r["p"] for r in sums], float)
+    weights = np.array([r["w"] for r in sums], float)
     merges = ward_merges(centres, weights)
     groups = cut_merges(merges, len(centres), k)
-    if few:
-        coded = number.join(
-            spark.createDataFrame(list(enumerate(groups)), f"_micro int, {label} int"), "_micro"
-        ).drop("_micro")
-        labels = marked.join(F.broadcast(coded), "_p").drop("_p")
-    else:
-        ids = [r["_micro"] for r in sums]
-        coded = spark.createDataFrame(list(zip(ids, groups)), f"_micro int, {label} int")
-        labels = marked.join(F.broadcast(coded), "_micro").drop("_micro")
+    coded = spark.createDataFrame(list(zip([r["_micro"] for r in sums], groups)), f"_micro int, {label} int")
+    labels = model.transform(df.withColumn("_v", array_to_vector(point))).join(
+        F.broadcast(coded), "_micro").drop("_micro", "_v")  # at most ``micro`` rows
     table = spark.createDataFrame(
         [(i, l, r, h, s) for i, (l, r, h, s) in enumerate(merges)],
         "step int, left int, right int, height double, size int",
@@ -174,7 +164,11 @@ def subsample(df: DataFrame, key: str, fraction: float, run: int, seed: int = SE
         return df.limit(0)
     # The want-th smallest hash is the quantile whose position is a whole rank.
     edge = exact_quantiles(drawn.select("_u"), ["_u"], [(want - 1) / (n - 1)]).first()["value"]
-    return drawn.filter(F.col("_u") <= edge).drop("_u")
+    # Keys that share the edge's hash (chance hits, so few) are taken in their own order.
+    at = drawn.agg(F.count_if(F.col("_u") < edge).alias("below"), F.array_sort(F.collect_list(
+        F.when(F.col("_u") == edge, F.col(key)))).alias("ties")).first()
+    last = at["ties"][want - at["below"] - 1]
+    return drawn.filter((F.col("_u") < edge) | ((F.col("_u") == edge) & (F.col(key) <= F.lit(last)))).drop("_u")
 
 
 def stability_runs(df: DataFrame, columns: Sequence[str], k: int, base_label: str,
@@ -211,17 +205,21 @@ class Projection:
 
 
 def pca_projection(df: DataFrame, components: int = 2, features: str = "features") -> Projection:
-    """Adds ``pc1 ..``: centred scores, each component's largest loading positive."""
+    """Adds ``pc1 ..``: centred scores, each component's largest loading positive.
+
+    The signs are a step of ``model``, so a saved and reloaded one gives the same ``scores`` vector.
+    """
     centre = StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="_centred").fit(df)
     centred = centre.transform(df)
     pca = PCA(k=components, inputCol="_centred", outputCol="_pc").fit(centred)
     loadings = pca.pc.toArray()
     signs = [1.0 if loadings[np.abs(loadings[:, j]).argmax(), j] > 0 else -1.0 for j in range(components)]
-    scores = pca.transform(centred).withColumn("_a", vector_to_array("_pc"))
+    turn = ElementwiseProduct(scalingVec=Vectors.dense(signs), inputCol="_pc", outputCol="scores")
+    scores = turn.transform(pca.transform(centred)).withColumn("_a", vector_to_array("scores"))
     scores = scores.withColumns({
-        f"pc{j + 1}": F.col("_a")[j] * F.lit(signs[j]) for j in range(components)
-    }).drop("_a", "_pc", "_centred")
-    return Projection(scores, [float(v) for v in pca.explainedVariance], PipelineModel([centre, pca]))
+        f"pc{j + 1}": F.col("_a")[j] for j in range(components)
+    }).drop("_a", "_pc", "_centred", "scores")
+    return Projection(scores, [float(v) for v in pca.explainedVariance], PipelineModel([centre, pca, turn]))
 
 
 def segment_centres(df: DataFrame, label: str) -> DataFrame:

@@ -237,7 +237,7 @@ SELECT attribute, level_1, level_2, n_1, n_2, round(gap / sqrt(v1 / n_1 + v2 / n
   round(gap / sqrt(((n_1 - 1) * v1 + (n_2 - 1) * v2) / (n_1 + n_2 - 2)), 6) + 0.0 AS cohens_d FROM s""")
 def welch_tests(spark, sf_dir):
     """Without p, which SQL has no function for; see welch_p_values."""
-    table = eda.welch_tests(features(spark, sf_dir), _WELCH, "total_investment").drop("p")
+    table = eda.welch_tests(features(spark, sf_dir), _WELCH, "total_investment").drop("p", "levels")
     return rounded(table, {"t": 6, "df": 4, "cohens_d": 6})
 
 

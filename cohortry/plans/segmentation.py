@@ -148,6 +148,7 @@ def run(spark: SparkSession, register_path: str, ledger_path: str, out: str,
                 "feature_set", "scaler", "k", "silhouette", "davies_bouldin", "calinski_harabasz",
                 "n_indices_agreeing", "voted_by")],
             F.lit(elbow_k).alias("elbow_k"),
+            F.lit(len(matrix.names)).alias("n_model_features"),
             F.array(*[F.lit(n) for n in matrix.names]).alias("model_features"),
             one_row(M.separation(labelled, "cluster"))["behavioural_separation"].alias("behavioural_separation"),
             one_row(M.flag_redundancy(labelled, "cluster"))["flag_redundancy"].alias("flag_redundancy"),

@@ -145,3 +145,29 @@ def test_components(blobs):
     x = named_matrix(m).toPandas()[["p", "q", "r"]].to_numpy()
     values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     assert projection.explained == pytest.approx(list(values[:2] / values.sum()), abs=1e-9)
+
+
+def test_reloaded_components_give_the_written_scores(blobs, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    m = build_matrix(blobs, SET)
+    projection = V.pca_projection(m.df, 2)
+    projection.model.write().overwrite().save(str(tmp_path / "pca"))
+    again = PipelineModel.load(str(tmp_path / "pca")).transform(projection.df).select(
+        "pc1", "pc2", vector_to_array("scores").alias("s")).collect()
+    assert len(again) == 240
+    assert all(r["s"] == pytest.approx([r["pc1"], r["pc2"]], abs=1e-12) for r in again)
+
+
+def test_subsample_cuts_equal_hashes_by_key(spark, monkeypatch):
+    monkeypatch.setattr(V, "_HASH_RANGE", 4)
+    df = spark.range(100).withColumnRenamed("id", "client_id")
+    assert V.subsample(df, "client_id", 0.33, run=1).count() == 33
+
+
+def test_copies_do_not_take_places_of_micro_clusters(spark):
+    rows = [(float(i % 5), i) for i in range(300)]
+    tree = V.fit_hierarchical(spark.createDataFrame(rows, "a double, client_id int"), ["a"], 5, micro=10)
+    got = tree.labels.groupBy("a").agg({"hierarchical_cluster": "max"}).collect()
+    assert len({r[1] for r in got}) == 5 and tree.merges.count() == 4

@@ -140,3 +140,13 @@ def test_student_t(spark):
     rows = spark.createDataFrame([(0.0, 5.0), (2.0, 10.0), (-2.0, 10.0), (1.0, 1.0), (12.706204736, 1.0), (1.959963985, 1e7)], "t double, df double")
     got = [r[0] for r in rows.select(student_t_p(F.col("t"), F.col("df"))).collect()]
     assert got == pytest.approx([1.0, 0.0733880348, 0.0733880348, 0.5, 0.05, 0.05], abs=1e-7)
+
+
+def test_welch_returns_attributes_with_other_level_counts(spark):
+    from cohortry.operators import eda
+
+    df = spark.createDataFrame([(c, d, "x", float(i)) for i, (c, d) in enumerate(zip("aabbcc", "pqpqpq"))],
+                               "three string, two string, one string, y double")
+    got = {r["attribute"]: r for r in eda.welch_tests(df, ["three", "two", "one"], "y").collect()}
+    assert {a: r["levels"] for a, r in got.items()} == {"three": 3, "two": 2, "one": 1}
+    assert got["three"]["t"] is None and got["one"]["p"] is None and got["two"]["t"] is not None

@@ -96,3 +96,10 @@ def test_large_ids_and_tabbed_names(spark):
     df = spark.createDataFrame([("9007199254740993", "\tAnn ", "Lee\t"), (" 12.0", "B", "C"), ("1.5", "", "")], "a string, f string, l string")
     got = df.select(P.to_whole(F.col("a")).alias("w"), P.full_name(F.col("f"), F.col("l")).alias("n")).collect()
     assert [(r.w, r.n) for r in got] == [(9007199254740993, "Ann Lee"), (12, "B C"), (None, " ")]
+
+
+def test_dates_with_the_year_first_or_a_month_name(spark):
+    texts = ["1990/05/03", "1990-05-03 10:20:30", "1990-05-03T10:20:30.5Z", "3 May 1990", "03-may-1990", "May 3, 1990",
+             "3 March 1990", "SEPT 30 1990", "3 Mayor 1990", "1990-05/03", "31 June 1990", "1990-13-01"]
+    third, march = dt.date(1990, 5, 3), dt.date(1990, 3, 3)
+    assert apply(spark, texts, P.mixed_date) == [third] * 6 + [march, dt.date(1990, 9, 30), None, None, None, None]
