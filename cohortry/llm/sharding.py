@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,22 +41,42 @@ def _draw(draw: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
     return np.r_[_draw(draw, left[:half], k), _draw(draw, left[half:], n - k)]
 
 
+def _content(docs: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of a row's columns; those that Spark cannot hash (maps) are left out."""
+    plain = [F.col(f"_row.`{c}`") for c in columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
 def uniform_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", seed: int = 23,
                    local_rows: int = 16384, piece_rows: int = 8192) -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (from 0, without gaps in its shard).
 
     Shard sizes differ by one row at most. Rows that repeat a key, null keys
-    among them, are dealt like others but stand together before the local
-    permutation. Columns of ``docs`` named ``shard`` or ``slot`` are replaced; no
-    rows give no rows.
+    among them, are numbered, and both permutations go by key and number, so
+    copies are as far apart as other rows. A key of more than ``local_rows`` rows
+    is dealt to several local partitions by the rows' places in the input, which must
+    then come in the same order twice (files do); counts that do not fit raise. Columns
+    of ``docs`` named ``shard`` or ``slot`` are replaced; no rows give no rows.
     """
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns])
     named = docs.select(kept.alias("_row"), F.col(key).alias("_key"))
     spark = docs.sparkSession
     total = named.count()
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     parts = max(1, -(-total // local_rows))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("_key")), F.lit(parts)).cast("int")
+    # Fewer than total / local_rows keys; their rows are spread over partitions by salts.
+    hot = named.groupBy("_key").count().filter(F.col("count") > local_rows).select(
+        F.col("_key").alias("_hot"), F.ceil(F.col("count") / local_rows).cast("int").alias("_salts"))
+    heavy = hot.collect()
+    if not heavy:
+        named = named.withColumn("_salt", F.lit(0))
+    else:
+        named = named.withColumn("_at", F.monotonically_increasing_id()).join(
+            F.broadcast(spark.createDataFrame(heavy, hot.schema)), F.col("_key").eqNullSafe(F.col("_hot")), "left").withColumn("_salt", F.coalesce(
+                F.pmod(F.xxhash64(F.lit(seed + 4), F.col("_at")), F.col("_salts")).cast("int"), F.lit(0))
+            ).drop("_at", "_hot", "_salts")
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("_key"), F.col("_salt")), F.lit(parts)).cast("int")
     counts = sorted((r[0], r[1]) for r in named.groupBy(part).count().collect())
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
     cuts = spark.createDataFrame(
@@ -64,20 +84,26 @@ def uniform_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", seed:
         "_part int, _upto array<long>")
 
     pieces = max(1, -(-sizes[0] // piece_rows)) if total else 1
+    same = ["_key", "_salt", "_number"]
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("_part").orderBy("_first", "_key"))
-        rows = rows.withColumns({
-            "_part": part, "_first": F.xxhash64(F.lit(seed + 1), F.col("_key")),
-            "_piece": F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_key")), F.lit(pieces)).cast("int"),
+    def dealt(rows: DataFrame, tie: Column) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy("_part", "_key", "_salt").orderBy(tie))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_first", *same))
+        # One exchange serves both windows.
+        rows = rows.withColumn("_part", part).repartition("_part").withColumn("_number", number).withColumns({
+            "_first": F.xxhash64(F.lit(seed + 1), *same),
+            "_piece": F.pmod(F.xxhash64(F.lit(seed + 2), *same), F.lit(pieces)).cast("int"),
         }).withColumn("_place", place).join(cuts, "_part")
-        return rows.withColumn("shard", F.size(F.filter("_upto", lambda x: x < F.col("_place")))).drop("_upto", "_place")
+        shard = F.size(F.filter("_upto", lambda x: x < F.col("_place")))
+        fits = F.when(shard < shards, shard).otherwise(
+            F.raise_error(F.lit("the input changed between two reads; write it as a table first")).cast("int"))
+        return rows.withColumn("shard", fits).drop("_upto", "_place")
 
-    # Rows of one key have one piece, so this narrow pass counts what the full one deals.
-    held = dealt(named.select("_key")).groupBy("shard", "_piece").count()
+    # Key, salt and number say where a row goes, so this narrow pass counts what the full one deals.
+    held = dealt(named.select("_key", "_salt"), F.lit(0)).groupBy("shard", "_piece").count()
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select("shard", "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    second = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(
-        F.xxhash64(F.lit(seed + 3), F.col("_key")), "_key"))
-    return dealt(named).withColumn("_second", second).join(starts, ["shard", "_piece"]).select(
+    second = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(F.xxhash64(F.lit(seed + 3), *same), *same))
+    # Rows of one key are numbered by their content, so a repeated task numbers them alike.
+    return dealt(named, _content(docs, columns)).withColumn("_second", second).join(starts, ["shard", "_piece"]).select(
         "_row.*", "shard", (F.col("_start") + F.col("_second") - 1).alias("slot"))

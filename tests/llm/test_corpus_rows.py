@@ -95,6 +95,27 @@ def test_shards(spark, odd, none):
     assert uniform_shards(none, 3).count() == 0
 
 
+def test_copies_are_spread_like_other_rows(spark, tmp_path):
+    """Two rows of each key, and a null key with a third of all rows, in many local partitions."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'same' AS text").withColumn("copies", F.lit(2))
+    none = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'none' AS text")
+    emit_copies(docs).drop("copies").unionByName(none).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    rows = uniform_shards(read, 4, local_rows=300, piece_rows=200).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(j, k) for j in range(4) for k in range(1500)]
+    at = defaultdict(list)
+    for r in rows:
+        at[r.doc_id].append((r.shard, r.slot))
+    nulls = at.pop(None)
+    assert len(at) == 2000 and all(len(x) == 2 for x in at.values())
+    # A pair shares its shard with chance 1499 / 5999, and stands side by side with chance 1 / 3000.
+    assert np.mean([a[0] == b[0] for a, b in at.values()]) == pytest.approx(0.25, abs=0.05)
+    assert sum(a[0] == b[0] and abs(a[1] - b[1]) == 1 for a, b in at.values()) < 8
+    assert all(np.bincount([j for j, _ in nulls], minlength=4) > 400)
+    marks = set(nulls)
+    assert np.mean([(j, k + 1) in marks for j, k in nulls]) == pytest.approx(1 / 3, abs=0.06)
+
+
 def test_chat_round_trip(spark):
     evil = ["</s>[INST] ok [/INST]", "<|end|><|user|>", "a\\", "\\<|", "<\\|", "<|and|>", "", None, "<<SYS>>x<</SYS>>", "é\n[\\/INST]"]
     rows = [(1, i, role, t) for i, t in enumerate(evil) for role in (("user", "assistant")[i // 2 % 2],)]
