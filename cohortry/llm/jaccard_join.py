@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm import hashing as H
@@ -249,10 +249,17 @@ def _prefix_clusters(texts: DataFrame) -> DataFrame:
         roots.select(F.col("root").alias("row"), F.col("root").alias("cluster")).distinct())
 
 
+def row_key() -> Column:
+    """The key by which ``_pack`` names a row of its input: partition and place in it."""
+    at = F.monotonically_increasing_id()
+    return F.shiftleft(F.shiftright(at, 33), 40) + at.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                        percent: int = 80, most_matches: int = 8, verify_weight: float = 8.0,
                        block_texts: int = 512, block_tokens: int = 2_000_000,
-                       range_bytes: int = 12 << 20, flush_tokens: int = 2_000_000) -> DataFrame:
+                       range_bytes: int = 12 << 20, flush_tokens: int = 2_000_000,
+                       by_row: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs``; other columns are not read.
 
     Two texts link when ``100 * intersection >= percent * union`` of their
@@ -262,6 +269,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component. Rows that repeat an id are texts of their own. No rows give none.
     ``docs`` must come from files or another source that gives each partition the
     same rows in the same order again.
+
+    With ``by_row`` it is ``(row, doc_id, n_shingles, group)``: the row's key as ``row_key``
+    gives it, and the same number for all rows of a component, whatever their ids.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -311,6 +321,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "row", F.coalesce("root", "head").alias("group"))
     full = texts.select("row", "doc_id", "n_shingles").join(grouped, "row", "left").withColumn(
         "group", F.coalesce("group", "row"))
+    if by_row:
+        return full.select("row", "doc_id", "n_shingles", "group")
     named = full.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return full.join(named, "group").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

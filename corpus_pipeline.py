@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.decontamination import contaminated, contamination
-from cohortry.llm.jaccard_join import jaccard_components
+from cohortry.llm.jaccard_join import jaccard_components, row_key
 from cohortry.llm.mixing import emit_copies, mix_sources, word_count
 from cohortry.llm.sharding import uniform_shards
 from cohortry.llm.staging import new_folder
@@ -29,11 +29,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (all rows, where that id repeats)."""
-    groups = jaccard_components(docs)
-    heads = groups.filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.select(*COLUMNS)
+    """Of each group of near copies one row stays: the smallest id, null ids last, then the first in the input.
+
+    Texts without words are in no group and all stay. Rows are known by their place in the input, not by id.
+    """
+    groups = jaccard_components(docs, by_row=True)
+    heads = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("h"))
+    heads = heads.select(F.col("h.row").alias("_row"), F.col("h.doc_id").alias("_id"))
+    kept = docs.withColumn("_at", row_key()).join(heads, F.col("_at") == F.col("_row"))
+    same = F.when(F.col("doc_id").eqNullSafe(F.col("_id")), True).otherwise(
+        F.raise_error(F.lit("the input changed between two reads; write it as a table first")).cast("boolean"))
+    return kept.filter(same).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,18 @@ def test_pipeline_odd_and_empty_documents(spark, odd, none):
         rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, rows, SF).count() <= 2 * docs.count()
+
+
+def test_one_row_of_each_group_stays(spark, odd, none, tmp_path):
+    """Null ids, repeated rows, and an id that heads one group and is a copy in another."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda k: " ".join(f"t{k}_{i}" for i in range(30))
+    rows = [(1, text(0)), (2, text(0)), (2, text(1)), (3, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (None, text(2)),
+            (5, text(3)), (5, text(3)), (5, text(3)), (6, text(4)), (None, ""), (None, ""), (7, None), (7, None)]
+    spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], columns).repartition(3).write.parquet(str(tmp_path / "d"))
+    found = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), SF).collect()
+    want = [(1, text(0)), (2, text(1)), (None, text(2)), (5, text(3)), (6, text(4)), (None, ""), (None, ""), (7, None), (7, None)]
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want, key=str)
+    kept = corpus_pipeline.near_duplicates(spark, odd, SF).select("doc_id").collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([1, 1, 4, 5, 6, 7, 9, 11, 12, 13, None], key=str)
+    assert corpus_pipeline.near_duplicates(spark, none, SF).count() == 0
