@@ -5,7 +5,8 @@ A run of ``k`` units is an anchor when the least hash of its ``k - s + 1`` inner
 on nothing outside it, so edits move or remove only the anchors that they touch. Units
 are words, in short texts characters. A fingerprint lists the anchors with
 their place; two fingerprints are as alike as the share of anchors that
-they have in common at nearby places.
+they have in common at nearby places. Two texts are compared in one kind of unit:
+where their own kinds differ, one gets the anchors of the other's kind as well.
 """
 from __future__ import annotations
 
@@ -28,29 +29,84 @@ def _inner_runs(units: Column, s: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(units) - (s - 1)), lambda i: F.xxhash64(F.slice(units, i, s)))
 
 
-def anchors(text: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
-    """Anchors of a text in order, as ``hash * 2**24 + place``; equal texts have equal ones.
+def _whole(text: Column) -> Column:
+    return F.array(F.shiftleft(F.xxhash64(text), _PLACE_BITS) + F.lit(1).cast("long"))
+
+
+def _runs(units: Column, k: int, s: int, every: bool) -> Column:
+    """Anchors among the runs of ``k`` units; with ``every``, all runs where none is an anchor."""
+    inner = k - s + 1
+    marks = lambda at, u: F.transform(at, lambda i: F.shiftleft(F.xxhash64(F.slice(u, i, k)), _PLACE_BITS)
+                                      + F.least(i, F.lit((1 << _PLACE_BITS) - 1)).cast("long"))
+    ends = lambda h, i: F.least(F.element_at(h, i), F.element_at(h, i + inner - 1))
+    found = lambda u: _let(_inner_runs(u, s), lambda h: marks(F.filter(
+        F.sequence(F.lit(1), F.size(h) - (inner - 1)), lambda i: F.array_min(F.slice(h, i, inner)) == ends(h, i)), u))
+    some = lambda u: _let(found(u), lambda x: F.when(F.size(x) > 0, x).otherwise(
+        marks(F.sequence(F.lit(1), F.size(u) - (k - 1)), u))) if every else found(u)
+    return _let(units, lambda u: F.when(F.size(u) < k, F.array().cast("array<bigint>")).otherwise(some(u)))
+
+
+def _units(text: Column) -> Column:
+    """Words between white space."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return words
+
 
-    A text with fewer units than a run, or without an anchor, is one anchor as a whole.
+def anchors_of_kind(text: Column, kind: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
+    """Anchors of a text in order, as ``hash * 2**24 + place``, in the units of one kind.
+
+    ``kind`` is a place in ``characters``, or after its end for words. A text with
+    fewer units than a run has none.
     """
-    def of(units: Column, k: int, s: int) -> Column:
-        inner = k - s + 1
-        whole = F.array(F.shiftleft(F.xxhash64(text), _PLACE_BITS) + F.lit(1).cast("long"))
-        return _let(units, lambda u: F.when(F.size(u) < k, whole).otherwise(_let(
-            _let(_inner_runs(u, s), lambda h: F.transform(F.filter(
-                    F.sequence(F.lit(1), F.size(h) - (inner - 1)), lambda i: F.array_min(F.slice(h, i, inner)) == F.least(
-                        F.element_at(h, i), F.element_at(h, i + inner - 1))),
-                    lambda i: F.shiftleft(F.xxhash64(F.slice(u, i, k)), _PLACE_BITS)
-                    + F.least(i, F.lit((1 << _PLACE_BITS) - 1)).cast("long"))),
-            lambda found: F.when(F.size(found) > 0, found).otherwise(whole))))
-
-    split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    out = of(split, *words)
-    for most, k, s in reversed(characters):
-        out = F.when(F.char_length(text) <= most, of(F.split(text, ""), k, s)).otherwise(out)
+    out = _runs(_units(text), *words, every=False)
+    for i, (_, k, s) in enumerate(characters):
+        out = F.when(kind == i, _runs(F.split(text, ""), k, s, every=False)).otherwise(out)
     return out
 
 
+def kind_and_anchors(text: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
+    """``(kind, found)``: the kind of unit that a text has for its length, and its anchors; equal texts have equal ones.
+
+    A text without anchors is one anchor as a whole.
+    """
+    kind = F.lit(len(characters))
+    for i, (most, _, _) in reversed(list(enumerate(characters))):
+        kind = F.when(F.char_length(text) <= most, F.lit(i)).otherwise(kind)
+
+    def named(n: Column, found: Column) -> Column:
+        return F.struct(n.alias("kind"), found.alias("found"))
+
+    own = named(kind, anchors_of_kind(text, kind, words, characters))
+    return _let(own, lambda x: F.when(F.size(x["found"]) > 0, x).otherwise(named(x["kind"], _whole(text))))
+
+
+def anchors(text: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
+    """The anchors of ``kind_and_anchors``."""
+    return kind_and_anchors(text, words, characters)["found"]
+
+
+def likeness_of_texts(a: Column, a_own: Column, b: Column, b_own: Column,
+                      words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
+    """``likeness`` of two texts, given each one's ``kind_and_anchors``.
+
+    Where the kinds differ, the text of the coarser kind is taken in the finer one's units if it is at
+    most twice that kind's limit long, or if the other is above the limit itself (a
+    text without words); else the other is taken in the coarser units, which is cheap, as it is short.
+    """
+    def one_kind(p: Column, coarse: str, fine: str) -> Column:
+        kind, limit = p[fine]["kind"], F.lit(0)
+        for i, (most, _, _) in enumerate(characters):
+            limit = F.when(kind == i, F.lit(most)).otherwise(limit)
+        texts = {"a": a, "b": b}
+        finer = (F.char_length(texts[coarse]) <= 2 * limit) | (F.char_length(texts[fine]) > limit)
+        return F.when(finer, likeness(anchors_of_kind(texts[coarse], kind, words, characters), p[fine]["found"])).otherwise(
+            likeness(p[coarse]["found"], anchors_of_kind(texts[fine], p[coarse]["kind"], words, characters)))
+
+    return _let(F.struct(a_own.alias("a"), b_own.alias("b")), lambda p: F.when(
+        p["a"]["kind"] == p["b"]["kind"], likeness(p["a"]["found"], p["b"]["found"])).when(
+            p["a"]["kind"] > p["b"]["kind"], one_kind(p, "a", "b")).otherwise(one_kind(p, "b", "a")))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared anchors over all anchors (0 to 1).
 
@@ -103,18 +159,20 @@ def fingerprints_of_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     cuts = {"words": words, "characters": characters}
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = max(1, -(-plain.count() // range_rows))
-    mine = plain.withColumn("_mine", anchors(F.col("text"), **cuts))
+    mine = plain.withColumn("_mine", kind_and_anchors(F.col("text"), **cuts))
     rows = with_next(mine, "doc_id", F.struct(F.col("text").alias("t"), F.col("_mine").alias("m")), F.col("text"), ranges)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     following = F.coalesce(F.col("_next")["t"], F.col("_after"))
     rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), "_mine",
+        "doc_id", n.cast("long").alias("n_chars"), "text", "_mine", following.alias("_following"),
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring(following, F.lit(1), cut)).alias("_edited"),
-        F.coalesce(F.col("_next")["m"], anchors(F.col("_after"), **cuts)).alias("_theirs"))
-    rows = rows.withColumn("_changed", anchors(F.col("_edited"), **cuts))
+        F.coalesce(F.col("_next")["m"], kind_and_anchors(F.col("_after"), **cuts)).alias("_theirs"))
+    rows = rows.withColumn("_changed", kind_and_anchors(F.col("_edited"), **cuts))
+    text, edited, after = F.col("text"), F.col("_edited"), F.col("_following")
     return rows.select(
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
-        fingerprint_text(F.col("_mine")).alias("fingerprint"), fingerprint_text(F.col("_changed")).alias("edited_fingerprint"),
-        likeness(F.col("_mine"), F.col("_changed")).alias("near_edited"),
-        likeness(F.col("_mine"), F.col("_theirs")).alias("near_next"))
+        fingerprint_text(F.col("_mine")["found"]).alias("fingerprint"),
+        fingerprint_text(F.col("_changed")["found"]).alias("edited_fingerprint"),
+        likeness_of_texts(text, F.col("_mine"), edited, F.col("_changed"), **cuts).alias("near_edited"),
+        likeness_of_texts(text, F.col("_mine"), after, F.col("_theirs"), **cuts).alias("near_next"))

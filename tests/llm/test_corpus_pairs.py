@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortry.llm import jaccard_join as J
 from cohortry.llm.components import connected_components
 from cohortry.llm.decontamination import contamination
-from cohortry.llm.fingerprints import fingerprints_of_edits
+from cohortry.llm.fingerprints import fingerprints_of_edits, kind_and_anchors, likeness_of_texts
 from cohortry.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,18 @@ def test_fingerprints_of_edits(spark, odd, none):
     odd_rows = fingerprints_of_edits(odd, range_rows=4).collect()
     assert len(odd_rows) == odd.count() and all(0 <= r.near_edited <= 1 and r.fingerprint for r in odd_rows)
     assert fingerprints_of_edits(none).count() == 0
+
+
+def test_likeness_across_length_limits(spark):
+    """A text and its shorter copy on the other side of a limit have anchors in common."""
+    word = lambda k: f"{k * 7919 % 9973:x}lorem"
+    texts = {n: " ".join(word(k) for k in range(n))[:n] for n in (36, 44, 300, 390, 420, 900, 5000)}
+    pairs = [(44, 36), (420, 390), (390, 300), (420, 300), (900, 390), (900, 420)]
+    rows = spark.createDataFrame([(a, b, texts[a], texts[b]) for a, b in pairs], "n long, m long, x string, y string")
+    x, y = F.col("x"), F.col("y")
+    for r in rows.select("n", "m", likeness_of_texts(x, kind_and_anchors(x), y, kind_and_anchors(y)).alias("l"),
+                         likeness_of_texts(y, kind_and_anchors(y), x, kind_and_anchors(x)).alias("back")).collect():
+        assert r.l == r.back and r.l > 0.6 * r.m / r.n
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id BETWEEN 3000 AND 3100")
+    near = {r.doc_id: r.near_edited for r in fingerprints_of_edits(docs).collect()}
+    assert near[3051] > 0.4 and near[3098] > 0.4
