@@ -3,7 +3,8 @@
 A run of ``k`` units is an anchor when the least hash of its ``k - s + 1`` inner runs of
 ``s`` units is that of the first or of the last. Whether a run is an anchor depends
 on nothing outside it, so edits move or remove only the anchors that they touch. Units
-are words, in short texts characters. A fingerprint lists the anchors with
+are words, in short texts characters; the characters of a very long word are units of
+their own, so texts without spaces have runs too. A fingerprint lists the anchors with
 their place; two fingerprints are as alike as the share of anchors that
 they have in common at nearby places. Two texts are compared in one kind of unit:
 where their own kinds differ, one gets the anchors of the other's kind as well.
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 CHARACTERS = ((40, 3, 1), (400, 8, 3))
 #: Longer ones have words: (k, s).
 WORDS = (10, 2)
+#: A word of more characters is no unit; its characters are.
+LONG_WORD = 32
 _PLACE_BITS = 24
 
 
@@ -47,9 +50,10 @@ def _runs(units: Column, k: int, s: int, every: bool) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """Words between white space."""
+    """Words between white space, and the characters of those that are too long for a word."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return words
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]{%d}" % (LONG_WORD + 1)), F.flatten(F.transform(words, lambda w: F.when(
+        F.char_length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))).otherwise(words)
 
 
 def anchors_of_kind(text: Column, kind: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
@@ -60,23 +64,27 @@ def anchors_of_kind(text: Column, kind: Column, words: tuple[int, int] = WORDS,
     """
     out = _runs(_units(text), *words, every=False)
     for i, (_, k, s) in enumerate(characters):
-        out = F.when(kind == i, _runs(F.split(text, ""), k, s, every=False)).otherwise(out)
+        out = F.when(kind == i, _runs(F.split(text, ""), k, s, every=True)).otherwise(out)
     return out
 
 
 def kind_and_anchors(text: Column, words: tuple[int, int] = WORDS, characters=CHARACTERS) -> Column:
     """``(kind, found)``: the kind of unit that a text has for its length, and its anchors; equal texts have equal ones.
 
-    A text without anchors is one anchor as a whole.
+    A text without anchors over words has those over characters, and is one anchor as a whole
+    when it is shorter than a run of them too.
     """
-    kind = F.lit(len(characters))
+    last = len(characters)
+    kind = F.lit(last)
     for i, (most, _, _) in reversed(list(enumerate(characters))):
         kind = F.when(F.char_length(text) <= most, F.lit(i)).otherwise(kind)
 
     def named(n: Column, found: Column) -> Column:
         return F.struct(n.alias("kind"), found.alias("found"))
 
-    own = named(kind, anchors_of_kind(text, kind, words, characters))
+    own = _let(named(kind, anchors_of_kind(text, kind, words, characters)), lambda x: F.when(
+        (F.size(x["found"]) > 0) | (x["kind"] < last), x).otherwise(
+            named(F.lit(last - 1), anchors_of_kind(text, F.lit(last - 1), words, characters)) if last else x))
     return _let(own, lambda x: F.when(F.size(x["found"]) > 0, x).otherwise(named(x["kind"], _whole(text))))
 
 

@@ -149,3 +149,17 @@ def test_likeness_across_length_limits(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id BETWEEN 3000 AND 3100")
     near = {r.doc_id: r.near_edited for r in fingerprints_of_edits(docs).collect()}
     assert near[3051] > 0.4 and near[3098] > 0.4
+
+
+def test_fingerprints_of_texts_without_spaces(spark):
+    """Long texts without words, or with few, keep their likeness under an edit; so does one that gets words by it."""
+    draw = np.random.default_rng(5)
+    kanji = "".join(chr(0x4E00 + k) for k in draw.integers(0, 3000, 4000))
+    base64 = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij0123456789+/"[k] for k in draw.integers(0, 48, 3000))
+    prose = " ".join(f"word{k}" for k in draw.integers(0, 500, 600))
+    few = (" " * 60).join(f"some{k}word" for k in range(9))
+    rows = [(1, kanji), (2, prose), (3, base64), (4, prose[5:]), (5, few), (6, prose[9:])]
+    got = {r.doc_id: r for r in fingerprints_of_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d in (1, 3, 5):
+        assert got[d].near_edited > (0.2 if d == 5 else 0.4) and len(got[d].fingerprint) > 8 * 20
+        assert got[d].near_next < 0.1
