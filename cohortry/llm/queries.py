@@ -12,10 +12,11 @@ from cohortry.llm.fingerprints import fingerprints_of_edits
 from cohortry.llm.jaccard_join import jaccard_components
 from cohortry.llm.language_id import fit_languages, identify_language
 from cohortry.llm.mixing import mix_sources, word_count
+from cohortry.llm.prefix_trie import conversation_trie, ends_digest, numbered_turns, with_group_heads
 from cohortry.llm.resampling import fit_ratio, resample
 from cohortry.llm.samples import held_out
 from cohortry.llm.sharding import uniform_shards
-from cohortry.llm.staging import new_folder
+from cohortry.llm.staging import new_folder, staged
 from cohortry.llm.token_files import read_token_digests, write_token_files
 from cohortry.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -164,3 +165,15 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     drawn = resample(docs, fit_ratio(docs, table(spark, sf_dir, "labels")))
     return drawn.withColumn("held_out", held_out())
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered, convs = numbered_turns(table(spark, sf_dir, "conversations"))
+    convs = staged(convs, "convs")
+    trie = conversation_trie(with_group_heads(numbered, convs), convs.select("conv_id"))
+    # Nodes without an end get a key of their own, so they are dealt evenly.
+    own = F.coalesce("end_id", F.concat_ws("/", F.lit("own"), "conv_id", "depth"))
+    return trie.nodes.withColumn("end_id", own).join(ends_digest(trie.ends), "end_id", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
