@@ -16,6 +16,7 @@ from cohortry.llm.prefix_trie import conversation_trie, ends_digest, numbered_tu
 from cohortry.llm.resampling import fit_ratio, resample
 from cohortry.llm.samples import held_out
 from cohortry.llm.sharding import uniform_shards
+from cohortry.llm.spelling import spelling_forms, word_table
 from cohortry.llm.staging import new_folder, staged
 from cohortry.llm.token_files import read_token_digests, write_token_files
 from cohortry.llm.toxicity import fit_toxicity, score_toxicity
@@ -177,3 +178,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes.withColumn("end_id", own).join(ends_digest(trie.ends), "end_id", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(word_table(table(spark, sf_dir, "documents"))).select(
+        "word", "n", "n_near", "form", "form_n", "root")
