@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.chat_format import format_conversations, masked_texts, parsed_turns
 from cohortry.llm.decontamination import contaminated, contamination
 from cohortry.llm.fingerprints import fingerprints_of_edits
+from cohortry.llm.host_suffixes import main_text
 from cohortry.llm.jaccard_join import jaccard_components
 from cohortry.llm.language_id import fit_languages, identify_language
 from cohortry.llm.mixing import mix_sources, word_count
@@ -184,3 +185,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_forms(word_table(table(spark, sf_dir, "documents"))).select(
         "word", "n", "n_near", "form", "form_n", "root")
+
+
+@query("op13_main_text")
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "boilerplate_tokens")
