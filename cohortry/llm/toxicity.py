@@ -256,17 +256,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: Sequence[str] =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kept = [c for c in keep if c not in ("score", "predicted")]
-    named = [f"c{i}" for i in range(len(kept))]
+    # The text travels once, also where it is one of the columns to keep.
+    sent = [*kept, *(["text"] if "text" not in kept else [])]
+    named = {c: f"c{i}" for i, c in enumerate(sent)}
+    back = [named[c] for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in H.slices(batch, "text_", 2 << 20):
-                scores = shared.value.scores(piece.column("text_"))
+            for piece in H.slices(batch, named["text"], 1 << 20):
+                scores = shared.value.scores(piece.column(named["text"]))
                 yield pa.record_batch(
-                    [*[piece.column(c) for c in named], pa.array(scores, pa.float64()),
-                     pa.array((scores >= CUT).astype(np.int32))], names=[*named, "score", "predicted"])
+                    [*[piece.column(c) for c in back], pa.array(scores, pa.float64()),
+                     pa.array((scores >= CUT).astype(np.int32))], names=[*back, "score", "predicted"])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, named)], F.col("text").alias("text_"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in named.items()])
     types = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join([*[f"{n} {types[n]}" for n in named], "score double", "predicted int"]))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, named)], "score", "predicted")
+    out = rows.mapInArrow(run, ", ".join([*[f"{n} {types[n]}" for n in back], "score double", "predicted int"]))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, back)], "score", "predicted")
