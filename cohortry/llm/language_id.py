@@ -110,25 +110,26 @@ class LanguageModel:
         return ([self.languages[b] if s else UNKNOWN for b, s in zip(best, spoken)], np.where(spoken, score, 0.0))
 
 
-def _log_frequencies(keys: list[np.ndarray], counts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` frequent keys, sorted, and their smoothed log frequency by language."""
+def _log_frequencies(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys, sorted, and their smoothed log frequency by language."""
     every, back = np.unique(np.concatenate(keys), return_inverse=True)
     table = np.zeros((len(every), len(keys)))
     lengths = np.cumsum([0, *map(len, keys)])
     for k, c in enumerate(counts):
         table[back[lengths[k]:lengths[k + 1]], k] = c
     total = table.sum(axis=0)
-    frequent = np.sort(np.lexsort((every, -table.sum(axis=1)))[:most])
-    return every[frequent], np.log((table[frequent] + 0.5) / (total + 0.5 * len(every)))
+    return every, np.log((table + 0.5) / (total + 0.5 * len(every)))
 
 
-def fit_languages(docs: DataFrame, per_language: int = 2000, most_bytes: int = 100_000, most_words: int = 200_000,
-                  most_grams: int = 100_000, least_count: int = 2) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = 2000, most_bytes: int = 100_000, least_count: int = 2) -> LanguageModel:
     """A model from at most ``per_language`` texts (of ``most_bytes`` at most) of each ``lang``, held-out rows left out.
 
-    Words that occur once are learned only through their grams.
+    All words and grams of these texts are kept, so a small language loses none to a large
+    one; words that occur once are learned only through their grams. A language all of whose texts are
+    longer than ``most_bytes`` is not learned. Repeated rows count once; an empty table gives a model that
+    answers ``und``.
     """
-    sample = class_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), per_language, most_bytes)
+    sample = class_sample(docs, F.col("lang"), per_language, most_bytes)
     labels = np.array(sample.column("label").to_pylist(), object)
     languages = sorted(set(labels))
     if not languages:
@@ -148,7 +149,7 @@ def fit_languages(docs: DataFrame, per_language: int = 2000, most_bytes: int = 1
             distinct, back = np.unique(hashes, return_inverse=True)
             keys[n].append(distinct)
             counts[n].append(np.bincount(back, times[word], len(distinct)))
-    tables = {n: _log_frequencies(keys[n], counts[n], most_grams if n else most_words) for n in keys}
+    tables = {n: _log_frequencies(keys[n], counts[n]) for n in keys}
     return LanguageModel(languages, *tables[0], {n: tables[n] for n in GRAMS})
 
 

@@ -11,29 +11,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, seed: int = 5) -> DataFrame:
-    """``(doc_id, label, text, lang)`` of at most ``most`` documents per label, the first by a hash of their id.
+def sampled_texts(docs: DataFrame, labels: DataFrame | Column, most: int, most_bytes: int, seed: int = 5) -> DataFrame:
+    """``(doc_id, label, text, lang)`` of exactly ``most`` texts per label, or all if there are fewer.
 
-    ``labels``: ``(doc_id, label)``. Of each document the whole text; texts of more
-    than ``most_bytes`` are not learned from. The ids, at most ``most`` per
-    label, are broadcast to fetch the texts.
+    ``labels`` is a table ``(doc_id, label)``, or the label as a column of ``docs``. Texts are
+    taken in the order of a hash of their id, then of the text, and whole; texts of more
+    than ``most_bytes``, null ids and held-out rows are not learned from. Equal rows, and equal labels of
+    an id, count once. At most ``most`` names of texts per label are broadcast to fetch them.
     """
-    sizes = docs.select("doc_id", F.octet_length("text").alias("_n")).filter(
-        F.col("doc_id").isNotNull() & F.col("_n").between(1, most_bytes))
-    known = labels.filter(F.col("label").isNotNull() & ~held_out()).select("doc_id", "label").join(sizes.select("doc_id"), "doc_id")
+    text = F.xxhash64("text").alias("_h")
+    fit = docs.filter(F.col("doc_id").isNotNull() & F.octet_length("text").between(1, most_bytes) & ~held_out())
+    if isinstance(labels, Column):
+        rows = fit.select("doc_id", text, labels.alias("label")).filter(F.col("label").isNotNull()).distinct()
+    else:
+        known = labels.filter(F.col("label").isNotNull() & ~held_out()).select("doc_id", "label").distinct()
+        rows = fit.select("doc_id", text).distinct().join(known, "doc_id")
     order = F.xxhash64(F.lit(seed), "doc_id")
-    # Only hashes in reach of the first ``most`` are ranked, so one label's rows never meet in one task.
-    rows = known.groupBy("label").agg(F.count("*").alias("_rows"))  # one row per label
-    near = known.join(F.broadcast(rows), "label").filter(
-        order / F.lit(2.0 ** 64) + 0.5 < F.lit(2.0 * most + 1000) / F.col("_rows"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
-    chosen = near.withColumn("_p", place).filter(F.col("_p") <= most)
-    ids = docs.sparkSession.createDataFrame(
-        sorted({(r[0], r[1]) for r in chosen.select("doc_id", "label").collect()}, key=str), chosen.select("doc_id", "label").schema)
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").filter(
-        F.octet_length("text") <= most_bytes).select("doc_id", "label", "text", "lang")
-
-
-def class_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, seed: int = 5) -> pa.Table:
+    # Ids in reach of the first ``most`` are ranked; an id's rows are cut to ``most`` per label before the shuffle.
+    ids = rows.select("doc_id", "label").distinct().groupBy("label").agg(F.count("*").alias("_ids"))  # one row per label
+    near = rows.join(F.broadcast(ids), "label").filter(
+        order / F.lit(2.0 ** 64) + 0.5 < F.lit(2.0 * most + 1000) / F.col("_ids"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id", "_h"))
+    chosen = near.withColumn("_p", place).filter(F.col("_p") <= most).select("doc_id", "label", "_h")
+    names = docs.sparkSession.createDataFrame(sorted(map(tuple, chosen.collect()), key=str), chosen.schema)
+    found = fit.select("doc_id", "text", "lang", text).join(F.broadcast(names), ["doc_id", "_h"])
+    return found.groupBy("doc_id", "label", "_h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).drop("_h")
+
+
+def class_sample(docs: DataFrame, labels: DataFrame | Column, most: int, most_bytes: int, seed: int = 5) -> pa.Table:
     """The rows of ``sampled_texts`` on the driver, in order."""
     return sampled_texts(docs, labels, most, most_bytes, seed).orderBy("doc_id", "label", F.xxhash64("text")).toArrow()
