@@ -12,6 +12,7 @@ from cohortry.config import (
 )
 from cohortry.functions import parsing as P
 from cohortry.operators.scalars import one_row
+from cohortry.session import stage_table
 
 
 def drop_repeated_rows(df: DataFrame) -> DataFrame:
@@ -158,9 +159,12 @@ def cleaning_report(
     register_order: Sequence[str | Column] = REGISTER_COLUMNS,
     ledger_order: Sequence[str | Column] = LEDGER_COLUMNS,
 ) -> DataFrame:
-    """The audit as ``(position, check, value)``, value as text."""
-    first_clients = keep_first(raw_register, "client_id", register_order)
-    first_listings = keep_first(raw_ledger, "listing_id", ledger_order)
+    """The audit as ``(position, check, value)``, value as text.
+
+    The first rows per key are staged, as several checks read them.
+    """
+    first_clients = stage_table(
+        keep_first(raw_register, "client_id", register_order).select(*REGISTER_COLUMNS), "first_clients")
     c_in = one_row(raw_audit(raw_register, REGISTER_COLUMNS, "client_id"))
     l_in = one_row(raw_audit(raw_ledger, LEDGER_COLUMNS, "listing_id"))
     c_first = one_row(first_clients.agg(
@@ -169,9 +173,9 @@ def cleaning_report(
         F.count_if(P.ambiguous_date(F.col("date_of_birth"))).alias("ambiguous"),
         F.count_if(P.mixed_date(F.col("date_of_birth")).isNull()).alias("unparsed"),
     ))
-    # One pass over the first listings: labels as they came, the rest as cleaned.
+    # The first listings are chosen once: labels as they came, the rest as cleaned.
     tidied = [F.col(c).alias(f"raw_{c}") for c in LEDGER_LABELS]
-    listings = _typed_listings(first_listings, tidied)
+    listings = stage_table(_typed_listings(keep_first(raw_ledger, "listing_id", ledger_order), tidied), "first_listings")
     altered = sum((P.label_changed(F.col(f"raw_{c}")).cast("long") for c in LEDGER_LABELS), F.lit(0).cast("long"))
     l_out = one_row(listings.agg(
         F.count("*").alias("rows_out"),

@@ -3,14 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.config import CORRELATED
 from cohortry.functions import parsing as P
 from cohortry.functions.stats import pearson, sample_skewness, student_t_p, variation
+from cohortry.operators.moments import co_moments
 from cohortry.operators.quantiles import exact_quantiles, quantile_row
-from cohortry.operators.scalars import one_row, per_group
+from cohortry.operators.scalars import one_row
 
 
 def _long(row: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -75,21 +76,20 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataF
 def correlations(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
     """Pairs i < j of the correlation matrix over rows where both are known: ``(a, b, r)``.
 
-    Each row fans out to its pairs, which the map side folds at once into one
-    small buffer per pair.
+    Each task folds its rows into one small set of co-moments for all pairs. A constant column gives no correlation.
     """
-    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("xs"))
-    pairs = values.select("xs", F.posexplode("xs").alias("i", "x")).select(
-        "i", "x", F.posexplode(F.slice("xs", F.col("i") + 2, len(columns))).alias("step", "y")
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    # A constant column gives no correlation; the built-in raises for it.
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return (
-        pairs.filter(both).groupBy("i", "step").agg(pearson("x", "y").alias("r"))
-        .select(F.get(names, F.col("i")).alias("a"),
-                F.get(names, F.col("i") + F.col("step") + 1).alias("b"), "r")
-    )
+    n, x, xx, xy = co_moments(df, columns)
+    rows = []
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            if not n[i, j]:
+                continue
+            ma, mb = x[i, j] / n[i, j], x[j, i] / n[i, j]
+            qa, qb = xx[i, j] / n[i, j], xx[j, i] / n[i, j]
+            va, vb = qa - ma * ma, qb - mb * mb
+            known = va > 1e-13 * qa and vb > 1e-13 * qb
+            rows.append((a, columns[j], float((xy[i, j] / n[i, j] - ma * mb) / (va * vb) ** 0.5) if known else None))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
@@ -178,17 +178,15 @@ def equal_histogram(df: DataFrame, column: str, bins: int = 45) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Quartiles, whiskers at 1.5 quartile ranges and outlier count per group."""
-    quartiles = per_group(quantile_row(df, column, (0.25, 0.5, 0.75), by), by)
+    """Quartiles, whiskers at 1.5 quartile ranges and outlier count per group; groups may be many."""
+    quartiles = quantile_row(df, column, (0.25, 0.5, 0.75), by)
     x = F.col(column)
-    rows = df.filter(x.isNotNull() & F.col(by).isNotNull()).select(
-        by, x.cast("double").alias("x"), quartiles[F.col(by)].alias("q")
-    )
-    reach = (F.col("q.q2") - F.col("q.q0")) * 1.5
-    inside = F.col("x").between(F.col("q.q0") - reach, F.col("q.q2") + reach)
+    rows = df.filter(x.isNotNull() & F.col(by).isNotNull()).select(by, x.cast("double").alias("x")).join(quartiles, by)
+    reach = (F.col("q2") - F.col("q0")) * 1.5
+    inside = F.col("x").between(F.col("q0") - reach, F.col("q2") + reach)
     return rows.groupBy(by).agg(
         F.count("*").alias("n"),
-        F.max("q.q0").alias("q1"), F.max("q.q1").alias("median"), F.max("q.q2").alias("q3"),
+        F.max("q0").alias("q1"), F.max("q1").alias("median"), F.max("q2").alias("q3"),
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
@@ -278,15 +276,17 @@ def reading_order_sensitivity(df: DataFrame, column: str) -> DataFrame:
 
 
 def row_shares(df: DataFrame, row: str, column: str, top: int) -> DataFrame:
-    """Share of each ``column`` level within the ``top`` most frequent ``row`` levels.
+    """Share of each ``column`` level within the ``top`` most frequent ``row`` levels, also where no row is.
 
-    Counting comes first, so the choice of rows works on the small table.
+    Counting comes first, so the choice of rows and the zero cells work on the small table. The levels are those
+    that the chosen rows have.
     """
-    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(
-        F.count("*").alias("n")
-    )
     best = top_levels(df, row, top).select(F.col("level").alias(row))
-    total = F.sum("n").over(Window.partitionBy(row))
-    return cells.join(best, row, "left_semi").select(
-        row, column, "n", (F.col("n") / total).alias("share")
-    )
+    cells = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(
+        F.count("*").alias("n")).join(best, row, "left_semi")
+    levels = cells.agg(F.collect_set(column)).scalar()
+    per_row = cells.groupBy(row).agg(
+        F.map_from_entries(F.collect_list(F.struct(column, "n"))).alias("m"), F.sum("n").alias("total"))
+    counted = per_row.select(row, "m", "total", F.explode(levels).alias(column)).withColumn(
+        "n", F.coalesce(F.try_element_at("m", F.col(column)), F.lit(0)))
+    return counted.select(row, column, "n", (F.col("n") / F.col("total")).alias("share"))

@@ -99,11 +99,17 @@ def client_features(register: DataFrame, ledger: DataFrame,
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(column, code)``: levels numbered in sorted order, NULL as the text "nan".
 
-    Only the distinct levels are ordered, after the map-side distinct.
+    The distinct levels are dealt by ranges, staged and numbered range by range; the levels of the
+    ranges before are added. Beside the rows there is only one count per range.
     """
     levels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias(column)).distinct()
-    order = Window.orderBy(column)
-    return levels.withColumn(f"{column}_code", (F.row_number().over(order) - 1).cast("int"))
+    ranged = stage_table(levels.repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "levels")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("_range", "n"))).scalar()
+    before = F.aggregate(F.filter("_counts", lambda x: x["_range"] < F.col("_range")), F.lit(0).cast("bigint"),
+                         lambda total, x: total + x["n"])
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_counts", counts).withColumn("_place", place).select(
+        column, (before + F.col("_place") - 1).cast("int").alias(f"{column}_code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str] = CODED) -> DataFrame:

@@ -7,18 +7,19 @@ of the same rows (see ``stack_labels``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.config import BEHAVIOUR_CORE, BUYER_FLAGS, DECLARED
-from cohortry.functions.stats import ln_factorial
 from cohortry.operators.scalars import one_row
+from cohortry.session import stage_table
 
 
 def stack_labels(df: DataFrame, label_columns: dict[object, str], key: str = "k") -> DataFrame:
@@ -65,10 +66,25 @@ def feature_separation(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def eta_squared(df: DataFrame, label: str, columns: Sequence[str] = BEHAVIOUR_CORE,
                 by: Sequence[str] = ()) -> DataFrame:
-    """Share of each column's variance that the labels explain; 0 for a constant."""
-    return feature_separation(label_moments(df, label, columns, by), by).select(
-        *by, "feature", "eta_squared"
-    )
+    """``(by.., feature, eta_squared)``: share of each column's variance that the labels explain; 0 for a constant.
+
+    Means and variance are those of the known values; a label weighs with all its rows, and one
+    without a known value does not count.
+    """
+    stats = df.groupBy(*by, label).agg(F.count("*").alias("rows"), *[
+        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("v"),
+                 F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(f"s_{i}")
+        for i, c in enumerate(columns)])
+    long = stats.select(*by, "rows", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"s_{i}").alias("s")) for i, c in enumerate(columns)])))
+    group = Window.partitionBy(*by, "feature")
+    grand = F.sum(F.col("s.n") * F.col("s.mean")).over(group) / F.sum("s.n").over(group)
+    gap = F.col("s.mean") - F.col("g")
+    sums = long.withColumn("g", grand).groupBy(*by, "feature").agg(
+        F.sum(F.col("rows") * gap * gap).alias("between"), F.sum(F.col("s.n") * (F.col("s.v") + gap * gap)).alias("whole"),
+        (F.min("s.lo") == F.max("s.hi")).alias("constant"))
+    share = F.when(F.col("constant"), 0.0).otherwise(F.coalesce(F.try_divide("between", "whole"), F.lit(0.0)))
+    return sums.select(*by, "feature", share.alias("eta_squared"))
 
 
 def _mean_separation() -> list[Column]:
@@ -101,26 +117,6 @@ def variance_ratio(df: DataFrame, label: str, columns: Sequence[str],
     ).select(*by, "rows", "labels", "inertia", _ratio())
 
 
-def moment_scores(df: DataFrame, label: str, columns: Sequence[str], substance: bool,
-                  k: Column, by: Sequence[str]) -> DataFrame:
-    """Inertia, variance ratio, cluster sizes and separations from one pass."""
-    more = [c for c in dict.fromkeys(BEHAVIOUR_CORE + DECLARED) if c not in columns] if substance else []
-    parts = feature_separation(label_moments(df, label, [*columns, *more], by), by)
-    matrix = F.col("feature").isin(*columns)
-    sums = parts.groupBy(*by).agg(
-        F.max("n").alias("rows"), F.max("labels").alias("labels"), F.min("smallest").alias("smallest"),
-        F.sum(F.when(matrix, F.col("ssw"))).alias("inertia"),
-        F.sum(F.when(matrix, F.col("ssb"))).alias("ssb"),
-        *(_mean_separation() if substance else []),
-    )
-    size = F.when(F.col("labels") < k, F.lit(0).cast("bigint")).otherwise(F.col("smallest"))
-    return sums.select(
-        *by, "inertia", _ratio(), size.alias("min_cluster_size"),
-        (size / F.col("rows")).alias("min_cluster_pct"),
-        *(("behavioural_separation", "declared_separation") if substance else ()),
-    )
-
-
 def _distance(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
@@ -130,14 +126,14 @@ def davies_bouldin(df: DataFrame, label: str, columns: Sequence[str],
                    by: Sequence[str] = ()) -> DataFrame:
     """``(by.., davies_bouldin)``: centroids, then mean distance to them.
 
-    There is one centroid per label of the model; the comparison of centroids
-    works on an array of them.
+    There is one centroid per label of the model; Spark picks the join with them by their size. The
+    comparison of centroids works on an array of them.
     """
     point = F.array(*[F.col(c).cast("double") for c in columns])
     centres = df.groupBy(*by, label).agg(F.array(*[F.avg(c) for c in columns]).alias("_c"))
     keys = [*by, label]
     spread = (
-        df.select(*keys, point.alias("_p")).join(F.broadcast(centres), keys)
+        df.select(*keys, point.alias("_p")).join(centres, keys)
         .groupBy(*keys).agg(F.avg(_distance(F.col("_p"), F.col("_c"))).alias("s"),
                             F.first("_c").alias("c"))
     )
@@ -168,24 +164,26 @@ def cluster_sizes(df: DataFrame, label: str, k: int | Column, by: Sequence[str]
 
 # --- agreement of two labelings ----------------------------------------------
 def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by.., a, b, nij, ai, bj, n)``."""
-    cells = df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("nij"))
-    return cells.select(
-        "*",
-        F.sum("nij").over(Window.partitionBy(*by, "a")).alias("ai"),
-        F.sum("nij").over(Window.partitionBy(*by, "b")).alias("bj"),
-        F.sum("nij").over(Window.partitionBy(*by, *([] if by else [F.lit(0)]))).alias("n"),
-    )
+    """``(by.., a, b, nij)``."""
+    return df.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("nij"))
+
+
+def _pairs(n: Column) -> Column:
+    x = n.cast("double")
+    return x * (x - 1) / 2
 
 
 def _rand(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    n = F.max("n").cast("double")
-    pairs = n * (n - 1) / 2
-    nij = F.col("nij").cast("double")
-    s = F.sum(nij * (nij - 1) / 2)
-    # Each label's n(n-1)/2, spread over its cells.
-    sa, sb = F.sum(nij * (F.col("ai") - 1) / 2), F.sum(nij * (F.col("bj") - 1) / 2)
-    parts = cells.groupBy(*by).agg(s.alias("s"), sa.alias("sa"), sb.alias("sb"), pairs.alias("p"))
+    """From sums over the cells and over the label sizes of each side; no cell is looked up beside another."""
+    whole = cells.groupBy(*by).agg(F.sum(_pairs(F.col("nij"))).alias("s"), _pairs(F.sum("nij")).alias("p"))
+    sides = [
+        cells.groupBy(*by, side).agg(F.sum("nij").alias("n")).groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias(f"s{side}"))
+        for side in ("a", "b")
+    ]
+    if by:
+        parts = whole.join(sides[0], list(by)).join(sides[1], list(by))
+    else:
+        parts = whole.select("*", sides[0].scalar().alias("sa"), sides[1].scalar().alias("sb"))
     expected = F.try_divide(F.col("sa") * F.col("sb"), F.col("p"))
     top, bottom = F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2 - expected
     return parts.select(*by, F.coalesce(F.try_divide(top, bottom), F.lit(1.0)).alias("adjusted_rand"))
@@ -199,61 +197,64 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
 _TERMS_PER_ROW = 50_000
 
 
-def _expected_information(cells: DataFrame) -> DataFrame:
+def _expected_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the terms of each chunk; the probabilities follow from each other along it."""
+    for batch in batches:
+        out = []
+        for n, x, y, times, first, last in zip(*[batch.column(c).to_pylist() for c in ("n", "x", "y", "times", "first", "last")]):
+            m = np.arange(first, last + 1, dtype=float)
+            start = (math.lgamma(x + 1) + math.lgamma(y + 1) + math.lgamma(n - x + 1) + math.lgamma(n - y + 1) - math.lgamma(n + 1)
+                     - math.lgamma(first + 1) - math.lgamma(x - first + 1) - math.lgamma(y - first + 1) - math.lgamma(n - x - y + first + 1))
+            step = (x - m[:-1]) * (y - m[:-1]) / (m[1:] * (n - x - y + m[1:]))
+            p = np.exp(start + np.r_[0.0, np.cumsum(np.log(step))])
+            out.append(times * float((m / n * np.log(n * m / (float(x) * y)) * p).sum()))
+        yield pa.record_batch([pa.array(out, pa.float64())], names=["e"])
+
+
+def _expected_information(sizes_a: DataFrame, sizes_b: DataFrame, n: Column) -> DataFrame:
     """Expected mutual information of random labelings with these sizes: one row ``emi``.
 
-    The terms of each pair of labels are produced in chunks, so that no row
-    holds a long list and the work spreads over the tasks.
+    Labels of one size are alike, so pairs of sizes are worked, with how often they occur: ``sizes``
+    is ``(x, times)``. There are at most about the square root of twice the rows different sizes. Long ranges of
+    terms are cut into chunks, which spread over the tasks.
     """
-    sides = cells.agg(
-        F.array_distinct(F.collect_list(F.struct("a", F.col("ai").alias("size")))).alias("rows"),
-        F.array_distinct(F.collect_list(F.struct("b", F.col("bj").alias("size")))).alias("cols"),
-        F.max("n").alias("n"),
-    )
-    pairs = sides.select("n", "cols", F.explode("rows").alias("r")).select(
-        "n", F.col("r.size").alias("ai"), F.explode("cols").alias("c")
-    ).select("n", "ai", F.col("c.size").alias("bj"))
+    other = sizes_b.agg(F.collect_list(F.struct(F.col("x").alias("y"), F.col("times").alias("times_b")))).scalar()
+    pairs = sizes_a.select("x", "times", n.alias("n"), F.inline(other))
     ranged = pairs.select(
-        "*", F.greatest(F.lit(1), F.col("ai") + F.col("bj") - F.col("n")).alias("first"),
-        F.least("ai", "bj").alias("last"),
-    )
+        "n", "x", "y", (F.col("times") * F.col("times_b")).alias("times"),
+        F.greatest(F.lit(1), F.col("x") + F.col("y") - F.col("n")).alias("first"), F.least("x", "y").alias("end"))
     chunked = ranged.select("*", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.floor((F.col("last") - F.col("first")) / _TERMS_PER_ROW)
+        F.lit(0).cast("bigint"), F.floor((F.col("end") - F.col("first")) / _TERMS_PER_ROW)
     )).alias("chunk"))
     start = F.col("first") + F.col("chunk") * _TERMS_PER_ROW
-    terms = chunked.repartition("ai", "bj", "chunk").select(
-        "n", "ai", "bj",
-        F.explode(F.sequence(start, F.least("last", start + (_TERMS_PER_ROW - 1)))).alias("m"),
-    )
-    n, a, b, m = (F.col(c).cast("double") for c in ("n", "ai", "bj", "m"))
-    lf = lambda x: ln_factorial(x)
-    c = F.col
-    log_p = (
-        lf(c("ai")) + lf(c("bj")) + lf(c("n") - c("ai")) + lf(c("n") - c("bj")) - lf(c("n"))
-        - lf(c("m")) - lf(c("ai") - c("m")) - lf(c("bj") - c("m"))
-        - lf(c("n") - c("ai") - c("bj") + c("m"))
-    )
-    return terms.agg(F.coalesce(
-        F.sum(m / n * F.log(n * m / (a * b)) * F.exp(log_p)), F.lit(0.0)
-    ).alias("emi"))
+    terms = chunked.select("n", "x", "y", "times", start.alias("first"), F.least("end", start + (_TERMS_PER_ROW - 1)).alias("last"))
+    return terms.repartition("x", "y", "first").mapInArrow(_expected_terms, "e double").agg(
+        F.coalesce(F.sum("e"), F.lit(0.0)).alias("emi"))
 
 
 def compare_partitions(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``(adjusted_rand, adjusted_mutual_info)``; arithmetic mean of the entropies."""
-    cells = contingency(df, a, b)
-    n, nij = F.col("n").cast("double"), F.col("nij").cast("double")
-    info = cells.agg(
-        F.sum(nij / n * F.log(n * nij / (F.col("ai") * F.col("bj").cast("double")))).alias("mi"),
-        F.sum(-nij / n * F.log(F.col("ai") / n)).alias("ha"),
-        F.sum(-nij / n * F.log(F.col("bj") / n)).alias("hb"),
-    )
-    emi = one_row(_expected_information(cells))["emi"]
+    """One row ``(adjusted_rand, adjusted_mutual_info)``; arithmetic mean of the entropies.
+
+    Everything follows from the cells, staged, and the label sizes of each side.
+    """
+    cells = stage_table(contingency(df, a, b), "cells")
+    n = cells.agg(F.sum("nij")).scalar()
+
+    def entropy(x: Column, times: Column) -> Column:
+        share = x / n.cast("double")
+        return -F.sum(times * share * F.log(share))
+
+    sizes = [cells.groupBy(side).agg(F.sum("nij").alias("x")).groupBy("x").agg(F.count("*").alias("times")) for side in ("a", "b")]
+    ha, hb = [s.agg(entropy(F.col("x"), F.col("times"))).scalar() for s in sizes]
+    joint = cells.agg(entropy(F.col("nij"), F.lit(1)).alias("joint"))
+    emi = one_row(_expected_information(*sizes, n))["emi"]
     ari = one_row(_rand(cells, ()))["adjusted_rand"]
-    mean = (F.col("ha") + F.col("hb")) / 2
-    return info.withColumn("emi", emi).select(
-        ari.alias("adjusted_rand"),
+    info = joint.select("joint", ha.alias("ha"), hb.alias("hb"), emi.alias("emi"), ari.alias("adjusted_rand"))
+    shared, mean = F.col("ha") + F.col("hb") - F.col("joint"), (F.col("ha") + F.col("hb")) / 2
+    return info.select(
+        "adjusted_rand",
         F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise(
-            F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), mean - F.col("emi")), F.lit(1.0))
+            F.coalesce(F.try_divide(shared - F.col("emi"), mean - F.col("emi")), F.lit(1.0))
         ).alias("adjusted_mutual_info"),
     )
 

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.operators.scalars import per_group
-
 _ACCURACY = 10000
 _MARGIN = 8.0 / _ACCURACY
 
@@ -27,7 +25,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long table ``([by,] feature, prob, value)`` with linear interpolation.
 
-    ``by`` names one grouping column with few values. NULLs are skipped.
+    ``by`` names one grouping column, also with very many values: the brackets are joined by it. NULLs are skipped.
     """
     keys = [by] if by else []
     source = df.filter(F.col(by).isNotNull()) if by else df
@@ -46,10 +44,10 @@ def exact_quantiles(
         sketch.select(*keys, F.struct("fi", F.array(*lo).alias("lo"), F.array(*hi).alias("hi")).alias("b"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("bs"))
     )
-    found = per_group(brackets, by)[F.col(by)]["bs"] if by else brackets.scalar()
+    known = long.filter(F.col("v").isNotNull())
+    known = known.join(brackets, by) if by else known.withColumn("bs", brackets.scalar())
     rows = (
-        long.filter(F.col("v").isNotNull())
-        .withColumn("b", F.get(found, F.col("fi")))
+        known.withColumn("b", F.get(F.col("bs"), F.col("fi")))
         .select(*keys, "fi", "v", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     )
 

@@ -1,11 +1,9 @@
 """K-Means fits, the grid of configurations, and the choice among them."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,8 @@ from cohortry.config import (
     BEHAVIOUR_CORE, BUYER_FLAGS, DECLARED, FEATURE_SETS, K_RANGE, SCALERS, SEED, FeatureSet,
 )
 from cohortry.operators import metrics as M
-from cohortry.operators.matrix import Matrix, build_matrix, require_complete
+from cohortry.operators.lloyd import Blocks, Clustering, Labeling, fit_models, measure, pack
+from cohortry.operators.matrix import Matrix, build_matrix, one_hot_terms, require_complete, scaling_terms
 
 INDICES = ("silhouette", "davies_bouldin", "calinski_harabasz")
 EXPERIMENT_SCHEMA = (
@@ -26,138 +25,178 @@ EXPERIMENT_SCHEMA = (
 
 
 # --- fits ---------------------------------------------------------------------
-def fit_kmeans_many(df: DataFrame, ks: Sequence[int], n_init: int, seed: int = SEED,
-                    max_iter: int = 100, tol: float = 1e-3, parallelism: int = 8,
-                    features: str = "features") -> dict[int, KMeansModel]:
-    """The cheapest of ``n_init`` fits for every k; ``df`` should be persisted.
+def matrix_columns(df: DataFrame) -> list[str]:
+    """The columns ``x_0, x_1, ..`` of a matrix."""
+    return [c for c in df.columns if re.fullmatch(r"x_\d+", c)]
 
-    Restarts and values of k are independent jobs, so they run side by side as
-    the parameter searches of ``pyspark.ml`` do.
+
+def fit_kmeans_many(df: DataFrame, ks: Sequence[int], n_init: int, seed: int = SEED, max_iter: int = 100,
+                    tol: float = 1e-4, columns: Sequence[str] | None = None) -> dict[int, Clustering]:
+    """The cheapest of ``n_init`` fits for every k over ``columns`` (those of a matrix, if not named).
+
+    All restarts and values of k share their passes over the rows.
     """
-    def fit(task: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
-        k, restart = task
-        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=tol, featuresCol=features,
-                       predictionCol="_nearest").fit(df)
-        return k, model.summary.trainingCost, restart, model
-
-    tasks = [(k, r) for k in ks for r in range(n_init)]
-    pool = ThreadPool(min(parallelism, len(tasks)))
+    columns = list(columns or matrix_columns(df))
+    blocks = pack(df, columns)
     try:
-        done = pool.map(inheritable_thread_target(df.sparkSession)(fit), tasks)
+        fits = fit_models(blocks, {"": columns}, ks, n_init, seed, max_iter, tol)
     finally:
-        pool.close()
-    best: dict[int, tuple[float, int, KMeansModel]] = {}
-    for k, cost, restart, model in done:
-        if k not in best or (cost, restart) < best[k][:2]:
-            best[k] = (cost, restart, model)
-    return {k: model for k, (_, _, model) in best.items()}
+        blocks.release()
+    return {k: Clustering(f.best, tuple(columns), float(f.cost.min())) for (_, k), f in fits.items()}
 
 
-def fit_kmeans(df: DataFrame, k: int, n_init: int = 50, seed: int = SEED, **options) -> KMeansModel:
+def fit_kmeans(df: DataFrame, k: int, n_init: int = 50, seed: int = SEED, **options) -> Clustering:
     """One final model: the cheapest of ``n_init`` restarts."""
     return fit_kmeans_many(df, [k], n_init, seed, **options)[k]
 
 
-def label_with(df: DataFrame, models: dict[int, KMeansModel], features: str = "features") -> DataFrame:
-    """Adds ``label_<k>`` for every model, in one pass over the rows."""
+def label_with(df: DataFrame, models: dict[int, Clustering]) -> DataFrame:
+    """Adds ``label_<k>`` for every model."""
     for k, model in models.items():
-        df = model.copy().setFeaturesCol(features).setPredictionCol(f"label_{k}").transform(df)
+        df = model.setPredictionCol(f"label_{k}").transform(df)
     return df
 
 
 # --- scores -------------------------------------------------------------------
-def score_labelings(labelled: DataFrame, columns: Sequence[str], ks: Sequence[int],
-                    substance: bool, silhouette: str = "euclidean") -> list[dict]:
-    """All measures for all k at once: one dict per k, in order of k.
+_SUBSTANCE = tuple(dict.fromkeys(BEHAVIOUR_CORE + DECLARED))
+_EXPLAINED = {
+    "behavioural_separation": [f"eta__{c}" for c in BEHAVIOUR_CORE],
+    "declared_separation": [f"eta__{c}" for c in DECLARED],
+}
 
-    One pass gives everything that follows from label means and variances;
-    the other measures are independent jobs that run beside it. The results
-    are one row per k.
-    """
-    names = {k: f"label_{k}" for k in ks}
-    more = list(dict.fromkeys(BEHAVIOUR_CORE + DECLARED)) if substance else []
-    used = [*columns, *(c for c in more if c not in columns), *names.values()]
-    stacked = M.stack_labels(labelled.select(*used), names)
 
-    def moments() -> list:
-        return M.moment_scores(stacked, "label", columns, substance, F.col("k"), ["k"]).collect()
+def _substance(df: DataFrame) -> dict[str, str]:
+    """SQL of the columns that tell what labels are about: scaled ones, and the crossed flags as a code."""
+    scaled = scaling_terms(df, FeatureSet("", _SUBSTANCE), "standard")
+    flags = " + ".join(f"{1 << i} * CAST(`{c}` AS INT)" for i, c in enumerate(BUYER_FLAGS))
+    return {**{f"eta__{c}": sql for c, sql in scaled}, "flag_cross": flags}
+
 
-    def compactness() -> list:
-        return M.davies_bouldin(stacked, "label", columns, ["k"]).collect()
+def _named(score: dict, silhouette: float | None = None) -> dict:
+    out = {**score, **({"flag_redundancy": score["redundancy"]} if "redundancy" in score else {})}
+    return out if silhouette is None else {**out, "silhouette": silhouette}
 
-    def redundancy() -> list:
-        return M.flag_redundancy(stacked, "label", ["k"]).collect() if substance else []
 
-    def cohesion() -> list[dict]:
-        if silhouette == "squared":
-            return [{"k": k, "silhouette": M.squared_silhouette(labelled, c)} for k, c in names.items()]
-        if silhouette != "euclidean":
-            raise ValueError(f"unknown silhouette {silhouette!r}")
-        scores = M.silhouette_score(labelled, columns, {c: k for k, c in names.items()}).collect()
-        return [{"k": int(r["labeling"].split("_")[1]), "silhouette": r["silhouette"]} for r in scores]
+def _check_measure(silhouette: str) -> None:
+    if silhouette not in ("squared", "euclidean"):
+        raise ValueError(f"unknown silhouette {silhouette!r}")
 
-    tasks = (moments, compactness, redundancy, cohesion)
-    pool = ThreadPool(len(tasks))
+
+def score_labelings(labelled: DataFrame, columns: Sequence[str], ks: Sequence[int], substance: bool,
+                    silhouette: str = "squared") -> list[dict]:
+    """All measures of ``label_<k>`` for all k, from two passes over the rows: one dict per k, in order of k.
+
+    The silhouette is that on squared distances, linear in the rows. ``euclidean`` asks for
+    the one on distances, whose work grows with the square of the distinct rows.
+    """
+    _check_measure(silhouette)
+    names = {k: f"label_{k}" for k in ks}
+    more = _substance(labelled) if substance else {}
+    blocks = pack(labelled.selectExpr(
+        *[f"`{c}`" for c in (*columns, *names.values())], *[f"{sql} AS `{c}`" for c, sql in more.items()]),
+        [*columns, *names.values(), *more])
     try:
-        done = pool.map(inheritable_thread_target(labelled.sparkSession)(lambda task: task()), tasks)
+        matrix = blocks.at(columns)
+        scores = measure(blocks, [Labeling(matrix, k, label=int(blocks.at([c])[0])) for k, c in names.items()],
+                         _EXPLAINED if substance else None, "flag_cross" if substance else None, 1 << len(BUYER_FLAGS))
     finally:
-        pool.close()
-    out: dict[int, dict] = {k: {} for k in ks}
-    for rows in done:
-        for row in rows:
-            out[row["k"]].update(row if isinstance(row, dict) else row.asDict())
-    return [out[k] for k in ks]
+        blocks.release()
+    exact = _euclidean(labelled, columns, ks) if silhouette == "euclidean" else {}
+    return [_named(score, exact.get(k)) for k, score in zip(ks, scores)]
+
+
+def _euclidean(labelled: DataFrame, columns: Sequence[str], ks: Sequence[int]) -> dict[int, float]:
+    rows = M.silhouette_score(labelled, columns, {f"label_{k}": k for k in ks}).collect()  # one per k
+    return {int(r["labeling"].split("_")[1]): r["silhouette"] for r in rows}
 
 
 def scan_k(matrix: Matrix, ks: Sequence[int] = K_RANGE, n_init: int = 20, seed: int = SEED,
-           silhouette: str = "euclidean", **options) -> DataFrame:
+           silhouette: str = "squared", **options) -> DataFrame:
     """Seven columns per k."""
-    df = matrix.df.persist(StorageLevel.MEMORY_AND_DISK)
+    _check_measure(silhouette)
+    blocks = pack(matrix.df, matrix.columns)
     try:
-        labelled = label_with(df, fit_kmeans_many(df, ks, n_init, seed, **options))
-        rows = score_labelings(labelled, matrix.columns, ks, False, silhouette)
+        fits = fit_models(blocks, {"": matrix.columns}, ks, n_init, seed, **options)
+        scores = measure(blocks, [Labeling(blocks.at(matrix.columns), k, f.best) for (_, k), f in fits.items()])
     finally:
-        df.unpersist()
+        blocks.release()
+    exact: dict = {}
+    if silhouette == "euclidean":
+        models = {k: Clustering(f.best, tuple(matrix.columns), 0.0) for (_, k), f in fits.items()}
+        exact = _euclidean(label_with(matrix.df, models), matrix.columns, ks)
+    rows = [_named(score, exact.get(score["k"])) for score in scores]
     fields = ("k", "inertia", "silhouette", "calinski_harabasz", "davies_bouldin",
               "min_cluster_size", "min_cluster_pct")
-    return df.sparkSession.createDataFrame(
+    return matrix.df.sparkSession.createDataFrame(
         [tuple(r[f] for f in fields) for r in rows],
         "k int, inertia double, silhouette double, calinski_harabasz double, "
         "davies_bouldin double, min_cluster_size bigint, min_cluster_pct double",
     )
 
 
+def experiment_blocks(features: DataFrame, feature_sets: dict[str, FeatureSet], scalers: Sequence[str],
+                      more: Sequence[str] = ()) -> tuple[Blocks, dict[tuple[str, str], list[str]]]:
+    """All matrices of an experiment side by side, and the columns of each ``(feature set, scaler)``.
+
+    Each scaled or one-hot column is there once, whichever sets share it.
+    """
+    numeric = tuple(dict.fromkeys(c for fs in feature_sets.values() for c in fs.numeric))
+    categorical = tuple(dict.fromkeys(c for fs in feature_sets.values() for c in fs.categorical))
+    sql = {f"{scaler}__{c}": text for scaler in scalers
+           for c, text in scaling_terms(features, FeatureSet("", numeric), scaler)}
+    hot: dict[str, list[str]] = {}
+    for c in categorical:
+        terms = one_hot_terms(features, FeatureSet("", (), (c,)))
+        hot[c] = [f"hot__{c}__{i}" for i in range(len(terms))]
+        sql |= {name: text for name, (_, text) in zip(hot[c], terms)}
+    views = {(name, scaler): [*[f"{scaler}__{c}" for c in fs.numeric], *[h for c in fs.categorical for h in hot[c]]]
+             for name, fs in feature_sets.items() for scaler in scalers}
+    sql |= _substance(features) | {c: f"`{c}`" for c in more}
+    return pack(features.selectExpr(*[f"{text} AS `{c}`" for c, text in sql.items()]), list(sql)), views
+
+
+def measure_substance(blocks: Blocks, labelings: Sequence[Labeling]) -> list[dict]:
+    """All measures of labelings over the blocks of an experiment."""
+    return measure(blocks, labelings, _EXPLAINED, "flag_cross", 1 << len(BUYER_FLAGS))
+
+
 def run_experiment(features: DataFrame, feature_sets: dict[str, FeatureSet] = FEATURE_SETS,
                    scalers: Sequence[str] = SCALERS, ks: Sequence[int] = K_RANGE,
                    n_init: int = 20, min_cluster_size: int = 25,
                    min_behavioural_separation: float = 0.10, seed: int = SEED,
-                   silhouette: str = "euclidean", **options) -> DataFrame:
-    """Feature set x scaler x K. ``features`` should be a staged table.
+                   silhouette: str = "squared", max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
+    """Feature set x scaler x K, one row per configuration. ``features`` should be a staged table.
 
-    Each matrix is persisted once for all its fits and scores; the result has
-    one row per configuration.
+    All configurations and restarts are fitted in the same passes over the rows, and scored in two
+    more. ``silhouette="euclidean"`` adds the quadratic measure, matrix by matrix.
     """
+    _check_measure(silhouette)
     require_complete(features, list(dict.fromkeys(
         [*BEHAVIOUR_CORE, *DECLARED, *(c for fs in feature_sets.values() for c in fs.numeric)]
     )))
+    blocks, views = experiment_blocks(features, feature_sets, scalers)
+    try:
+        fits = fit_models(blocks, views, ks, n_init, seed, max_iter, tol)
+        scores = measure_substance(blocks, [Labeling(blocks.at(views[v]), k, f.best) for (v, k), f in fits.items()])
+    finally:
+        blocks.release()
+    exact: dict = {}
+    if silhouette == "euclidean":
+        for name, scaler in views:
+            matrix = build_matrix(features, feature_sets[name], scaler)
+            models = {k: Clustering(fits[(name, scaler), k].best, tuple(matrix.columns), 0.0) for k in ks}
+            exact |= {((name, scaler), k): v for k, v in _euclidean(label_with(matrix.df, models), matrix.columns, ks).items()}
+    return viability(experiment_table(features, views, list(fits), scores, exact), min_cluster_size, min_behavioural_separation)
+
+
+def experiment_table(df: DataFrame, views: dict[tuple[str, str], list[str]], keys: Sequence[tuple], scores: Sequence[dict],
+                     exact: dict) -> DataFrame:
+    """Scores of ``((feature set, scaler), k)`` as rows, before the gates."""
     rows = []
-    for name, fs in feature_sets.items():
-        for scaler in scalers:
-            matrix = build_matrix(features, fs, scaler)
-            used = list(dict.fromkeys([*matrix.columns, *BEHAVIOUR_CORE, *DECLARED, *BUYER_FLAGS, "features"]))
-            df = matrix.df.select(*used).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                labelled = label_with(df, fit_kmeans_many(df, ks, n_init, seed, **options))
-                for score in score_labelings(labelled, matrix.columns, ks, True, silhouette):
-                    rows.append({"feature_set": name, "scaler": scaler,
-                                 "n_features": len(matrix.columns), **score})
-            finally:
-                df.unpersist()
-    fields = [f.split()[0] for f in EXPERIMENT_SCHEMA.split(", ")][:-3]
-    scored = features.sparkSession.createDataFrame(
-        [tuple(r[f] for f in fields) for r in rows], ", ".join(EXPERIMENT_SCHEMA.split(", ")[:-3])
-    )
-    return viability(scored, min_cluster_size, min_behavioural_separation)
+    for (view, k), score in zip(keys, scores):
+        rows.append({"feature_set": view[0], "scaler": view[1], "n_features": len(views[view]), **_named(score, exact.get((view, k)))})
+    schema = EXPERIMENT_SCHEMA.split(", ")[:-3]
+    return df.sparkSession.createDataFrame([tuple(r[f.split()[0]] for f in schema) for r in rows], ", ".join(schema))
 
 
 def viability(experiment: DataFrame, min_cluster_size: int = 25,

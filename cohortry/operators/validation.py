@@ -5,19 +5,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.config import SEED
-from cohortry.operators import metrics as M
+from cohortry.operators.lloyd import RUNS_PER_COLUMN, Group, agreement_by_run, fit_models, improve, nearest_label, pack
 from cohortry.operators.quantiles import exact_quantiles
-from cohortry.operators.selection import fit_kmeans_many
+from cohortry.session import stage_table
 
 
 # --- Ward on micro-clusters ---------------------------------------------------
@@ -108,31 +106,32 @@ def cophenetic_correlation(centres: np.ndarray, weights: np.ndarray,
 
 
 def fit_hierarchical(df: DataFrame, columns: Sequence[str], k: int, micro: int = 200,
-                     seed: int = SEED, label: str = "hierarchical_cluster", max_iter: int = 100) -> Hierarchy:
+                     seed: int = SEED, label: str = "hierarchical_cluster", passes: int = 5) -> Hierarchy:
     """Ward linkage over at most ``micro`` micro-clusters.
 
-    Distributed K-Means on the distinct rows, weighted by their number and started
-    from random ones of them, forms the micro-clusters; only their centres and
-    sizes reach the driver. Distinct rows that ``micro`` covers are centres of
-    their own, so on those the result is Ward on the rows.
+    Rows go to the nearest of ``micro`` distinct rows drawn by hash, whose centres are renewed in
+    at most ``passes`` passes; only their centres and sizes reach the driver. Distinct rows that ``micro`` covers
+    are centres of their own, so on those the result is Ward on the rows.
     """
     spark = df.sparkSession
     point = F.array(*[F.col(c).cast("double") for c in columns])
-    distinct = df.groupBy(point.alias("p")).agg(F.count("*").cast("double").alias("w")).withColumn(
-        "_v", array_to_vector("p"))
-    model = KMeans(k=micro, seed=seed, maxIter=max_iter, initMode="random", weightCol="w", featuresCol="_v",
-                   predictionCol="_micro").fit(distinct)
-    sums = model.transform(distinct).groupBy("_micro").agg(
-        F.array(*[F.sum(F.col("p")[i] * F.col("w")) / F.sum("w") for i in range(len(columns))]).alias("p"),
-        F.sum("w").alias("w"),
-    ).orderBy("p").collect()
+    drawn = df.select(point.alias("p")).distinct().orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(micro).collect()
+    blocks = pack(df, columns)
+    try:
+        start = Group(blocks.at(columns), np.array([[r["p"] for r in drawn]], float), np.array([-1]))
+        near = improve(blocks, [start], passes)[0].best
+    finally:
+        blocks.release()
+    marked = stage_table(df.withColumn("_micro", nearest_label(near)(point)), "micro_clusters")
+    sums = marked.groupBy("_micro").agg(
+        F.array(*[F.avg(F.col(c).cast("double")) for c in columns]).alias("p"), F.count("*").alias("w")
+    ).orderBy("p").collect()  # at most ``micro`` rows
     centres = np.array([r["p"] for r in sums], float)
     weights = np.array([r["w"] for r in sums], float)
     merges = ward_merges(centres, weights)
     groups = cut_merges(merges, len(centres), k)
     coded = spark.createDataFrame(list(zip([r["_micro"] for r in sums], groups)), f"_micro int, {label} int")
-    labels = model.transform(df.withColumn("_v", array_to_vector(point))).join(
-        F.broadcast(coded), "_micro").drop("_micro", "_v")  # at most ``micro`` rows
+    labels = marked.join(F.broadcast(coded), "_micro").drop("_micro")  # at most ``micro`` rows
     table = spark.createDataFrame(
         [(i, l, r, h, s) for i, (l, r, h, s) in enumerate(merges)],
         "step int, left int, right int, height double, size int",
@@ -171,21 +170,62 @@ def subsample(df: DataFrame, key: str, fraction: float, run: int, seed: int = SE
     return drawn.filter((F.col("_u") < edge) | ((F.col("_u") == edge) & (F.col(key) <= F.lit(last)))).drop("_u")
 
 
+def subsample_marks(df: DataFrame, key: str, fraction: float, runs: Sequence[int], seed: int = SEED) -> DataFrame:
+    """``df`` with ``run_bits_0, ..``: bit ``j`` of column ``i`` is set where a row is in run ``runs[50 * i + j]``.
+
+    Every run has exactly ``int(fraction * n)`` rows. The cuts of all runs are one multi-column order
+    statistic, and nothing is sorted as a whole.
+    """
+    n = df.count()
+    want = int(fraction * n)
+    names = [f"_u{i}" for i in range(len(runs))]
+    drawn = df.select(key, *[_draw(key, r, seed).alias(c) for r, c in zip(runs, names)])
+    cuts: dict[str, tuple] = {}
+    if 0 < want < n:
+        edges = {r["feature"]: r["value"] for r in exact_quantiles(drawn, names, [(want - 1) / (n - 1)]).collect()}
+        long = drawn.select(key, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(c).alias("u"), F.lit(edges[c]).alias("e")) for i, c in enumerate(names)])))
+        # Keys that share a run's edge (chance hits, so few) are taken in their own order.
+        at = long.groupBy("i").agg(F.count_if(F.col("u") < F.col("e")).alias("below"), F.array_sort(
+            F.collect_list(F.when(F.col("u") == F.col("e"), F.col(key)))).alias("ties")).collect()
+        cuts = {names[r["i"]]: (edges[names[r["i"]]], r["ties"][want - r["below"] - 1]) for r in at}
+
+    def inside(run: int, name: str) -> Column:
+        if name not in cuts:
+            return F.lit(want > 0)
+        edge, last = cuts[name]
+        u = _draw(key, run, seed)
+        return (u < edge) | ((u == edge) & (F.col(key) <= F.lit(last)))
+
+    def bits(some: Sequence[tuple[int, str]]) -> Column:
+        total = F.lit(0).cast("long")
+        for j, (run, name) in enumerate(some):
+            total = total + F.when(inside(run, name), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
+        return total
+
+    pairs = list(zip(runs, names))
+    return df.withColumns({f"run_bits_{i}": bits(pairs[a:a + RUNS_PER_COLUMN])
+                           for i, a in enumerate(range(0, len(pairs), RUNS_PER_COLUMN))})
+
+
 def stability_runs(df: DataFrame, columns: Sequence[str], k: int, base_label: str,
-                   key: str = "client_id", n_runs: int = 20, fraction: float = 0.8,
+                   key: str = "client_id", n_runs: int = 100, fraction: float = 0.8,
                    n_init: int = 10, seed: int = SEED, **options) -> DataFrame:
-    """``(run, adjusted_rand)`` of refits on subsamples against ``base_label``."""
-    rows = []
-    for run in range(n_runs):
-        part = subsample(df, key, fraction, run, seed).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = fit_kmeans_many(part, [k], n_init, seed + 1000 * (run + 1), **options)[k]
-            again = model.copy().setPredictionCol("_again").transform(part)
-            score = M.adjusted_rand(again, base_label, "_again").first()["adjusted_rand"]
-        finally:
-            part.unpersist()
-        rows.append((run, score))
-    return df.sparkSession.createDataFrame(rows, "run int, adjusted_rand double")
+    """``(run, adjusted_rand)`` of refits on subsamples against ``base_label`` (0..).
+
+    All runs and restarts are fitted in the same passes; a row's bits say which runs see it.
+    """
+    marked = subsample_marks(df.select(key, *columns, base_label), key, fraction, range(n_runs), seed)
+    bits = [c for c in marked.columns if c.startswith("run_bits_")]
+    blocks = pack(marked, [*columns, base_label, *bits])
+    try:
+        levels = df.agg(F.max(base_label)).first()[0] + 1
+        fits = fit_models(blocks, {"": columns}, [k], n_init, seed + 1000, runs=range(n_runs), bits=bits, **options)["", k]
+        best = fits.cost.reshape(n_runs, n_init).argmin(axis=1) + n_init * np.arange(n_runs)
+        scores = agreement_by_run(blocks, Group(blocks.at(columns), fits.centres[best], np.arange(n_runs)), base_label, levels, bits)
+    finally:
+        blocks.release()
+    return df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "run int, adjusted_rand double")
 
 
 def stability(runs: DataFrame) -> DataFrame:

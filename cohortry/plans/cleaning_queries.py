@@ -185,10 +185,12 @@ def missing_key_rule(spark, sf_dir):
 
 @query("orphan_keys", "WITH " + REGISTER + "," + LEDGER + """
 SELECT count(*) AS orphan_client_refs FROM ledger
-WHERE client_ref IS NOT NULL AND client_ref NOT IN (SELECT -client_id FROM register)""")
+WHERE client_ref IS NOT NULL AND client_ref NOT IN (
+  SELECT CASE WHEN client_id % 7 = 0 THEN -client_id ELSE client_id END FROM register)""")
 def orphan_keys(spark, sf_dir):
-    """The whole register under spoiled keys, so that every reference is an orphan."""
-    spoiled = V.register(spark, sf_dir).withColumn("client_id", -F.col("client_id"))
+    """Every seventh key of the register is spoiled, so that its references are orphans."""
+    key = F.col("client_id")
+    spoiled = V.register(spark, sf_dir).withColumn("client_id", F.when(key % 7 == 0, -key).otherwise(key))
     return C.orphan_rows(spoiled, V.ledger(spark, sf_dir))
 
 

@@ -7,7 +7,6 @@ from cohortry.config import CODED, CORRELATED, DISTRIBUTIONS, FEATURE_SETS, FING
 from cohortry.operators import eda
 from cohortry.operators import features as FE
 from cohortry.operators import profiles as PR
-from cohortry.operators import validation as VA
 from cohortry.plans.registry import (
     BEHAVIOUR, CLUSTERED, FEATURES, LEDGER, PROFILE, REGISTER, SEGMENTED, clustered, features,
     query, rnd, rounded, segmented,
@@ -227,23 +226,33 @@ def outcome_by_attributes(spark, sf_dir):
 _WELCH = ("client_type", "acquisition_purpose", "loan_applied")
 
 
-@query("welch_tests", "WITH " + FEATURES + ", g AS (" + " UNION ALL ".join(
+_WELCH_SQL = "WITH " + FEATURES + ", g AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS attribute, {c} AS level, count(*) AS n, avg(total_investment) AS m, "
     f"var_samp(total_investment) AS v FROM features GROUP BY {c}" for c in _WELCH
 ) + """), s AS (SELECT a.attribute, a.level AS level_1, b.level AS level_2, a.n AS n_1, b.n AS n_2,
-  a.m - b.m AS gap, a.v AS v1, b.v AS v2 FROM g a JOIN g b ON a.attribute = b.attribute AND a.level < b.level)
-SELECT attribute, level_1, level_2, n_1, n_2, round(gap / sqrt(v1 / n_1 + v2 / n_2), 6) + 0.0 AS t,
-  round((v1 / n_1 + v2 / n_2) ^ 2 / ((v1 / n_1) ^ 2 / (n_1 - 1) + (v2 / n_2) ^ 2 / (n_2 - 1)), 4) + 0.0 AS df,
-  round(gap / sqrt(((n_1 - 1) * v1 + (n_2 - 1) * v2) / (n_1 + n_2 - 2)), 6) + 0.0 AS cohens_d FROM s""")
+  a.m - b.m AS gap, a.v AS v1, b.v AS v2 FROM g a JOIN g b ON a.attribute = b.attribute AND a.level < b.level),
+w AS (SELECT *, gap / sqrt(v1 / n_1 + v2 / n_2) AS t,
+  (v1 / n_1 + v2 / n_2) ^ 2 / ((v1 / n_1) ^ 2 / (n_1 - 1) + (v2 / n_2) ^ 2 / (n_2 - 1)) AS df FROM s)
+"""
+
+
+@query("welch_tests", _WELCH_SQL + """
+SELECT attribute, level_1, level_2, n_1, n_2, round(t, 6) + 0.0 AS t, round(df, 4) + 0.0 AS df,
+  round(gap / sqrt(((n_1 - 1) * v1 + (n_2 - 1) * v2) / (n_1 + n_2 - 2)), 6) + 0.0 AS cohens_d FROM w""")
 def welch_tests(spark, sf_dir):
-    """Without p, which SQL has no function for; see welch_p_values."""
+    """Without p, which has a query of its own."""
     table = eda.welch_tests(features(spark, sf_dir), _WELCH, "total_investment").drop("p", "levels")
     return rounded(table, {"t": 6, "df": 4, "cohens_d": 6})
 
 
-@query("welch_p_values")
+@query("welch_p_values", _WELCH_SQL + """,
+-- The Student density between -|t| and |t| by Simpson's rule.
+u AS (SELECT attribute, df, abs(t) AS t, unnest(range(4001)) AS i FROM w)
+SELECT attribute, round(1 - 2 * max(t) / 4000 / 3 * max(exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()))
+  * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(1 + power(t * i / 4000, 2) / df, -(df + 1) / 2)), 8) + 0.0 AS p
+FROM u GROUP BY attribute""")
 def welch_p_values(spark, sf_dir):
-    return eda.welch_tests(features(spark, sf_dir), _WELCH, "total_investment").select("attribute", "p")
+    return rounded(eda.welch_tests(features(spark, sf_dir), _WELCH, "total_investment").select("attribute", "p"), 8)
 
 
 # --- segment profiles -----------------------------------------------------------
@@ -328,16 +337,6 @@ def discriminating_features(spark, sf_dir):
     return rounded(PR.discriminating_features(PR.build_profile(rows), rows, 8), 6)
 
 
-@query("segment_centres", "WITH " + CLUSTERED + """
-SELECT cluster, round(avg(total_area), 5) + 0.0 AS pc1, round(avg(avg_property_price), 5) + 0.0 AS pc2, count(*) AS n
-FROM clustered GROUP BY 1""")
-def segment_centres(spark, sf_dir):
-    """Two feature columns stand for the component scores."""
-    rows = clustered(spark, sf_dir).withColumns({
-        "pc1": F.col("total_area"), "pc2": F.col("avg_property_price")})
-    return rounded(VA.segment_centres(rows, "cluster"), 5)
-
-
 @query("feature_set_columns", "WITH " + FEATURES + """
 SELECT client_id, total_properties, round(total_investment, 6) AS total_investment,
   round(avg_property_price, 6) AS avg_property_price, round(price_dispersion, 5) AS price_dispersion,

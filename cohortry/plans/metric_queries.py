@@ -4,15 +4,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.config import (
-    BEHAVIOUR_CORE, BEHAVIOUR_WIDE, DECLARED, DEMOGRAPHIC, FEATURE_SETS, FINGERPRINT,
-    LOGGED,
+    BEHAVIOUR_CORE, BEHAVIOUR_WIDE, DECLARED, FEATURE_SETS, FINGERPRINT, K_RANGE, LOGGED, SCALERS,
 )
 from cohortry.operators import metrics as M
 from cohortry.operators import selection as SE
 from cohortry.operators import validation as VA
-from cohortry.operators.matrix import build_matrix, named_matrix
+from cohortry.operators.lloyd import Labeling
+from cohortry.operators.matrix import Matrix, build_matrix, named_matrix
 from cohortry.operators.scalars import one_row
-from cohortry.plans.registry import CLUSTERED, FEATURES, clustered, features, query, rnd, rounded
+from cohortry.plans.registry import CLUSTERED, FEATURES, clustered, components_sql, features, query, rnd, rounded
 from cohortry.session import stage_table
 from cohortry.sources import views as V
 
@@ -247,85 +247,86 @@ def smallest_cluster(spark, sf_dir):
 
 
 # --- a grid of rule-based labellings ---------------------------------------------
-_GRID_K = (2, 3, 4, 5, 6)
-_GRID = {
-    "behaviour_core": BEHAVIOUR_CORE,
-    "behaviour_demo": BEHAVIOUR_CORE + DEMOGRAPHIC,
+_ALL_HOT = {
+    "gender": ("M",), "referral_channel": _CHANNELS, "country": tuple(f"NATION_{i}" for i in range(25)),
+    "region": ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"),
 }
-_GRID_SCALERS = ("standard", "minmax")
 
 
 def _bands(x, lo, hi, k):
     return F.least(F.lit(k - 1), F.floor((x - lo) * k / (hi - lo))).cast("int")
 
 
-def _rule_grid(spark, sf_dir):
-    """Equal-width bands of investment as labels, scored like fitted clusters."""
+def _rule_labels(spark, sf_dir):
+    """All clients with equal-width bands of investment as labels, one per K."""
     rows = features(spark, sf_dir)
     e = one_row(rows.agg(F.min("total_investment").alias("lo"), F.max("total_investment").alias("hi")))
     marked = rows.withColumn("_e", e)
-    for k in _GRID_K:
+    for k in K_RANGE:
         marked = marked.withColumn(
             f"label_{k}", _bands(F.col("total_investment"), F.col("_e.lo"), F.col("_e.hi"), k))
-    marked = stage_table(marked.drop("_e"), "rule_labels")
-    out = None
-    for name in _GRID:
-        for scaler in _GRID_SCALERS:
-            m = build_matrix(marked, FEATURE_SETS[name], scaler)
-            scores = SE.score_labelings(m.df, m.columns, _GRID_K, True)
-            part = spark.createDataFrame([
-                (name, scaler, len(m.columns), r["k"], r["inertia"], r["silhouette"],
-                 r["calinski_harabasz"], r["davies_bouldin"], r["min_cluster_size"], r["min_cluster_pct"],
-                 r["behavioural_separation"], r["declared_separation"], r["flag_redundancy"])
-                for r in scores
-            ], SE.EXPERIMENT_SCHEMA.rsplit(", ", 3)[0])
-            out = part if out is None else out.unionByName(part)
-    return SE.viability(out)
+    return stage_table(marked.drop("_e"), "rule_labels")
+
+
+def _rule_grid(spark, sf_dir):
+    """Every feature set, scaler and K, 162 configurations, scored like fitted clusters."""
+    marked = _rule_labels(spark, sf_dir)
+    names = {k: f"label_{k}" for k in K_RANGE}
+    blocks, views = SE.experiment_blocks(marked, FEATURE_SETS, SCALERS, list(names.values()))
+    keys = [(view, k) for view in views for k in K_RANGE]
+    scores = SE.measure_substance(blocks, [
+        Labeling(blocks.at(views[view]), k, label=int(blocks.at([names[k]])[0])) for view, k in keys])
+    blocks.release()
+    return SE.viability(SE.experiment_table(marked, views, keys, scores, {}))
+
+
+def _grid_vectors():
+    """CTEs with each client's vector in every matrix: ``vec (fs, sc, id, v)``."""
+    numeric = list(dict.fromkeys(c for fs in FEATURE_SETS.values() for c in fs.numeric))
+    ctes, parts = [], []
+    for sc in SCALERS:
+        raw = {c: f"ln(1 + {c})" if sc == "log_standard" and c in LOGGED else c for c in numeric}
+        a, b = ("min({0})", "max({0}) - min({0})") if sc == "minmax" else ("avg({0})", "stddev_pop({0})")
+        ctes.append(f"e_{sc} AS (SELECT " + ", ".join(f"{a.format(x)} AS a_{c}, {b.format(x)} AS b_{c}" for c, x in raw.items()) + " FROM marked)")
+        for name, fs in FEATURE_SETS.items():
+            cells = [f"CAST(coalesce(({raw[c]} - a_{c}) / nullif(b_{c}, 0), 0) AS DOUBLE)" for c in fs.numeric]
+            cells += [f"CAST({c} = '{level}' AS DOUBLE)" for c in fs.categorical for level in _ALL_HOT[c]]
+            parts.append(f"SELECT '{name}' AS fs, '{sc}' AS sc, client_id AS id, [{', '.join(cells)}] AS v FROM marked, e_{sc}")
+    return ",\n".join(ctes) + ",\nvec AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
 
 
 def _grid_sql():
-    """The same grid in SQL: long form of every scaled matrix, then each measure per configuration."""
+    """The same grid in SQL: vectors of every matrix, then each measure per configuration."""
     label = ", ".join(
-        f"CAST(least({k - 1}, floor((total_investment - lo) * {k} / (hi - lo))) AS INTEGER) AS label_{k}" for k in _GRID_K)
-    ks = "[" + ", ".join(map(str, _GRID_K)) + "]"
-    labels = "[" + ", ".join(f"label_{k}" for k in _GRID_K) + "]"
-    cols = BEHAVIOUR_CORE + DEMOGRAPHIC
-    mats = []
-    for name, columns in _GRID.items():
-        for scaler in _GRID_SCALERS:
-            for i, c in enumerate(columns):
-                a, b = (f"min({c}) OVER ()", f"max({c}) OVER () - min({c}) OVER ()") if scaler == "minmax" \
-                    else (f"avg({c}) OVER ()", f"stddev_pop({c}) OVER ()")
-                mats.append(f"SELECT '{name}' AS fs, '{scaler}' AS sc, client_id AS id, {i} AS i, "
-                            f"({c} - {a}) / nullif({b}, 0) AS x FROM marked")
+        f"CAST(least({k - 1}, floor((total_investment - lo) * {k} / (hi - lo))) AS INTEGER) AS label_{k}" for k in K_RANGE)
+    ks = "[" + ", ".join(map(str, K_RANGE)) + "]"
+    labels = "[" + ", ".join(f"label_{k}" for k in K_RANGE) + "]"
     eta = _eta_sql(_SEPARATION, "stacked", "l", "k")
     return "WITH " + FEATURES + f""",
 lims AS (SELECT min(total_investment) AS lo, max(total_investment) AS hi FROM features),
-marked AS (SELECT features.*, {label} FROM features, lims),
+marked AS MATERIALIZED (SELECT features.*, {label} FROM features, lims),
 stacked AS (SELECT client_id AS id, {', '.join(_SEPARATION)}, unnest({ks}) AS k, unnest({labels}) AS l FROM marked),
-lab AS (SELECT id, k, l FROM stacked),
-mat AS ({' UNION ALL '.join(mats)}),
-ml AS (SELECT fs, sc, k, l, mat.id, i, x FROM mat JOIN lab ON mat.id = lab.id),
-cen AS (SELECT fs, sc, k, l, i, avg(x) AS m FROM ml GROUP BY ALL),
-dev AS (SELECT ml.fs, ml.sc, ml.k, ml.l, id, sum(power(x - m, 2)) AS d2 FROM ml
-  JOIN cen ON ml.fs = cen.fs AND ml.sc = cen.sc AND ml.k = cen.k AND ml.l = cen.l AND ml.i = cen.i GROUP BY ALL),
-wit AS (SELECT fs, sc, k, sum(d2) AS w, count(*) AS n, count(DISTINCT l) AS kk FROM dev GROUP BY ALL),
-tot AS (SELECT fs, sc, sum(power(x - g, 2)) AS t FROM (SELECT fs, sc, x, avg(x) OVER (PARTITION BY fs, sc, i) AS g FROM mat) GROUP BY ALL),
-spr AS (SELECT fs, sc, k, l, avg(sqrt(d2)) AS s FROM dev GROUP BY ALL),
-gap AS (SELECT a.fs, a.sc, a.k, a.l AS la, b.l AS lb, sqrt(sum(power(a.m - b.m, 2))) AS g FROM cen a
-  JOIN cen b ON a.fs = b.fs AND a.sc = b.sc AND a.k = b.k AND a.i = b.i AND a.l <> b.l GROUP BY ALL),
-wor AS (SELECT gap.fs, gap.sc, gap.k, la, max((x.s + y.s) / g) AS r FROM gap
-  JOIN spr x ON x.fs = gap.fs AND x.sc = gap.sc AND x.k = gap.k AND x.l = la
-  JOIN spr y ON y.fs = gap.fs AND y.sc = gap.sc AND y.k = gap.k AND y.l = lb GROUP BY ALL),
+lab AS MATERIALIZED (SELECT id, k, l FROM stacked),
+{_grid_vectors()},
+flat AS (SELECT fs, sc, id, unnest(v) AS x, unnest(range(len(v))) AS i FROM vec),
+cen AS MATERIALIZED (SELECT fs, sc, k, l, max(n) AS n, list(m ORDER BY i) AS m FROM (
+  SELECT fs, sc, k, l, i, avg(x) AS m, count(*) AS n FROM flat JOIN lab USING (id) GROUP BY ALL) GROUP BY fs, sc, k, l),
+own AS (SELECT vec.fs, vec.sc, lab.k, lab.l, vec.id, power(list_distance(v, m), 2) AS d2 FROM vec JOIN lab ON lab.id = vec.id
+  JOIN cen ON cen.fs = vec.fs AND cen.sc = vec.sc AND cen.k = lab.k AND cen.l = lab.l),
+spr AS MATERIALIZED (SELECT fs, sc, k, l, avg(sqrt(d2)) AS s, avg(d2) AS v, sum(d2) AS w, count(*) AS n FROM own GROUP BY ALL),
+wit AS (SELECT fs, sc, k, sum(w) AS w, sum(n) AS n, count(*) AS kk FROM spr GROUP BY ALL),
+tot AS (SELECT fs, sc, sum(power(x - g, 2)) AS t FROM (SELECT fs, sc, x, avg(x) OVER (PARTITION BY fs, sc, i) AS g FROM flat) GROUP BY ALL),
+wor AS (SELECT a.fs, a.sc, a.k, a.l, max((x.s + y.s) / list_distance(a.m, b.m)) AS r FROM cen a
+  JOIN cen b ON a.fs = b.fs AND a.sc = b.sc AND a.k = b.k AND a.l <> b.l
+  JOIN spr x ON x.fs = a.fs AND x.sc = a.sc AND x.k = a.k AND x.l = a.l
+  JOIN spr y ON y.fs = a.fs AND y.sc = a.sc AND y.k = a.k AND y.l = b.l GROUP BY ALL),
 dbi AS (SELECT fs, sc, k, avg(r) AS davies_bouldin FROM wor GROUP BY ALL),
-vec AS (SELECT fs, sc, id, list(x ORDER BY i) AS v FROM mat GROUP BY ALL),
-dis AS (SELECT a.fs, a.sc, a.id, b.id AS o, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.fs = b.fs AND a.sc = b.sc),
-prs AS (SELECT fs, sc, x.k, dis.id, x.l, y.l AS ol, sum(d) AS s, count(*) AS n FROM dis
-  JOIN lab x ON x.id = dis.id JOIN lab y ON y.id = dis.o AND y.k = x.k GROUP BY ALL),
-nea AS (SELECT fs, sc, k, id, min(s / n) FILTER (ol <> l) AS b, max(s / nullif(n - 1, 0)) FILTER (ol = l) AS a,
-  max(n) FILTER (ol = l) AS own FROM prs GROUP BY ALL),
-sil AS (SELECT fs, sc, k, avg(CASE WHEN own = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette
-  FROM nea GROUP BY ALL),
+far AS (SELECT vec.fs, vec.sc, lab.k, vec.id, max(CASE WHEN cen.l = lab.l THEN cen.n END) AS size,
+    max(CASE WHEN cen.l = lab.l THEN (power(list_distance(vec.v, m), 2) + spr.v) * cen.n / nullif(cen.n - 1, 0) END) AS a,
+    min(CASE WHEN cen.l <> lab.l THEN power(list_distance(vec.v, m), 2) + spr.v END) AS b
+  FROM vec JOIN lab ON lab.id = vec.id JOIN cen ON cen.fs = vec.fs AND cen.sc = vec.sc AND cen.k = lab.k
+  JOIN spr ON spr.fs = vec.fs AND spr.sc = vec.sc AND spr.k = cen.k AND spr.l = cen.l GROUP BY ALL),
+sil AS (SELECT fs, sc, k, avg(CASE WHEN size = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette FROM far GROUP BY ALL),
 siz AS (SELECT k, CASE WHEN count(*) < k THEN 0 ELSE min(n) END AS mn, sum(n) AS t FROM (SELECT k, l, count(*) AS n FROM lab GROUP BY ALL) GROUP BY k),
 eta AS ({eta}),
 sep AS (SELECT k, avg(eta_squared) FILTER (feature IN {_in(BEHAVIOUR_CORE)}) AS beh,
@@ -333,15 +334,15 @@ sep AS (SELECT k, avg(eta_squared) FILTER (feature IN {_in(BEHAVIOUR_CORE)}) AS
 cel AS (SELECT k, l AS a, is_company || '' || loan_flag || is_investment || is_domestic AS b, CAST(count(*) AS DOUBLE) AS n FROM stacked GROUP BY ALL),
 ari AS (SELECT k, sum(n * (n - 1) / 2) AS s, max(t) * (max(t) - 1) / 2 AS p, sum(n * (ai - 1) / 2) AS sa, sum(n * (bj - 1) / 2) AS sb
   FROM (SELECT *, sum(n) OVER (PARTITION BY k, a) AS ai, sum(n) OVER (PARTITION BY k, b) AS bj, sum(n) OVER (PARTITION BY k) AS t FROM cel) GROUP BY k),
-grid AS (SELECT wit.fs AS feature_set, wit.sc AS scaler, CAST(CASE wit.fs WHEN 'behaviour_core' THEN {len(BEHAVIOUR_CORE)} ELSE {len(cols)} END AS INTEGER) AS n_features,
+grid AS MATERIALIZED (SELECT wit.fs AS feature_set, wit.sc AS scaler, CAST((SELECT max(len(v)) FROM vec WHERE vec.fs = wit.fs) AS INTEGER) AS n_features,
   CAST(wit.k AS INTEGER) AS k, w AS inertia, silhouette, ((tot.t - w) / (kk - 1)) / (w / (n - kk)) AS calinski_harabasz, davies_bouldin,
   CAST(mn AS BIGINT) AS min_cluster_size, mn / CAST(siz.t AS DOUBLE) AS min_cluster_pct, beh AS behavioural_separation, decl AS declared_separation,
   (s - sa * sb / p) / ((sa + sb) / 2 - sa * sb / p) AS flag_redundancy,
   mn >= 25 AS actionable, beh > decl AND beh >= 0.1 AS substantive, mn >= 25 AND beh > decl AND beh >= 0.1 AS viable
   FROM wit JOIN tot ON wit.fs = tot.fs AND wit.sc = tot.sc JOIN dbi ON dbi.fs = wit.fs AND dbi.sc = wit.sc AND dbi.k = wit.k
   JOIN sil ON sil.fs = wit.fs AND sil.sc = wit.sc AND sil.k = wit.k JOIN siz ON siz.k = wit.k JOIN sep ON sep.k = wit.k JOIN ari ON ari.k = wit.k),
-best AS (SELECT feature_set, scaler, arg_max(k, (silhouette, -k)) AS k_silhouette, arg_min(k, (davies_bouldin, k)) AS k_davies_bouldin,
-  arg_max(k, (calinski_harabasz, -k)) AS k_calinski_harabasz FROM grid GROUP BY ALL),
+best AS (SELECT feature_set, scaler, arg_max(k, (round(silhouette, 9), -k)) AS k_silhouette, arg_min(k, (round(davies_bouldin, 9), k)) AS k_davies_bouldin,
+  arg_max(k, (round(calinski_harabasz, 6), -k)) AS k_calinski_harabasz FROM grid GROUP BY ALL),
 votes AS (SELECT feature_set, scaler, k, CAST(count(*) AS INTEGER) AS n_indices_agreeing, string_agg(v, ',' ORDER BY v) AS voted_by FROM (
   SELECT feature_set, scaler, k_silhouette AS k, 'silhouette' AS v FROM best UNION ALL SELECT feature_set, scaler, k_davies_bouldin, 'davies_bouldin' FROM best
   UNION ALL SELECT feature_set, scaler, k_calinski_harabasz, 'calinski_harabasz' FROM best) GROUP BY ALL)
@@ -388,9 +389,9 @@ def silhouette_leaders(spark, sf_dir):
         "feature_set", "scaler", "k", "silhouette", "substantive"), 6)
 
 
-@query("elbow", _GRID_SQL + """, e AS (SELECT *, (k - 2) / 4.0 AS x, (inertia - min(inertia) OVER w) / (max(inertia) OVER w - min(inertia) OVER w) AS y
+@query("elbow", _GRID_SQL + """, e AS (SELECT *, (k - 2) / 8.0 AS x, (inertia - min(inertia) OVER w) / (max(inertia) OVER w - min(inertia) OVER w) AS y
   FROM grid WINDOW w AS (PARTITION BY feature_set, scaler)),
-f AS (SELECT *, max(y) FILTER (k = 2) OVER w AS y0, max(y) FILTER (k = 6) OVER w AS y1 FROM e WINDOW w AS (PARTITION BY feature_set, scaler))
+f AS (SELECT *, max(y) FILTER (k = 2) OVER w AS y0, max(y) FILTER (k = 10) OVER w AS y1 FROM e WINDOW w AS (PARTITION BY feature_set, scaler))
 SELECT feature_set, scaler, arg_max(k, (round(abs(x * (y1 - y0) - (y - y0)), 10), -k)) AS elbow_k FROM f GROUP BY 1, 2""")
 def elbow(spark, sf_dir):
     return SE.elbow(_rule_grid(spark, sf_dir), ("feature_set", "scaler"))
@@ -403,45 +404,118 @@ def _staged_matrix(spark, sf_dir):
 
 @query("kmeans_grid")
 def kmeans_grid(spark, sf_dir):
-    """Two feature sets, three scalers, K 2 to 4, two restarts, over all clients."""
-    sets = {n: FEATURE_SETS[n] for n in ("behaviour_core", "prd_encoded")}
-    return SE.run_experiment(clustered(spark, sf_dir), sets, ks=(2, 3, 4), n_init=2, max_iter=20)
+    """Every feature set, scaler and K with 20 restarts: 3240 models over all clients."""
+    return SE.run_experiment(clustered(spark, sf_dir))
 
 
 @query("kmeans_scan")
 def kmeans_scan(spark, sf_dir):
-    return SE.scan_k(_staged_matrix(spark, sf_dir), ks=(2, 3, 4, 5), n_init=2, max_iter=20)
+    """K from 2 to 10 with 20 restarts."""
+    return SE.scan_k(_staged_matrix(spark, sf_dir))
 
 
 @query("kmeans_segments")
 def kmeans_segments(spark, sf_dir):
-    """Final fit with four clusters, named and profiled."""
+    """Final fit with four clusters and 50 restarts, named and profiled."""
     from cohortry.operators.profiles import attach_segments
 
     m = _staged_matrix(spark, sf_dir)
-    rows = m.df.drop("cluster").persist()
-    model = SE.fit_kmeans(rows, 4, n_init=4).setPredictionCol("cluster")
+    rows = m.df.drop("cluster")
+    model = SE.fit_kmeans(rows, 4, n_init=50, columns=m.columns).setPredictionCol("cluster")
     labelled = stage_table(model.transform(rows).drop("features", *m.columns), "kmeans_labels")
-    rows.unpersist()
     return attach_segments(labelled)[1].select("cluster", "segment", "n_clients", "pct_capital")
 
 
 @query("ward_agreement")
 def ward_agreement(spark, sf_dir):
-    """Ward over micro-clusters against the investment quartiles."""
+    """Ward over 200 micro-clusters against the investment quartiles."""
     m = _staged_matrix(spark, sf_dir)
-    tree = VA.fit_hierarchical(m.df, m.columns, 4, micro=50)
+    tree = VA.fit_hierarchical(m.df, m.columns, 4)
     return M.compare_partitions(tree.labels, "cluster", "hierarchical_cluster").withColumn(
         "cophenetic", F.lit(tree.cophenetic))
 
 
 @query("subsample_stability")
 def subsample_stability(spark, sf_dir):
+    """100 subsamples with 10 restarts each."""
     m = _staged_matrix(spark, sf_dir)
-    rows = m.df.drop("cluster").persist()
-    base = SE.fit_kmeans(rows, 4, n_init=2).setPredictionCol("base").transform(rows)
-    runs = VA.stability_runs(base, m.columns, 4, "base", n_runs=3, n_init=1)
-    return VA.stability(runs)
+    rows = m.df.drop("cluster")
+    base = SE.fit_kmeans(rows, 4, n_init=50, columns=m.columns).setPredictionCol("base").transform(rows)
+    return VA.stability(VA.stability_runs(base, m.columns, 4, "base"))
+
+
+# --- fits whose best result is known ---------------------------------------------
+# Ten groups of customers at distances that triple, with some noise: the best K clusters
+# are the K - 1 farthest groups and all others together.
+_PLANTED = """
+planted AS (SELECT c_custkey AS client_id, c_nationkey % 10 AS g, power(3, c_nationkey % 10) + c_acctbal / 1e5 AS x_0,
+  (c_custkey % 7) / 10.0 AS x_1 FROM customer)"""
+
+
+def _planted(spark, sf_dir):
+    g = F.col("c_nationkey") % 10
+    return stage_table(V.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("client_id"), (F.pow(F.lit(3.0), g) + F.col("c_acctbal") / 1e5).alias("x_0"),
+        ((F.col("c_custkey") % 7) / 10.0).cast("double").alias("x_1")), "planted")
+
+
+@query("planted_scan", "WITH " + _PLANTED + """,
+lab AS (SELECT client_id AS id, k, greatest(g - (10 - k), 0) AS l, x_0 AS x, CAST(x_1 AS DOUBLE) AS y FROM planted, (SELECT unnest(range(2, 11)) AS k)),
+cen AS (SELECT k, l, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) + var_pop(y) AS v FROM lab GROUP BY ALL),
+dev AS (SELECT lab.k, lab.l, id, power(x - mx, 2) + power(y - my, 2) AS d2 FROM lab JOIN cen ON lab.k = cen.k AND lab.l = cen.l),
+wit AS (SELECT k, sum(d2) AS w FROM dev GROUP BY k),
+grd AS (SELECT avg(x) AS gx, avg(y) AS gy FROM lab),
+btw AS (SELECT k, sum(n * (power(mx - gx, 2) + power(my - gy, 2))) AS b, sum(n) AS n, min(n) AS mn FROM cen, grd GROUP BY k),
+spr AS (SELECT k, l, avg(sqrt(d2)) AS s FROM dev GROUP BY ALL),
+wor AS (SELECT a.k, a.l, max((x.s + y.s) / sqrt(power(a.mx - b.mx, 2) + power(a.my - b.my, 2))) AS r FROM cen a JOIN cen b ON a.k = b.k AND a.l <> b.l
+  JOIN spr x ON x.k = a.k AND x.l = a.l JOIN spr y ON y.k = b.k AND y.l = b.l GROUP BY ALL),
+dbi AS (SELECT k, avg(r) AS db FROM wor GROUP BY k),
+far AS (SELECT lab.k, id, max(CASE WHEN cen.l = lab.l THEN (power(x - mx, 2) + power(y - my, 2) + v) * n / (n - 1) END) AS a,
+  min(CASE WHEN cen.l <> lab.l THEN power(x - mx, 2) + power(y - my, 2) + v END) AS b FROM lab JOIN cen ON lab.k = cen.k GROUP BY ALL),
+sil AS (SELECT k, avg((b - a) / greatest(a, b)) AS s FROM far GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, round(ln(w), 8) + 0.0 AS ln_inertia, round(sil.s, 8) + 0.0 AS silhouette,
+  round(ln((b / (k - 1)) / (w / (n - k))), 8) + 0.0 AS ln_calinski_harabasz, round(db, 8) + 0.0 AS davies_bouldin,
+  CAST(mn AS BIGINT) AS min_cluster_size, round(mn / CAST(n AS DOUBLE), 8) + 0.0 AS min_cluster_pct
+FROM wit JOIN btw USING (k) JOIN dbi USING (k) JOIN sil USING (k)""")
+def planted_scan(spark, sf_dir):
+    """The scan of K from 2 to 10 with 20 restarts on groups whose best clusters are known."""
+    rows = _planted(spark, sf_dir)
+    matrix = Matrix(rows, ["x_0", "x_1"], ["x_0", "x_1"], None)
+    return rounded(SE.scan_k(matrix).select(
+        "k", F.log("inertia").alias("ln_inertia"), "silhouette", F.log("calinski_harabasz").alias("ln_calinski_harabasz"),
+        "davies_bouldin", "min_cluster_size", "min_cluster_pct"), 8)
+
+
+_PLANTED_4 = "CAST(greatest(g - 6, 0) AS INTEGER)"
+
+
+@query("planted_segments", "WITH " + _PLANTED + f" SELECT client_id, {_PLANTED_4} AS place FROM planted")
+def planted_segments(spark, sf_dir):
+    """Four clusters with 50 restarts, numbered by their centre."""
+    model = SE.fit_kmeans(_planted(spark, sf_dir), 4)
+    order = model.centres[:, 0].argsort().argsort()
+    place = F.element_at(F.array(*[F.lit(int(x)) for x in order]), F.col("prediction") + 1)
+    return model.transform(_planted(spark, sf_dir)).select("client_id", place.alias("place"))
+
+
+@query("planted_stability", "WITH " + _PLANTED + f""", s AS (SELECT count(DISTINCT {_PLANTED_4}) / 4.0 AS one FROM planted)
+SELECT CAST(one AS DOUBLE) AS mean_ari, CAST(one - 1 AS DOUBLE) AS std_ari, CAST(one AS DOUBLE) AS min_ari, CAST(100 AS INTEGER) AS n_runs FROM s""")
+def planted_stability(spark, sf_dir):
+    """100 subsamples with 10 restarts find the same four groups."""
+    rows = _planted(spark, sf_dir)
+    base = SE.fit_kmeans(rows, 4).setPredictionCol("base").transform(rows)
+    return rounded(VA.stability(VA.stability_runs(base, ["x_0", "x_1"], 4, "base")), 9)
+
+
+@query("planted_ward", "WITH " + _PLANTED + f"""
+SELECT {_PLANTED_4} AS place, count(*) AS n, CAST(1 AS BIGINT) AS labels FROM planted GROUP BY 1""")
+def planted_ward(spark, sf_dir):
+    """Ward over 200 micro-clusters joins the same groups: their sizes, and how many labels each has."""
+    g = F.col("c_nationkey") % 10
+    known = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.greatest(g - 6, F.lit(0)).cast("int").alias("place"))
+    tree = VA.fit_hierarchical(_planted(spark, sf_dir), ["x_0", "x_1"], 4)
+    return tree.labels.join(known, "client_id").groupBy("place").agg(
+        F.count("*").alias("n"), F.count_distinct("hierarchical_cluster").alias("labels"))
 
 
 @query("subsample_sizes", "WITH " + FEATURES + """
@@ -454,16 +528,32 @@ def subsample_sizes(spark, sf_dir):
     return part.agg(F.count_distinct("client_id").alias("drawn")).withColumn("clients", everyone)
 
 
-@query("principal_components")
+@query("principal_components", "WITH RECURSIVE " + CLUSTERED + "," + _scaled(WIDE, "standard", "clustered") + f""",
+pts AS (SELECT client_id AS id, {_POINT} AS v FROM scaled),
+{components_sql(len(WIDE))}
+SELECT id AS client_id, {rnd("pc1 pc2", 6)} FROM scores""")
 def principal_components(spark, sf_dir):
     m = _staged_matrix(spark, sf_dir)
-    return VA.pca_projection(m.df).df.select("client_id", "pc1", "pc2")
+    return rounded(VA.pca_projection(m.df).df.select("client_id", "pc1", "pc2"), 6)
+
+
+@query("segment_centres", "WITH RECURSIVE " + CLUSTERED + "," + _scaled(WIDE, "standard", "clustered") + f""",
+pts AS (SELECT client_id AS id, {_POINT} AS v FROM scaled),
+{components_sql(len(WIDE))}
+SELECT cluster, round(avg(pc1), 6) + 0.0 AS pc1, round(avg(pc2), 6) + 0.0 AS pc2, count(*) AS n
+FROM scores JOIN clustered ON id = client_id GROUP BY 1""")
+def segment_centres(spark, sf_dir):
+    """Centres of the investment quartiles on the first two components."""
+    m = _staged_matrix(spark, sf_dir)
+    return rounded(VA.segment_centres(VA.pca_projection(m.df).df, "cluster"), 6)
 
 
-@query("embedding_components")
+@query("embedding_components", f"""WITH RECURSIVE pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+{components_sql(64)}
+SELECT id AS vec_id, label, {rnd("pc1 pc2", 5)} FROM scores JOIN embeddings ON id = vec_id""")
 def embedding_components(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     rows = V.table(spark, sf_dir, "embeddings").withColumn(
         "features", array_to_vector(F.col("embedding").cast("array<double>")))
-    return VA.pca_projection(rows).df.select("vec_id", "label", "pc1", "pc2")
+    return rounded(VA.pca_projection(rows).df.select("vec_id", "label", "pc1", "pc2"), 5)

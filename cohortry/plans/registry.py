@@ -190,3 +190,37 @@ names AS (
 
 SEGMENTED = PROFILE + """,
 segmented AS (SELECT c.*, segment FROM clustered c JOIN names USING (cluster))"""
+
+
+def components_sql(d: int, squarings: int = 14) -> str:
+    """CTEs from ``pts (id, v)`` to ``scores (id, pc1, pc2)``: principal components by powers of the covariance matrix.
+
+    A matrix squared ``squarings`` times keeps only its first component; that taken out, the same gives the
+    second. The largest loading of each is positive.
+    """
+    at = f"range(1, {d + 1})"
+
+    def diagonal(m: str) -> str:
+        return f"list_transform({at}, lambda k: {m}[k][k])"
+
+    def over_trace(m: str) -> str:
+        return f"list_transform({m}, lambda r: list_transform(r, lambda x: x / list_sum({diagonal(m)})))"
+
+    def component(n: int) -> str:
+        return f"""
+pow{n} AS (SELECT 0 AS t, {over_trace("m")} AS m FROM mat{n}
+  UNION ALL SELECT t + 1, {over_trace("q")} FROM (SELECT t, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS q
+  FROM pow{n} WHERE t < {squarings})),
+row{n} AS (SELECT m[list_position(g, list_max(g))] AS r FROM (SELECT m, {diagonal("m")} AS g FROM pow{n} WHERE t = {squarings})),
+axis{n} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * CASE WHEN r[list_position(b, list_max(b))] > 0 THEN 1 ELSE -1 END) AS v
+  FROM (SELECT r, list_transform(r, lambda x: abs(x)) AS b FROM row{n}))"""
+
+    return f"""
+flat AS (SELECT id, unnest(v) AS x, unnest(range({d})) AS i FROM pts),
+centred AS (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM flat),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM pts) - 1) AS c FROM centred a JOIN centred b ON a.id = b.id GROUP BY ALL),
+mat1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),{component(1)},
+mat2 AS (SELECT list_transform({at}, lambda i: list_transform({at}, lambda j: m[i][j] - l * v[i] * v[j])) AS m
+  FROM (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM mat1, axis1)),{component(2)},
+scores AS (SELECT id, sum(x * axis1.v[i + 1]) AS pc1, sum(x * axis2.v[i + 1]) AS pc2 FROM centred, axis1, axis2 GROUP BY id)
+"""

@@ -187,17 +187,21 @@ def clients_in_top_regions(spark, sf_dir):
     return R.in_top_regions(segmented(spark, sf_dir), 2).select("client_id", "region")
 
 
-@query("country_segment_mix", _TOP_COUNTRIES + """
-SELECT country, segment, count(*) AS n, round(count(*) / CAST(max(t) AS DOUBLE), 8) AS share
-FROM (SELECT s.country, segment, count(*) OVER (PARTITION BY s.country) AS t FROM segmented s JOIN top ON top.country = s.country)
-GROUP BY 1, 2""")
+def _mix_sql(row, source):
+    """Every cell of the cross table, also those without a client."""
+    return f"""
+, cells AS (SELECT {row} AS r, segment AS c, count(*) AS n FROM {source} GROUP BY 1, 2),
+levels AS (SELECT DISTINCT c FROM cells)
+SELECT r AS {row}, levels.c AS segment, coalesce(n, 0) AS n, round(coalesce(n, 0) / CAST(sum(n) OVER (PARTITION BY r) AS DOUBLE), 8) AS share
+FROM (SELECT DISTINCT r FROM cells) picked CROSS JOIN levels LEFT JOIN cells USING (r, c)"""
+
+
+@query("country_segment_mix", _TOP_COUNTRIES + _mix_sql("country", "segmented JOIN top USING (country)"))
 def country_segment_mix(spark, sf_dir):
     return rounded(eda.row_shares(segmented(spark, sf_dir), "country", "segment", 10), 8)
 
 
-@query("region_segment_mix", _VIEW + """
-SELECT region, segment, count(*) AS n, round(count(*) / CAST(max(t) AS DOUBLE), 8) AS share
-FROM (SELECT region, segment, count(*) OVER (PARTITION BY region) AS t FROM view) GROUP BY 1, 2""")
+@query("region_segment_mix", _VIEW + _mix_sql("region", "view"))
 def region_segment_mix(spark, sf_dir):
     return rounded(R.region_mix(_view(spark, sf_dir), 12), 8)
 

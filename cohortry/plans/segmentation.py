@@ -39,7 +39,7 @@ class Settings:
     min_cluster_size: int = 25
     min_behavioural_separation: float = 0.10
     micro_clusters: int = 200
-    silhouette: str = "euclidean"
+    silhouette: str = "squared"
     home_country: str = HOME_COUNTRY
     seed: int = SEED
 
@@ -125,7 +125,7 @@ def run(spark: SparkSession, register_path: str, ledger_path: str, out: str,
                          f"{out}/tables/eta_squared")
 
     writers.save_model(matrix.model, f"{out}/models/preprocessor")
-    writers.save_model(PipelineModel([model]), f"{out}/models/kmeans")
+    writers.save_model(PipelineModel([model.transformer()]), f"{out}/models/kmeans")
     writers.save_model(projection.model, f"{out}/models/pca")
 
     notes = C.audit_notes(report).agg(F.array_sort(F.collect_list("note")).alias("v")).scalar()

@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses; Hadoop removes what is there when the driver ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -37,9 +45,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     parquet, the copy keeps column pruning, filter pushdown and size
     statistics, and it does not depend on any executor.
     """
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    # Hadoop removes the table when the driver ends.
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return df.sparkSession.read.schema(df.schema).parquet(path)

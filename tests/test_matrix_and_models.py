@@ -74,10 +74,13 @@ def test_experiment_and_scan(spark, blobs):
     rows = {r["k"]: r for r in grid.collect()}
     assert set(rows) == {2, 4} and grid.columns == [f.split()[0] for f in S.EXPERIMENT_SCHEMA.split(", ")]
     assert rows[4]["inertia"] < rows[2]["inertia"] and rows[4]["viable"]
-    squared = S.run_experiment(df, {"t": FeatureSet("t", BEHAVIOUR_CORE)}, ("standard",), (2,), n_init=1, silhouette="squared")
-    assert squared.first()["silhouette"] > rows[2]["silhouette"]
+    exact = S.run_experiment(df, {"t": FeatureSet("t", BEHAVIOUR_CORE)}, ("standard",), (2,), n_init=2, silhouette="euclidean")
+    assert rows[2]["silhouette"] > exact.first()["silhouette"]
+    assert exact.first()["inertia"] == pytest.approx(rows[2]["inertia"])
     scan = S.scan_k(build_matrix(df, FeatureSet("t", BEHAVIOUR_CORE)), (2, 3), n_init=1)
     assert scan.count() == 2
+    with pytest.raises(ValueError, match="silhouette"):
+        S.run_experiment(df, silhouette="cosine")
 
 
 def plain_ward(x, k):
