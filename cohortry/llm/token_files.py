@@ -8,10 +8,9 @@ for each block.
 """
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,13 @@ _HELD = "part int, doc_id long, start long, ids binary"
 _SEGMENT = "part int, start long, n_ids long, doc_ids binary, lengths binary, words binary, directory binary"
 _NO_ID = np.iinfo(np.int64).min
 _CACHE = 1_000_000  # pieces that a worker keeps
+_SLOT_BITS = 20
+_SLOTS = 1 << _SLOT_BITS
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+# White space of Unicode beyond ASCII in UTF-8, as first, second and third bytes.
+_SPACES = ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)),
+           (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,)))
 _tokenizers: dict = {}
 
 
@@ -40,6 +46,13 @@ class _Pieces(dict):
         self.line_break = tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.ids, self.ends, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.filled = 0
+        # Whether a text can be cut at all: byte-level BPE without changes to the text before.
+        rules = json.loads(tokenizer.to_str())
+        first = rules.get("pre_tokenizer") or {}
+        self.cuts = rules.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space")
+        # Short pieces by their bytes, as two numbers; a slot holds the last one that fell on it.
+        self.head, self.tail = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
+        self.number = np.full(_SLOTS, -1, np.int64)
 
     def __missing__(self, piece: str) -> int:
         self[piece] = number = len(self)
@@ -85,6 +98,29 @@ class _Pieces(dict):
         self.filled = begin + total
         self.new = []
 
+    def look_up(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces ``data[start:start + size]``; no piece holds a zero byte."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        words = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        head, tail = words[start] & _MASKS[np.minimum(size, 8)], words[start + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+        mixed = H.mixed(head * _ODD + tail)
+        slot = (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = self.number[slot]
+        missed = np.flatnonzero((self.head[slot] != head) | (self.tail[slot] != tail) | (out < 0) | (size > 16))
+        if len(missed):
+            raw = data.tobytes()
+            short = missed[size[missed] <= 16]
+            # Equal short pieces once; those that only share the hash one by one.
+            _, first, back = np.unique(mixed[short], return_index=True, return_inverse=True)
+            named = short[first]
+            numbers = np.array([self[raw[a:a + n].decode()] for a, n in zip(start[named].tolist(), size[named].tolist())], np.int64)
+            out[short] = numbers[back]
+            same = (head[short] == head[named][back]) & (tail[short] == tail[named][back])
+            for i in [*short[~same].tolist(), *missed[size[missed] > 16].tolist()]:
+                out[i] = self[raw[start[i]:start[i] + size[i]].decode()]
+            self.head[slot[named]], self.tail[slot[named]], self.number[slot[named]] = head[named], tail[named], numbers
+        return out
+
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after another, and how many each has."""
         sizes = self.sizes[numbers]
@@ -100,8 +136,6 @@ def _pieces(path: str) -> _Pieces:
     return _tokenizers[path]
 
 
-_NOT_SINGLE = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x00")
-_STOP = re.compile(r"[.,](?<=[a-z][.,])(?!\S)")
 
 
 def _one_word(piece: str) -> bool:
@@ -110,22 +144,50 @@ def _one_word(piece: str) -> bool:
     return word.split() == [word]
 
 
-def _single_spaced(text: str) -> bool:
-    """White space is single blanks and line breaks between words, and there is no NUL."""
-    if text.isascii():
-        return not (any(x in text for x in _NOT_SINGLE) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"))
-    return " ".join(text.split()) == text.replace("\n", " ") and "\x00" not in text
+def _text_of(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that hold some of the places."""
+    return np.unique(np.searchsorted(offsets, places, side="right") - 1)
+
+
+def _loose(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with white space other than single blanks and line breaks between words, or with control characters."""
+    blank = (data == 0x20) | (data == 0x0A)
+    double = np.flatnonzero(blank[1:] & blank[:-1])
+    filled = np.flatnonzero(np.diff(offsets))
+    edges = np.r_[offsets[:-1][filled], offsets[1:][filled] - 1]
+    bad = [np.flatnonzero((data < 0x20) & (data != 0x0A)), double, double + 1, edges[blank[edges]]]
+    # White space beyond ASCII, by its first byte in UTF-8.
+    padded = np.r_[data, np.zeros(2, np.uint8)]
+    for lead, second, third in _SPACES:
+        at = np.flatnonzero(data == lead)
+        hit = np.isin(padded[at + 1], second) if third is None else (padded[at + 1] == second[0]) & np.isin(padded[at + 2], third)
+        bad.append(at[hit])
+    return _text_of(np.concatenate(bad), offsets)
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cuts of a text where byte-level BPE always begins a new word.
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a byte-level BPE always begins a new word in texts that are not loose.
 
-    That is before a blank and around a line break, where no other white space is
-    beside them, and before a full stop or comma between a letter and white space. A
-    text with other white space is cut only before blanks that a non-space follows.
+    That is before a blank, around a line break, and before a full stop or comma between a letter and
+    white space or the end.
     """
-    if text and _single_spaced(text):
-        return _STOP.sub("\x00\\g<0>", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+    cut = data == 0x20
+    line = data == 0x0A
+    cut |= line
+    cut[1:] |= line[:-1]
+    ends = np.zeros(len(data) + 1, bool)
+    ends[offsets] = True
+    stop = np.flatnonzero((data == 0x2E) | (data == 0x2C))
+    stop = stop[(stop > 0) & ~ends[stop]]
+    before = data[stop - 1]
+    after = np.r_[data, np.zeros(1, np.uint8)][stop + 1]
+    cut[stop[(before >= 0x61) & (before <= 0x7A) & (ends[stop + 1] | (after == 0x20) | (after == 0x0A))]] = True
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return cut
+
+
+def _blank_pieces(text: str) -> list[str]:
+    """Cuts of a text with any white space: before blanks that a non-space follows."""
     first, *rest = text.split(" ")
     out = [first]
     for x in rest:
@@ -136,27 +198,53 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-def encode_texts(path: str, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, texts: pa.Array | list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of whole texts, each with ``end`` after it, one after another; and how many each has.
 
     Words of a text are independent of each other in byte-level BPE, so each
-    different piece is given to the tokenizer once. Texts with a special token go
-    to it as they are.
+    different piece is given to the tokenizer once; pieces are told by their bytes. Texts with a special token, and
+    all texts of another kind of tokenizer, go to it as they are.
     """
     known = _pieces(path)
-    whole = {i for i, x in enumerate(texts) if any(s in x for s in known.special)}
-    cut = [[] if i in whole else pieces_of(x) for i, x in enumerate(texts)]
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
-    numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    data, offsets = H.text_bytes(texts)
+    n = len(offsets) - 1
+    raw = data.tobytes()
+    special = np.zeros(0, np.int64)
+    for token in known.special:
+        at, found = -1, []
+        while (at := raw.find(token.encode(), at + 1)) >= 0:
+            found.append(at)
+        if found:
+            special = np.union1d(special, _text_of(np.array(found), offsets))
+    apart = set(special.tolist()) if known.cuts else set(range(n))
+    loose = [i for i in _loose(data, offsets).tolist() if i not in apart] if len(data) else []
+    plain = np.ones(n, bool)
+    plain[[*apart, *loose]] = False
+    cut = _cuts(data, offsets) if len(data) else np.zeros(0, bool)
+    start = np.flatnonzero(cut)
+    size = np.diff(np.r_[start, len(data)])
+    owner = np.searchsorted(offsets, start, side="right") - 1
+    mine = plain[owner]
+    numbers = known.look_up(data, start[mine], size[mine])
+    counts = np.bincount(owner[mine], minlength=n) if n else np.zeros(0, np.int64)
+    if loose:
+        parts, last = [], 0
+        ends = np.cumsum(counts)
+        for i in loose:
+            own = [known[x] for x in _blank_pieces(raw[offsets[i]:offsets[i + 1]].decode())]
+            parts += [numbers[last:ends[i]], np.array(own, np.int64)]
+            last, counts[i] = ends[i], len(own)
+        numbers = np.concatenate([*parts, numbers[last:]])
     if known.new:
         known.learn()
     ids, sizes = known.of(numbers)
-    ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
-    parts, last = [], 0
+    ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)] if n else np.zeros(0, np.int64)
+    parts, last, closing = [], 0, np.array([end], "<u4")
     for i, b in enumerate(ends.tolist()):
-        parts.append(np.array(known.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4") if i in whole
-                     else ids[last:b])
-        parts.append(np.array([end], "<u4"))
+        parts.append(np.array(known.tokenizer.encode(raw[offsets[i]:offsets[i + 1]].decode(), add_special_tokens=False).ids, "<u4")
+                     if i in apart else ids[last:b])
+        parts.append(closing)
         last = b
     return (np.concatenate(parts) if parts else ids), np.array([len(x) + 1 for x in parts[::2]], np.int64)
 
@@ -166,7 +254,7 @@ def _tokenize(path: str, narrow: str):
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in H.slices(batch, "text"):
-                ids, sizes = encode_texts(path, piece.column("text").to_pylist())
+                ids, sizes = encode_texts(path, piece.column("text"))
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield pa.record_batch([
@@ -224,7 +312,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     """Writes the ids of all texts in ascending id order (null ids first, null texts empty).
 
     The vocabulary's counts over all documents make the shared table. Rows that
-    repeat an id stand in any order; no rows give empty tables.
+    repeat an id, also very many, go by a hash of their text; no rows give empty tables.
     """
     from tokenizers import Tokenizer
     spark = docs.sparkSession
@@ -232,8 +320,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = max(1, -(-rows.count() // part_rows))
-    order = F.asc_nulls_first("doc_id")
-    ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    order = [F.asc_nulls_first("doc_id"), F.col("hash"), F.col("at")]
+    ranged = rows.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at")).repartitionByRange(
+        parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     stage = new_folder(spark, "ids")
     ranged.mapInArrow(_tokenize(tokenizer, narrow), _HELD).write.option("compression", "zstd").parquet(stage)
     held = spark.read.schema(_HELD).parquet(stage)
