@@ -30,6 +30,12 @@ _SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# Kinds of bytes: letters 1, digits 2, marks 3, the apostrophe 4, all others 0; and which of them part where they meet.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A], _KIND[0x27] = 2, 4
+_MEETS = np.array([a > 0 < b and min(a, 3) != min(b, 3) and (a, b) != (4, 1) for a in range(5) for b in range(5)])
 # White space of Unicode beyond ASCII in UTF-8, as first, second and third bytes.
 _SPACES = ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)),
            (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,)))
@@ -49,7 +55,8 @@ class _Pieces(dict):
         # Whether a text can be cut at all: byte-level BPE without changes to the text before.
         rules = json.loads(tokenizer.to_str())
         first = rules.get("pre_tokenizer") or {}
-        self.cuts = rules.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space")
+        self.cuts = rules.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get(
+            "use_regex", True)
         # Short pieces by their bytes, as two numbers; a slot holds the last one that fell on it.
         self.head, self.tail = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
         self.number = np.full(_SLOTS, -1, np.int64)
@@ -168,20 +175,18 @@ def _loose(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where a byte-level BPE always begins a new word in texts that are not loose.
 
-    That is before a blank, around a line break, and before a full stop or comma between a letter and
-    white space or the end.
+    That is before a blank, around a line break, and where letters, digits and marks meet, but for
+    a letter after an apostrophe. Letters are those of ASCII and Latin-1; next to others nothing is cut.
     """
     cut = data == 0x20
     line = data == 0x0A
     cut |= line
     cut[1:] |= line[:-1]
-    ends = np.zeros(len(data) + 1, bool)
-    ends[offsets] = True
-    stop = np.flatnonzero((data == 0x2E) | (data == 0x2C))
-    stop = stop[(stop > 0) & ~ends[stop]]
-    before = data[stop - 1]
-    after = np.r_[data, np.zeros(1, np.uint8)][stop + 1]
-    cut[stop[(before >= 0x61) & (before <= 0x7A) & (ends[stop + 1] | (after == 0x20) | (after == 0x0A))]] = True
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    cut[1:] |= _MEETS[kind[:-1] * 5 + kind[1:]]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return cut
 
