@@ -4,7 +4,7 @@ A formatted conversation is a row of blocks ``<|role|>text<|end|>``. Turns of on
 row share a block, with ``<|and|>`` between their texts, so the turns can be read back.
 Inside texts and roles a backslash is doubled, and one is put after the first character
 of everything that this or a common other template takes for control, so no text can
-open or close a block.
+open or close a block; inside roles also within ``|>``, so no role can end early.
 """
 from __future__ import annotations
 
@@ -21,6 +21,15 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$0\\")
 
 
+def escaped_role(role: Column) -> Column:
+    """As a text, and with a backslash inside ``|>``, which would end the role."""
+    return F.regexp_replace(escaped(role), r"\|(?=>)", r"|\\")
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.regexp_replace(role, r"\|\\(?=>)", "|"))
+
+
 def unescaped(text: Column) -> Column:
     """Takes away the lone backslash after < or [ and halves the doubled ones."""
     return F.replace(F.regexp_replace(text, r"([<\[])\\(?!\\)", "$1"), F.lit("\\\\"), F.lit("\\"))
@@ -52,7 +61,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
                    F.coalesce(F.col(text), F.lit("")).alias("text"))
     sorted_ = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
     plain = sorted_.select("conv_id", F.transform("turns", lambda t: F.struct(
-        escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
+        escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
     blocks = plain.select("conv_id", _merged(F.col("turns")).alias("blocks"))
     # Pieces of the output in order; a piece of a trained text has its flag set.
     pieces = blocks.select("conv_id", F.flatten(F.transform("blocks", lambda b: F.concat(
@@ -79,7 +88,7 @@ def parsed_turns(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, r"<\|end\|>", -1), lambda b: b != "")
     return F.flatten(F.transform(blocks, lambda b: F.transform(
         F.split(F.regexp_extract(b, r"(?s)^<\|.*?\|>(.*)$", 1), r"<\|and\|>", -1),
-        lambda x: F.struct(unescaped(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1)).alias("role"),
+        lambda x: F.struct(unescaped_role(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1)).alias("role"),
                            unescaped(x).alias("text")))))
 
 

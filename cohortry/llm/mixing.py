@@ -53,15 +53,18 @@ def mix_sources(docs: DataFrame, size: str, key: str = "doc_id", source: str = "
     """``docs`` with ``source_size``, ``target`` (its source's) and ``copies``, how often the mix takes it.
 
     ``size`` is a column of ``docs``; null counts as 0. A null source is a source of
-    its own. Sources without size take nothing. Rows that agree in key and size
-    may swap places in the order, all else is the same in every run. Columns of
+    its own. Sources without size take nothing. Equal rows may swap places in the order, all else is
+    the same in every run. Columns of
     ``docs`` with the three new names are replaced; no rows give no rows.
     """
+    # Rows that repeat an id are told apart by what else they hold; maps cannot be hashed.
+    plain = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    content = F.xxhash64(*plain)
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "copies")])
     rows = docs.select(
         kept.alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("_source"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"),
+        F.xxhash64(F.lit(seed), F.col(key), content).alias("_hash"),
     ).withColumns({
         "_class": F.floor(F.log2(F.col("_size") + 1) * 4).cast("int"),
         "_sub": F.pmod(F.col("_hash"), F.lit(_SUBS)).cast("int"),

@@ -129,7 +129,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    own = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+        for i, role in enumerate(("user", "assistant"))])))
     out = format_conversations(turns.unionByName(own))
     read = out.select("conv_id", "formatted", parsed_turns(F.col("formatted")).alias("turns"),
                       F.array_join(masked_texts(F.col("formatted"), F.col("mask")), "").alias("loss"))

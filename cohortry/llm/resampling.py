@@ -70,9 +70,9 @@ def resample(docs: DataFrame, ratio: np.ndarray, share: float = 0.85, scale: flo
              text: str = "text", seed: int = 29) -> DataFrame:
     """``(doc_id, mean_ratio, log_weight, gumbel_key, selected)`` for every row of ``docs``.
 
-    ``selected`` marks the ``ceil(share * rows)`` largest keys; equal keys go by id
-    and a hash of the text. A null, empty or wordless text has ratio 0. The noise depends on
-    ``seed`` and the id.
+    ``selected`` marks exactly ``ceil(share * rows)`` rows, those of the largest keys; equal keys go by id,
+    a hash of the text and the place in the input. A null, empty or wordless text has ratio 0. The noise depends on
+    ``seed``, the id and the text, so only equal rows share it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # of fixed size
 
@@ -82,27 +82,29 @@ def resample(docs: DataFrame, ratio: np.ndarray, share: float = 0.85, scale: flo
                 owner, bucket = gram_buckets(piece.column("text"), len(shared.value))
                 n = np.bincount(owner, minlength=len(piece))
                 total = np.bincount(owner, shared.value[bucket], len(piece))
-                yield pa.record_batch([piece.column("doc_id"), piece.column("tie"),
-                                       pa.array(total / np.maximum(n, 1), pa.float64())], names=["doc_id", "tie", "mean_ratio"])
+                yield pa.record_batch([piece.column("doc_id"), piece.column("tie"), piece.column("at"),
+                                       pa.array(total / np.maximum(n, 1), pa.float64())], names=["doc_id", "tie", "at", "mean_ratio"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, tie long, mean_ratio double")
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"),
+                       F.monotonically_increasing_id().alias("at"), F.col(text).alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, tie long, at long, mean_ratio double")
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     keyed = staged(scored.withColumn("log_weight", F.col("mean_ratio") * scale).withColumn(
         "gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "keys")
     total = keyed.count()
     wanted = int(np.ceil(share * total))
     if not total:
-        return keyed.withColumn("selected", F.lit(False)).drop("tie")
+        return keyed.withColumn("selected", F.lit(False)).drop("tie", "at")
     # Keys surely above and surely below the cut need no order; those between are ranked.
     at = 1 - wanted / total
     low, high = keyed.approxQuantile("gumbel_key", [max(0.0, at - 0.002), min(1.0, at + 0.002)], 0.001)
     above = keyed.filter(F.col("gumbel_key") > high).count()
     between = keyed.filter(F.col("gumbel_key").between(low, high)).withColumn("place", F.row_number().over(
-        Window.orderBy(F.desc("gumbel_key"), "doc_id", "tie")))
+        Window.orderBy(F.desc("gumbel_key"), "doc_id", "tie", "at")))
     cut = between.filter(F.col("place") == wanted - above).first()
     if cut is None:
         raise RuntimeError("the quantile sketch missed the cut")
-    reached = F.struct(-F.col("gumbel_key"), F.coalesce("doc_id", F.lit(-1 << 63)), F.col("tie")) <= F.struct(
-        F.lit(-cut["gumbel_key"]), F.lit(cut["doc_id"] if cut["doc_id"] is not None else -1 << 63).cast("long"), F.lit(cut["tie"]))
-    return keyed.withColumn("selected", reached).drop("tie")
+    reached = F.struct(-F.col("gumbel_key"), F.coalesce("doc_id", F.lit(-1 << 63)), F.col("tie"), F.col("at")) <= F.struct(
+        F.lit(-cut["gumbel_key"]), F.lit(cut["doc_id"] if cut["doc_id"] is not None else -1 << 63).cast("long"),
+        F.lit(cut["tie"]).cast("long"), F.lit(cut["at"]).cast("long"))
+    return keyed.withColumn("selected", reached).drop("tie", "at")

@@ -30,17 +30,31 @@ def _draw(draw: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
     """``n`` of the places that are left, counted by shard; numpy's draw takes fewer than 10**9 places."""
     if left.sum() < 10**9:
         return draw.multivariate_hypergeometric(left, n, method="marginals")
-    # Of so many places, split the shards in halves and the draw by a normal with the same mean and variance.
+    # Of so many places, split the shards in halves and draw how many go to the first.
     if len(left) == 1:
         return np.array([n])
     half = len(left) // 2
-    good, total = int(left[:half].sum()), int(left.sum())
-    p = good / total
-    wide = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    k = int(np.clip(round(draw.normal(n * p, wide)), max(0, n - (total - good)), min(n, good)))
+    k = draw_hypergeometric(draw, int(left[:half].sum()), int(left[half:].sum()), n)
     return np.r_[_draw(draw, left[:half], k), _draw(draw, left[half:], n - k)]
 
 
+def draw_hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` places drawn from ``good + bad`` are good, for numbers of any size.
+
+    Inversion around the mode: the probabilities follow from each other, so none needs a factorial. What lies more
+    than 14 deviations and 50 places off has less weight than a double resolves.
+    """
+    low, high, total = max(0, n - bad), min(n, good), good + bad
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = int(14 * (n * (good / total) * (bad / total) * (total - n) / max(1, total - 1)) ** 0.5) + 50 if total else 0
+    up = np.arange(mode, min(high, mode + reach), dtype=float)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    above = np.cumsum(np.log((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))))
+    below = np.cumsum(np.log(down * (bad - n + down) / ((good - down + 1) * (n - down + 1))))
+    weights = np.cumsum(np.exp(np.r_[below[::-1], 0.0, above]))
+    return mode - len(down) + int(np.searchsorted(weights, draw.random() * weights[-1], side="right"))
+
+
 def _content(docs: DataFrame, columns: Sequence[str]) -> Column:
     """A hash of a row's columns; those that Spark cannot hash (maps) are left out."""
     plain = [F.col(f"_row.`{c}`") for c in columns if "map<" not in docs.schema[c].dataType.simpleString()]

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -185,3 +186,47 @@ def test_token_files(spark, odd, none, tmp_path):
         assert [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])][:len(rows)].tolist()
         ids = [r.doc_id for r in rows]
         assert ids == sorted(ids, key=lambda x: -1 if x is None else x)
+
+
+def test_roles_cannot_end_early(spark):
+    roles = ["a|>b", "|>", "a|\\>b", "|", "a|", ">", "<|x|>", "a\\|>b\\", "a||>>", "assistant|>"]
+    rows = [(1, i, r, f"text |> {i} |\\> <|") for i, r in enumerate(roles)]
+    out = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = out.select(C.parsed_turns(F.col("formatted")).alias("t")).first().t
+    assert [(t.role, t.text) for t in got] == [(r, t) for _, _, r, t in rows]
+    assert out.first().mask == []
+
+
+def test_hypergeometric_draws_of_any_size():
+    draw = np.random.default_rng(4)
+    from cohortry.llm.sharding import draw_hypergeometric
+
+    def tails(good, bad, n):
+        weights = [math.comb(good, k) * math.comb(bad, n - k) for k in range(n + 1)]
+        return np.array(weights, float) / sum(weights)
+
+    for good, bad, n in ((7, 5, 6), (3, 40, 10), (50, 2, 20), (5, 0, 3), (0, 5, 3), (4, 4, 0), (4, 4, 8)):
+        found = np.bincount([draw_hypergeometric(draw, good, bad, n) for _ in range(4000)], minlength=n + 1) / 4000
+        assert np.abs(found - tails(good, bad, n)).max() < 0.04
+    good, bad, n = 3 * 10**12, 10**12, 16_384
+    found = np.array([draw_hypergeometric(draw, good, bad, n) for _ in range(3000)])
+    assert abs(found.mean() - 0.75 * n) < 5 and abs(found.std() - (n * 0.1875) ** 0.5) < 3
+    matrix = communication_matrix([16_384] * 5 + [0], [3 * 10**9, 10**9, 16_384 * 5], 1)
+    assert (matrix.sum(axis=1) == [16_384] * 5 + [0]).all()
+
+
+def test_mixing_and_resampling_of_one_repeated_id(spark):
+    """Ids null or equal on a third of the rows: no bucket holds them all, and the count drawn is exact."""
+    from cohortry.llm.resampling import resample
+
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).when(F.col("id") % 2 == 0, 5).alias("doc_id"), F.lit("s").alias("source"),
+        F.concat(F.lit("some words "), (F.col("id") % 4000).cast("string")).alias("text"))
+    mixed = mix_sources(rows.withColumn("n", word_count()), "n")
+    assert mixed.agg(F.sum(F.col("copies") * F.col("n"))).first()[0] == pytest.approx(mixed.first().target, rel=0.01)
+    text = mixed._jdf.queryExecution().toString()
+    assert "row_number" in text
+    drawn = resample(spark.createDataFrame([(1, "same")] * 20 + [(2, "other")] * 3 + [(None, None)] * 7, "doc_id long, text string"), np.zeros(64))
+    assert drawn.filter("selected").count() == 26 and drawn.count() == 30
+    keys = {r.gumbel_key for r in resample(rows.filter("doc_id = 5"), np.zeros(64)).collect()}
+    assert len(keys) > 1000
