@@ -93,17 +93,25 @@ def missing_key_rule(ledger: DataFrame) -> Column:
     return F.coalesce(F.bool_and(holds), F.lit(True))
 
 
-def raw_audit(raw: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """``rows_in, missing_cells, duplicate_rows, duplicate_ids`` in two shuffles.
+def row_audit(raw: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """``rows_in, missing_cells, distinct_rows`` and aggregates over the distinct rows, in one shuffle of the rows.
 
     Equal rows meet after a map-side merge, so copies of one row cost little.
     """
     missing = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0).cast("long"))
     distinct = raw.groupBy(*columns).agg(F.count("*").alias("_n"))
-    sums = distinct.agg(
+    return distinct.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_in"),
         F.coalesce(F.sum(F.col("_n") * missing), F.lit(0)).alias("missing_cells"),
         F.count("*").alias("distinct_rows"),
+        *more,
+    )
+
+
+def raw_audit(raw: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """``rows_in, missing_cells, duplicate_rows, duplicate_ids`` in two shuffles."""
+    sums = row_audit(
+        raw, columns,
         F.count_distinct(key).alias("ids"),
         F.coalesce(F.max(F.col(key).isNull().cast("long")), F.lit(0)).alias("null_id"),
     )
@@ -161,12 +169,13 @@ def cleaning_report(
 ) -> DataFrame:
     """The audit as ``(position, check, value)``, value as text.
 
-    The first rows per key are staged, as several checks read them.
+    The first rows per key are staged, as several checks read them. There is one of each key, so
+    their number also gives the repeated keys, without counting keys apart.
     """
     first_clients = stage_table(
         keep_first(raw_register, "client_id", register_order).select(*REGISTER_COLUMNS), "first_clients")
-    c_in = one_row(raw_audit(raw_register, REGISTER_COLUMNS, "client_id"))
-    l_in = one_row(raw_audit(raw_ledger, LEDGER_COLUMNS, "listing_id"))
+    c_in = one_row(row_audit(raw_register, REGISTER_COLUMNS))
+    l_in = one_row(row_audit(raw_ledger, LEDGER_COLUMNS))
     c_first = one_row(first_clients.agg(
         F.count("*").alias("rows_out"),
         labels_changed(first_clients, REGISTER_LABELS).alias("changed"),
@@ -195,12 +204,12 @@ def cleaning_report(
         ("clients_rows_in", F.col("ci.rows_in")),
         ("clients_rows_out", F.col("cf.rows_out")),
         ("clients_missing_cells", F.col("ci.missing_cells")),
-        ("clients_duplicate_rows", F.col("ci.duplicate_rows")),
-        ("clients_duplicate_ids", F.col("ci.duplicate_ids")),
+        ("clients_duplicate_rows", F.col("ci.rows_in") - F.col("ci.distinct_rows")),
+        ("clients_duplicate_ids", F.col("ci.rows_in") - F.col("cf.rows_out")),
         ("properties_rows_in", F.col("li.rows_in")),
         ("properties_rows_out", F.col("lo.rows_out")),
-        ("properties_duplicate_rows", F.col("li.duplicate_rows")),
-        ("properties_duplicate_ids", F.col("li.duplicate_ids")),
+        ("properties_duplicate_rows", F.col("li.rows_in") - F.col("li.distinct_rows")),
+        ("properties_duplicate_ids", F.col("li.rows_in") - F.col("lo.rows_out")),
         ("properties_missing_client_ref", F.col("lo.missing_ref")),
         ("missing_ref_all_available", F.col("lo.rule")),
         ("orphan_client_refs", F.col("link.orphan_client_refs")),

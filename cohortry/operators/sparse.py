@@ -360,6 +360,26 @@ def fit_sparse_kmeans(matrix: SparseMatrix, k: int, n_init: int = 10, seed: int
     return SparseClustering(Centres(centres.dense[best * k:(best + 1) * k], own), float(costs[best]), tuple(map(float, costs)))
 
 
+def scan_sparse(matrix: SparseMatrix, ks: Sequence[int], n_init: int = 10, seed: int = SEED,
+                max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
+    """One row per k, with the columns of ``selection.scan_k``. ``matrix.df`` should be a staged table.
+
+    The restarts of one k share their passes; each k has its own, as its centres are a table.
+    """
+    out = []
+    for k in ks:
+        fit = fit_sparse_kmeans(matrix, k, n_init, seed, max_iter, tol)
+        rows = stage_table(fit.transform(matrix, "_label").select("features", "_label"), "sparse_labels")
+        labelled = SparseMatrix(rows, matrix.numeric, matrix.categorical, matrix.levels)
+        m = measures(labelled, "_label", k).first()
+        sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}  # k rows
+        smallest = min(sizes.get(i, 0) for i in range(k))
+        out.append((k, m["inertia"], m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], smallest, smallest / m["rows"]))
+    return matrix.df.sparkSession.createDataFrame(
+        out, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, "
+        "min_cluster_size bigint, min_cluster_pct double")
+
+
 def _refilled(matrix: SparseMatrix, marked: DataFrame, new: Centres, empty: Sequence[tuple[int, int]], k: int) -> Centres:
     """The farthest row of a model as the centre of its first label without rows."""
     far = marked.agg(*[F.max_by("features", F.col("_marks")[i]["cost"]).alias(f"r{i}") for i, _ in empty]).first()

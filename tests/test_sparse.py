@@ -103,6 +103,21 @@ def test_drawn_starts_find_planted_groups(spark):
     assert len(rows) == 3 and all(len(r["s"]) == 1 and r["n"] == 300 for r in rows)
 
 
+def test_scan_has_the_measures_of_the_dense_scan(spark):
+    from cohortry.operators.selection import scan_k
+
+    df = stage_table(spark.range(240).selectExpr(
+        "cast(id as int) client_id", "double(id % 3) * 10 + (id % 5) / 100 x", "concat('c', id % 3) c", "concat('d', id % 2) d"), "scan")
+    fs = FeatureSet("t", ("x",), ("c", "d"))
+    matrix = SP.sparse_matrix(df, fs)
+    got = {r["k"]: r for r in SP.scan_sparse(matrix, (2, 3, 6), n_init=3).collect()}
+    want = {r["k"]: r for r in scan_k(build_matrix(df, fs), (2, 3, 6), n_init=10).collect()}
+    assert got.keys() == want.keys() and got[6].asDict().keys() == want[6].asDict().keys()
+    for name, value in want[6].asDict().items():  # the groups are plain there
+        assert got[6][name] == pytest.approx(value, rel=1e-6), name
+    assert got[3]["inertia"] == pytest.approx(want[3]["inertia"], rel=1e-6)
+
+
 def test_more_clusters_than_different_rows(spark):
     df = spark.createDataFrame([(i, 0.0 if i < 9 else 4.0, "a" if i < 9 else "b") for i in range(10)], "client_id int, x double, c string")
     matrix = SP.sparse_matrix(df, FeatureSet("t", ("x",), ("c",)))
