@@ -24,6 +24,8 @@ from cohortry.session import stage_table
 
 _BLOCK_ROWS = 4096
 _CELLS = 1 << 22
+#: A tile's distances: few enough for a core's cache.
+_TILE_ROWS, _TILE_CELLS = 1024, 1 << 17
 _FAN_IN = 32
 #: Subsamples in one number: bits that a double holds exactly.
 RUNS_PER_COLUMN = 50
@@ -95,13 +97,14 @@ class _Shape:
             mine[wins] = theirs[wins]
             into[s:s + m][wins] = other[s:s + m][wins]
 
-    def offer(self, into: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-        """``keys``: rows x keys; ``rows``: the vectors of the rows."""
-        best = keys.argmax(axis=0)
-        other = self.empty()
-        other[self.sums:self.sums + self.keys] = keys[best, np.arange(self.keys)]
-        other[self.sums + self.keys:] = rows[best].ravel()
-        self.merge(into, other)
+    def offer(self, into: np.ndarray, keys: np.ndarray, rows: np.ndarray, some: slice) -> None:
+        """``keys``: some of the keys x rows; ``rows``: the vectors of the rows."""
+        best = keys.argmax(axis=1)
+        top = keys[np.arange(len(best)), best]
+        mine = into[self.sums:self.sums + self.keys][some]
+        wins = top > mine
+        mine[wins] = top[wins]
+        into[self.sums + self.keys:].reshape(self.keys, self.width)[some][wins] = rows[best[wins]]
 
 
 def _scan(blocks: Blocks, state: object, shapes: Sequence[_Shape],
@@ -186,12 +189,16 @@ def distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(square, 0).reshape(len(v), m, k)
 
 
-def _weights(x: np.ndarray, bits: np.ndarray, runs: np.ndarray) -> np.ndarray | None:
-    """1 where a row is in a model's subsample: rows x models; None where every model has all rows."""
+def _held(x: np.ndarray, bits: np.ndarray, runs: np.ndarray) -> np.ndarray | None:
+    """Whether a row is in a model's subsample: models x rows; None where every model has all rows."""
     if (runs < 0).all():
         return None
-    held = x[:, bits[runs // RUNS_PER_COLUMN]].astype(np.int64) >> (runs % RUNS_PER_COLUMN)[None, :]
-    return np.where(runs < 0, 1, held & 1).astype(float)
+    own = np.ones((len(runs), len(x)), bool)
+    known, at = np.unique(runs, return_inverse=True)
+    for i, run in enumerate(known):
+        if run >= 0:
+            own[at == i] = (x[:, bits[run // RUNS_PER_COLUMN]].astype(np.int64) >> (run % RUNS_PER_COLUMN) & 1).astype(bool)
+    return own
 
 
 def _pieces(x: np.ndarray, cells: int) -> Iterator[np.ndarray]:
@@ -200,22 +207,46 @@ def _pieces(x: np.ndarray, cells: int) -> Iterator[np.ndarray]:
         yield x[a:a + step]
 
 
+def _tiles(rows: int, models: int, k: int) -> Iterator[tuple[slice, slice]]:
+    """Rows and models in tiles whose distances stay in a core's cache."""
+    high = min(rows, _TILE_ROWS)
+    wide = max(1, _TILE_CELLS // max(1, high * k))
+    for a in range(0, rows, _TILE_ROWS):
+        for b in range(0, models, wide):
+            yield slice(a, a + _TILE_ROWS), slice(b, min(models, b + wide))
+
+
+def _widened(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a column of ones, and their squared lengths."""
+    return np.concatenate([v, np.ones((len(v), 1))], axis=1), (v * v).sum(axis=1)
+
+
+def _slabs(wide: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances less the rows' squared lengths, k x models x rows: one product of widened rows and centres."""
+    m, k, d = centres.shape
+    flat = centres.transpose(1, 0, 2).reshape(k * m, d)
+    return (np.concatenate([-2 * flat, (flat * flat).sum(axis=1)[:, None]], axis=1) @ wide.T).reshape(k, m, len(wide))
+
+
 def _seed_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
     """Of every model one row, drawn in proportion to its squared distance from the centres so far."""
     groups, shapes, bits, seed, step = state
     names = _row_hash(x)
     for group, shape, out in zip(groups, shapes, results):
         m, r, d = group.centres.shape
-        for part, name in zip(_pieces(x, m * max(r, 1)), _pieces(names[:, None], m * max(r, 1))):
-            v = part[:, group.columns]
-            salt = _mixed(np.arange(m, dtype=np.uint64) + np.uint64((seed * 1000 + step) % (1 << 40)) * np.uint64(1 << 20))
-            u = (_mixed(name ^ salt[None, :]) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0 ** -54
-            weight = distances(v, group.centres).min(axis=2) if r else np.ones((len(v), m))
-            own = _weights(part, bits, group.runs)
-            with np.errstate(divide="ignore"):
-                keys = np.log(weight if own is None else weight * own) - np.log(-np.log(u))
-            # Rows that are centres already stay behind all others, but may be taken if there are no others.
-            shape.offer(out, np.where(np.isneginf(keys), -1e300 if own is None else np.where(own > 0, -1e300, -np.inf), keys), v)
+        v = np.ascontiguousarray(x[:, group.columns])
+        wide, square = _widened(v)
+        salt = _mixed(np.arange(m, dtype=np.uint64) + np.uint64((seed * 1000 + step) % (1 << 40)) * np.uint64(1 << 20))
+        for rows, models in _tiles(len(v), m, max(r, 1)):
+            u = (_mixed(names[rows] ^ salt[models, None]) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0 ** -54
+            weight = np.ones(u.shape)
+            if r:
+                weight = np.maximum(_slabs(wide[rows], group.centres[models]).min(axis=0) + square[rows], 0)
+            # The largest log(weight) - log(-log(u)); rows that are centres already stay behind all others, but may
+            # be taken if there are no others.
+            keys = weight / np.maximum(-np.log(u), 2.0 ** -54)
+            own = _held(x[rows], bits, group.runs[models])
+            shape.offer(out, keys if own is None else np.where(own, keys, -np.inf), v[rows], models)
 
 
 def _lloyd_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
@@ -223,21 +254,29 @@ def _lloyd_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
     groups, shapes, bits = state
     for group, shape, out in zip(groups, shapes, results):
         m, k, d = group.centres.shape
-        sums, counts = out[:m * k * d].reshape(m * k, d), out[m * k * d:m * k * (d + 1)]
+        sums, counts = out[:m * k * d].reshape(m, k, d), out[m * k * d:m * k * (d + 1)].reshape(m, k)
         cost = out[m * k * (d + 1):shape.sums]
-        for part in _pieces(x, m * k):
-            v = part[:, group.columns]
-            gap = distances(v, group.centres)
-            label = gap.argmin(axis=2)
-            near = np.take_along_axis(gap, label[:, :, None], axis=2)[:, :, 0]
-            own = _weights(part, bits, group.runs)
-            marks = np.zeros((len(v), m * k))
-            marks[np.arange(len(v))[:, None], label + np.arange(m) * k] = 1.0 if own is None else own
-            sums += marks.T @ v
-            counts += marks.sum(axis=0)
-            near = near if own is None else near * own
-            cost += near.sum(axis=0)
-            shape.offer(out, near, v)
+        v = np.ascontiguousarray(x[:, group.columns])
+        wide, square = _widened(v)
+        for rows, models in _tiles(len(v), m, k):
+            part = wide[rows]
+            gap = _slabs(part, group.centres[models])
+            near = gap[0]
+            for g in gap[1:]:
+                near = np.minimum(near, g)
+            own = _held(x[rows], bits, group.runs[models])
+            left = np.ones(near.shape, bool) if own is None else own.copy()
+            for label, g in enumerate(gap):
+                mark = (g == near) & left  # of equally near centres the first
+                left ^= mark
+                total = mark.astype(float) @ part
+                sums[models, label] += total[:, :-1]
+                counts[models, label] += total[:, -1]
+            near = np.maximum(near + square[rows], 0)
+            if own is not None:
+                near *= own
+            cost[models] += near.sum(axis=1)
+            shape.offer(out, near, v[rows], models)
 
 
 def _seeds(blocks: Blocks, views: Sequence[np.ndarray], runs: np.ndarray, most: int, bits: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -485,14 +524,19 @@ def _measures(x: Labeling, n: np.ndarray, mean: np.ndarray, extra: np.ndarray, t
 # --- agreement with a base labeling, run by run ---------------------------------------
 def _agreement_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
     group, base, levels, bits = state
-    k = group.centres.shape[1]
-    for part in _pieces(x, group.centres.shape[0] * k):
-        label = distances(part[:, group.columns], group.centres).argmin(axis=2)
-        own = _weights(part, bits, group.runs)
-        other = _marks(part[:, base].astype(np.int64), levels)
-        marks = np.zeros((len(part), label.shape[1] * k))
-        marks[np.arange(len(part))[:, None], label + np.arange(label.shape[1]) * k] = 1.0 if own is None else own
-        results[0] += (marks.T @ other).ravel()
+    m, k, _ = group.centres.shape
+    tables = results[0].reshape(m, k, levels)
+    wide, _ = _widened(np.ascontiguousarray(x[:, group.columns]))
+    other = _marks(x[:, base].astype(np.int64), levels)
+    for rows, models in _tiles(len(x), m, k):
+        gap = _slabs(wide[rows], group.centres[models])
+        near = gap.min(axis=0)
+        own = _held(x[rows], bits, group.runs[models])
+        left = np.ones(near.shape, bool) if own is None else own.copy()
+        for label, g in enumerate(gap):
+            mark = (g == near) & left
+            left ^= mark
+            tables[models, label] += mark.astype(float) @ other[rows]
 
 
 def agreement_by_run(blocks: Blocks, group: Group, base: str, levels: int, bits: Sequence[str]) -> np.ndarray:

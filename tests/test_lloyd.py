@@ -165,3 +165,31 @@ def test_results_of_many_partitions_merge(table, monkeypatch):
     monkeypatch.setattr(L, "_FAN_IN", 2)
     parts = S.fit_kmeans(df, 3, n_init=2)
     assert parts.centres == pytest.approx(whole.centres) and parts.cost == pytest.approx(whole.cost)
+
+
+def test_a_pass_works_in_tiles_of_a_cache():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, m, k, d = 4096, 1000, 4, 3
+    x = np.round(rng.normal(size=(n, d)), 2)
+    x = np.concatenate([x, rng.integers(0, 1 << 50, size=(n, 2)).astype(float)], axis=1)
+    centres, runs, bits = x[rng.integers(0, n, size=(m, k)), :d], np.repeat(np.arange(100), 10), np.array([d, d + 1])
+    group, shape = L.Group(np.arange(d), centres, runs), L._Shape(m * k * (d + 1) + m, m, d)
+    out = shape.empty()
+    tracemalloc.start()
+    L._lloyd_work(x, ([group], [shape], bits), [out])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all distances are 131 MB
+    sums, counts = out[:m * k * d].reshape(m, k, d), out[m * k * d:m * k * (d + 1)].reshape(m, k)
+    cost, far = out[m * k * (d + 1):shape.sums], out[shape.sums + m:].reshape(m, d)
+    for i in (0, 371, 999):
+        run = runs[i]
+        mine = x[x[:, bits[run // 50]].astype(np.int64) >> (run % 50) & 1 == 1][:, :d]
+        gap = ((mine[:, None] - centres[i][None]) ** 2).sum(axis=2)
+        label = gap.argmin(axis=1)
+        assert counts[i].tolist() == np.bincount(label, minlength=k).tolist()
+        assert np.allclose(sums[i], [mine[label == j].sum(axis=0) for j in range(k)])
+        assert np.isclose(cost[i], gap.min(axis=1).sum())
+        assert np.allclose(far[i], mine[gap.min(axis=1).argmax()])
