@@ -272,7 +272,9 @@ def flag_redundancy(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFr
 
 # --- silhouette ---------------------------------------------------------------
 _BLOCK_ROWS = 65_536
-_TILE = 1024
+_TILE = 256
+#: Squared distances below this share of the largest squared lengths are taken from the differences, in so many pairs at once.
+_UNSURE, _NEAR = 1e-7, 1 << 14
 
 
 def _pack_block(columns: list[str], labels: list[str]):
@@ -317,20 +319,31 @@ def _distance_sums(columns: int, sizes: list[int]):
             return frame(0, np.zeros((0, total)), np.zeros((0, len(sizes)), np.int32), np.zeros(0, np.int64))
         (x, lx, wx), (y, ly, wy), own = unpacked(left), unpacked(right), key[0] == key[1]
         sx, sy = np.zeros((len(x), total)), np.zeros((len(y), total))
+        mx, my = marks(lx, wx), marks(ly, wy)
+        # Around a point between them the products lose least.
+        middle = (x.mean(axis=0) + y.mean(axis=0)) / 2
+        x, y = x - middle, y - middle
+        long_x, long_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        wide_x = np.column_stack([x, long_x, np.ones(len(x))])
+        wide_y = np.ascontiguousarray(np.column_stack([-2 * y, np.ones(len(y)), long_y]).T)
         for s in range(0, len(x), _TILE):
-            mine = marks(lx[s:s + _TILE], wx[s:s + _TILE])
+            a = slice(s, s + _TILE)
             for t in range(s if own else 0, len(y), _TILE):
-                a, b = x[s:s + _TILE], y[t:t + _TILE]
-                square = np.zeros((len(a), len(b)))
-                for j in range(columns):
-                    gap = a[:, j, None] - b[None, :, j]
-                    square += gap * gap
+                b = slice(t, t + _TILE)
+                square = wide_x[a] @ wide_y[:, b]
+                unsure = _UNSURE * (long_x[a].max() + long_y[b].max())
+                if square.min() <= unsure:  # near pairs by their differences
+                    i, j = np.nonzero(square <= unsure)
+                    for c in range(0, len(i), _NEAR):
+                        ic, jc = i[c:c + _NEAR], j[c:c + _NEAR]
+                        gap = x[s + ic] - y[t + jc]
+                        square[ic, jc] = (gap * gap).sum(axis=1)
                 distance = np.sqrt(square, out=square)
-                sx[s:s + _TILE] += distance @ marks(ly[t:t + _TILE], wy[t:t + _TILE])
+                sx[a] += distance @ my[b]
                 if not own:
-                    sy[t:t + _TILE] += distance.T @ mine
+                    sy[b] += distance.T @ mx[a]
                 elif t > s:
-                    sx[t:t + _TILE] += distance.T @ mine
+                    sx[b] += distance.T @ mx[a]
         if own:
             return frame(key[0], sx, lx, wx)
         return pd.concat([frame(key[0], sx, lx, wx), frame(key[1], sy, ly, wy)], ignore_index=True)
