@@ -2,14 +2,15 @@
 
 A row holds its scaled numbers and the places of its levels, never a column per level. The
 dictionary of levels is a table that is joined, and so are centres and means over the one-hot
-part: neither the driver nor a broadcast has to hold a number per level. Spark sends a small
-dictionary to all tasks by itself and splits a level that many rows share.
+part: neither the driver nor a broadcast has to hold a number per level. An attribute of few levels
+is sent to all tasks; one of many is joined by sorting, whatever the size of its packed
+files, and Spark splits a level there that many rows share.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from cohortry.session import stage_table
 
 #: Index of the entry that counts a row itself.
 _ROW = -1
+#: Most bytes that the part of one attribute may take where it is sent to all tasks.
+_SENT_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -29,24 +32,27 @@ class SparseMatrix:
     """``df`` keeps all its columns and gains ``features``: ``indices`` and ``values`` of a row.
 
     Indices 0..p-1 are the scaled numbers, all there; the one-hot columns follow, only ones are there.
-    ``levels`` is the dictionary ``(feature, level, place)``.
+    ``levels`` is the dictionary ``(feature, level, place)``; ``spans`` has the first place of each attribute
+    and how many it has, and is looked up where it is not given.
     """
 
     df: DataFrame
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
     levels: DataFrame
+    spans: tuple[tuple[int, int], ...] | None = None
 
 
 @dataclass(frozen=True)
 class Centres:
     """``q`` points: the scaled numbers as an array, the one-hot part as a table ``(place, m)`` of ``q`` numbers each.
 
-    A place that is not in the table is 0 in all points.
+    A place that is not in the table is 0 in all points. ``places`` is the number of its rows where that is known.
     """
 
     dense: np.ndarray  # q x p
     hot: DataFrame
+    places: int | None = None
 
 
 # --- levels and rows --------------------------------------------------------------
@@ -84,6 +90,18 @@ def level_places(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.when(~(F.col("two") & (F.col("rank") == 0)), place).cast("int").alias("place"))
 
 
+def _spans(levels: DataFrame, columns: Sequence[str]) -> tuple[tuple[int, int], ...]:
+    """First place and number of places of each attribute."""
+    ends = {r["feature"]: r for r in levels.groupBy("feature").agg(
+        F.min("place").alias("lo"), F.count("place").alias("n")).collect()}  # a row per attribute
+    return tuple((ends[c]["lo"], ends[c]["n"]) if c in ends and ends[c]["n"] else (0, 0) for c in columns)
+
+
+def _sized(table: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """A side of a join by what it takes unpacked; Spark goes by the size of packed files."""
+    return F.broadcast(table) if rows * row_bytes <= _SENT_BYTES else table.hint("merge")
+
+
 def sparse_matrix(df: DataFrame, fs: FeatureSet, scaler: str = "standard") -> SparseMatrix:
     """Scaled numbers and one-hot entries of each row; scaled numbers must not be NULL, levels may be."""
     terms = scaling_terms(df, fs, scaler) if fs.numeric else []
@@ -91,10 +109,11 @@ def sparse_matrix(df: DataFrame, fs: FeatureSet, scaler: str = "standard") -> Sp
         levels = df.sparkSession.createDataFrame([], "feature string, level string, place int")
     else:
         levels = stage_table(level_places(df, fs.categorical), "levels")
+    spans = _spans(levels, fs.categorical) if fs.categorical else ()
     out = df
     for i, c in enumerate(fs.categorical):
         own = levels.filter(F.col("feature") == c).select(F.col("level").alias("_level"), F.col("place").alias(f"_place_{i}"))
-        out = out.join(own, F.col(c).cast("string") == F.col("_level"), "left").drop("_level")
+        out = out.join(_sized(own, spans[i][1], 256), F.col(c).cast("string") == F.col("_level"), "left").drop("_level")
     p = len(terms)
     hot = [f"_place_{i}" for i in range(len(fs.categorical))]
     places = F.array_compact(F.array(*[F.col(h) + p for h in hot])) if hot else F.array().cast("array<int>")
@@ -102,7 +121,7 @@ def sparse_matrix(df: DataFrame, fs: FeatureSet, scaler: str = "standard") -> Sp
     indices = F.concat(F.array(*[F.lit(i) for i in range(p)]).cast("array<int>"), places)
     values = F.concat(scaled, F.transform(places, lambda x: F.lit(1.0)))
     out = out.withColumn("features", F.struct(indices.alias("indices"), values.alias("values"))).drop(*hot)
-    return SparseMatrix(out, tuple(n for n, _ in terms), tuple(fs.categorical), levels)
+    return SparseMatrix(out, tuple(n for n, _ in terms), tuple(fs.categorical), levels, spans)
 
 
 def column_names(matrix: SparseMatrix) -> DataFrame:
@@ -142,21 +161,25 @@ def with_distances(matrix: SparseMatrix, points: Centres, name: str = "gaps") ->
     """``matrix.df`` with the squared distances to all points, as one array.
 
     Over the one-hot part the squared distance is the points' squared length there, and ``1 - 2 m`` for each
-    place of the row; those numbers come by one join per attribute.
+    place of the row; those numbers come by one join per attribute, with the points at its places only.
     """
     q, p = len(points.dense), len(matrix.numeric)
-    square = points.hot.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x"))).collect()
-    length = np.zeros(q)  # one number per point
-    for i, x in square:
-        length[i] = x
+    square = points.hot.agg(*[F.sum(F.col("m")[i] * F.col("m")[i]) for i in range(q)]).first()
+    length = np.array([x or 0.0 for x in square], float)  # one number per point
     gaps = F.expr(
         "zip_with(array(" + ", ".join(_doubles(c) for c in points.dense) + "), " + _doubles(length)
         + f", (c, l) -> l + aggregate(zip_with(slice(features.values, 1, {p}), c, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))")
     out = matrix.df.withColumn("_dense", gaps)
     hot = []
-    for j in range(len(matrix.categorical)):
-        table = points.hot.select(F.col("place").alias("_p"), F.col("m").alias(f"_m_{j}"))
-        out = out.join(table, F.get("features.indices", F.lit(p + j)) == F.col("_p") + p, "left").drop("_p")
+    spans = _spans(matrix.levels, matrix.categorical) if matrix.spans is None else matrix.spans
+    for j, (lo, n) in enumerate(spans):
+        if not n:
+            continue
+        table = points.hot.filter(F.col("place").between(lo, lo + n - 1)).select(
+            F.col("place").alias("_p"), F.col("m").alias(f"_m_{j}"))
+        own = F.get(F.filter("features.indices", lambda x: x.between(p + lo, p + lo + n - 1)), F.lit(0))
+        most = n if points.places is None else min(n, points.places)
+        out = out.join(_sized(table, most, 8 * q + 64), own == F.col("_p") + p, "left").drop("_p")
         hot.append(f"_m_{j}")
     ones = (F.size("features.indices") - p).cast("double")
     total = F.transform(F.col("_dense"), lambda x: x + ones)
@@ -220,7 +243,7 @@ def measures(matrix: SparseMatrix, label: str, k: int) -> DataFrame:
     """
     p = len(matrix.numeric)
     df = matrix.df.filter(F.col(label).between(0, k - 1))
-    known = SparseMatrix(df, matrix.numeric, matrix.categorical, matrix.levels)
+    known = replace(matrix, df=df)
     marked = df.withColumn("_label", F.array(F.struct(F.col(label).cast("int").alias("label"), F.lit(0.0).alias("cost"))))
     sums = _sums(marked, "_label", k, p)
     n, there = sums.n, np.flatnonzero(sums.n)
@@ -292,7 +315,7 @@ def _points(matrix: SparseMatrix, rows: Sequence) -> Centres:
         for index in r["indices"][p:]:
             cells.setdefault(index - p, [0.0] * len(rows))[i] = 1.0
     hot = matrix.df.sparkSession.createDataFrame(sorted(cells.items()), "place int, m array<double>")
-    return Centres(np.array([r["values"][:p] for r in rows], float).reshape(len(rows), p), hot)
+    return Centres(np.array([r["values"][:p] for r in rows], float).reshape(len(rows), p), hot, len(cells))
 
 
 def _starts(matrix: SparseMatrix, k: int, n_init: int, seed: int) -> Centres:
@@ -370,7 +393,7 @@ def scan_sparse(matrix: SparseMatrix, ks: Sequence[int], n_init: int = 10, seed:
     for k in ks:
         fit = fit_sparse_kmeans(matrix, k, n_init, seed, max_iter, tol)
         rows = stage_table(fit.transform(matrix, "_label").select("features", "_label"), "sparse_labels")
-        labelled = SparseMatrix(rows, matrix.numeric, matrix.categorical, matrix.levels)
+        labelled = replace(matrix, df=rows)
         m = measures(labelled, "_label", k).first()
         sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}  # k rows
         smallest = min(sizes.get(i, 0) for i in range(k))

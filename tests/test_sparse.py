@@ -157,3 +157,29 @@ def test_nothing_known(spark):
     assert [r[0] for r in alone.df.select("features.values").collect()] == [[1.0], [1.0]]
     plain = SP.sparse_matrix(df, FeatureSet("t", ("x",)))
     assert plain.levels.count() == 0 and plain.df.select("features.indices").first()[0] == [0]
+
+
+def test_points_over_many_levels_are_not_sent_to_all_tasks(spark):
+    """The numbers of 60,000 levels are mostly zeros, so small in files, but not in memory."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("client_id"), (F.col("id") % 11).cast("double").alias("x"),
+        F.concat(F.lit("z"), F.col("id") % 5).alias("zone"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    matrix = SP.sparse_matrix(stage_table(rows, "rows"), FeatureSet("", ("x",), ("zone", "name")), "minmax")
+    assert matrix.spans == ((0, 5), (5, 60_000))
+    assert plan(matrix.df).count("BroadcastHashJoin") == 1
+    q = 20
+    hot = matrix.levels.select("place", F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda i: F.when(
+        i == F.col("place") % q, 1.0).otherwise(0.0)).alias("m"))
+    points = SP.Centres(np.zeros((q, 1)), stage_table(hot, "hot"))
+    near = SP.with_distances(matrix, points)
+    assert plan(near).count("SortMergeJoin") == 2 and plan(near).count("BroadcastHashJoin") == 2
+    # The 3000 levels of a point's length, the row's own two ones, less twice where the point holds the row's levels.
+    first = near.filter("client_id = 0").first()
+    places = first["features"]["indices"]
+    length = 3000 + (np.arange(q) < 5)
+    want = length + 2.0 - 2 * sum(np.arange(q) == (i - 1) % q for i in places[1:])
+    assert first["gaps"] == pytest.approx(list(want))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
