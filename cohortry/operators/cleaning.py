@@ -147,9 +147,13 @@ def clients_with_rows(register: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def linkage(register: DataFrame, ledger: DataFrame) -> DataFrame:
     """One row with both key checks, from one join of the counts per key."""
+    return _linked(register, reference_counts(ledger))
+
+
+def _linked(register: DataFrame, counts: DataFrame) -> DataFrame:
     known = register.select(F.col("client_id").alias("client_ref"), F.lit(True).alias("known")).distinct()
     found = F.coalesce(F.col("known"), F.lit(False))
-    return reference_counts(ledger).join(known, "client_ref", "left").agg(
+    return counts.join(known, "client_ref", "left").agg(
         F.coalesce(F.sum(F.when(~found, F.col("rows"))), F.lit(0)).alias("orphan_client_refs"),
         F.count_if(found).alias("clients_with_purchase"),
     )
@@ -169,8 +173,9 @@ def cleaning_report(
 ) -> DataFrame:
     """The audit as ``(position, check, value)``, value as text.
 
-    The first rows per key are staged, as several checks read them. There is one of each key, so
-    their number also gives the repeated keys, without counting keys apart.
+    The first client rows are staged, as several checks read them; the first listings only as their sums per
+    client key. There is one row of each key, so their number also gives the repeated keys, without counting
+    keys apart.
     """
     first_clients = stage_table(
         keep_first(raw_register, "client_id", register_order).select(*REGISTER_COLUMNS), "first_clients")
@@ -184,18 +189,26 @@ def cleaning_report(
     ))
     # The first listings are chosen once: labels as they came, the rest as cleaned.
     tidied = [F.col(c).alias(f"raw_{c}") for c in LEDGER_LABELS]
-    listings = stage_table(_typed_listings(keep_first(raw_ledger, "listing_id", ledger_order), tidied), "first_listings")
+    listings = _typed_listings(keep_first(raw_ledger, "listing_id", ledger_order), tidied)
     altered = sum((P.label_changed(F.col(f"raw_{c}")).cast("long") for c in LEDGER_LABELS), F.lit(0).cast("long"))
-    l_out = one_row(listings.agg(
-        F.count("*").alias("rows_out"),
-        F.coalesce(F.sum(altered), F.lit(0)).alias("changed"),
-        F.count_if(F.col("client_ref").isNull()).alias("missing_ref"),
+    by_ref = stage_table(listings.groupBy("client_ref").agg(
+        F.count("*").alias("rows"),
+        F.sum(altered).alias("changed"),
         missing_key_rule(listings).alias("rule"),
         F.count_if(F.col("sale_price").isNull()).alias("unpriced"),
         F.min("transaction_date").alias("first"),
         F.max("transaction_date").alias("last"),
+    ), "listings_by_ref")
+    l_out = one_row(by_ref.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_out"),
+        F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"),
+        F.coalesce(F.sum(F.when(F.col("client_ref").isNull(), F.col("rows"))), F.lit(0)).alias("missing_ref"),
+        F.coalesce(F.bool_and("rule"), F.lit(True)).alias("rule"),
+        F.coalesce(F.sum("unpriced"), F.lit(0)).alias("unpriced"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
     ))
-    links = one_row(linkage(first_clients, listings))
+    links = one_row(_linked(first_clients, by_ref.filter(F.col("client_ref").isNotNull()).select("client_ref", "rows")))
     parts = raw_register.sparkSession.range(1).select(
         c_in.alias("ci"), l_in.alias("li"), c_first.alias("cf"),
         l_out.alias("lo"), links.alias("link"),

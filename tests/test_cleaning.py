@@ -5,6 +5,7 @@ import pytest
 from cohortry.config import LEDGER_COLUMNS, REGISTER_COLUMNS
 from cohortry.operators import cleaning as C
 from cohortry.operators import features as FE
+from cohortry.session import stage_table
 from cohortry.sources import readers
 
 
@@ -118,3 +119,20 @@ def test_no_field_of_a_text_table_is_lost(spark, tmp_path):
     with pytest.raises(Exception, match="multi_line"):
         read(broken).collect()
     assert [(r.a, r.b) for r in read(broken, multi_line=True).collect()] == [("x\ny", "7"), ("1", 'q "z" r')]
+
+
+def test_the_report_stages_no_listings(spark, monkeypatch):
+    staged = []
+
+    def stage(df, name):
+        staged.append((name, df.count()))
+        return stage_table(df, name)
+
+    monkeypatch.setattr(C, "stage_table", stage)
+    register = text(spark, REGISTER_COLUMNS, [client("a"), client("b")])
+    ledger = text(spark, LEDGER_COLUMNS, [listing(str(i), client_ref="ab"[i % 2], sale_price="?" if i < 3 else "$10.00") for i in range(50)]
+                  + [listing("x", client_ref="", listing_status="Sold"), listing("x", client_ref="a")])
+    got = {r["check"]: r["value"] for r in C.cleaning_report(register, ledger).collect()}
+    assert got["properties_rows_out"] == "51" and got["price_unparsed"] == "3" and got["clients_with_purchase"] == "2"
+    assert got["properties_missing_client_ref"] == "1" and got["missing_ref_all_available"] == "false"
+    assert sum(n for name, n in staged if name != "first_clients") == 3
