@@ -1,9 +1,9 @@
-"""Main text of web pages: marked articles, and a suffix array of each host against boilerplate.
+"""Main text of web pages: a suffix array of each host finds boilerplate, the page's marks check the rest.
 
-What stands outside the marked article of each page, and all of a page without one, is a
-stream of tokens. The distinct streams of a host are concatenated and their suffixes
-sorted; runs of ``RUN`` tokens or more that several pages repeat are boilerplate. Blocks that they cover
-are removed from pages without a marked article, the unique rest is kept.
+The blocks of a page, its article among them, are a stream of tokens. The distinct streams of a host are
+concatenated and their suffixes sorted; runs of ``RUN`` tokens or more that several pages repeat are
+boilerplate, blocks that they cover go and the unique rest is kept. Where a page marks its article, the marked
+elements in which something unique is left are taken whole and what stands outside them goes.
 """
 from __future__ import annotations
 
@@ -20,70 +20,74 @@ from cohortry.llm.staging import staged
 
 RUN = 8
 _BUCKET_TOKENS = 1 << 20
-_GAP = "\x01"
-_PARSED = "text string, blocks array<string>, begins array<int>, host string, tokens binary, n_tokens long, all_tokens long"
+_WHOLE_TOKENS = 2 << 20
+_PARSED = "host string, packed binary, n_bytes long, regions array<int>, n_tokens long"
+_STREAM = "bucket long, host_hash long, page long, decides boolean, packed binary, n_bytes long"
 _ODD = H.mixed(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 # --- pages ----------------------------------------------------------------------
-def _read(html: str) -> tuple[str | None, list[str] | None, list[int] | None, str, int]:
-    """``(text, blocks, begins, stream, tokens)``: the text of a marked page, or an unmarked one's blocks and where they begin."""
+def _lines(packed: bytes, n_bytes: int) -> bytes:
+    """A page's blocks as lines; packed they take less space in files and shuffles than their tokens."""
+    return pa.decompress(packed, n_bytes, "zstd", asbytes=True) if n_bytes else b""
+
+
+def _read(html: str) -> tuple[str, list[str], list[int]]:
+    """``(text, blocks, regions)``: what the page alone gives, all its blocks, and where each stands.
+
+    Of a page with a marked article, ``regions`` are the numbers of its marked elements, else 0 for plain blocks; -1
+    for blocks that stand apart or outside the article.
+    """
     found = page_blocks(html)
-    best = max((part for part, _ in found), default=PLAIN)
-    marked = best > PLAIN
-    outside, begins, at, gap = [], [], 0, False
-    for part, text in found:
-        if marked and part == best:
-            gap = True
-            continue
-        if gap:  # no run goes across the article
-            outside.append(_GAP)
-            at, gap = at + 1, False
-        if part == PLAIN:
-            begins.append(at)
-        outside.append(text)
-        at += text.count(" ") + 1
-    kept = [text for part, text in found if part == max(best, PLAIN)]
-    total = sum(text.count(" ") + 1 for _, text in found)
-    stream = " ".join(outside)
-    return ("\n".join(kept), None, None, stream, total) if marked else (None, kept, begins, stream, total)
+    best = max((part for part, _, _ in found), default=PLAIN)
+    blocks = [text for _, _, text in found]
+    regions = [region if part == max(best, PLAIN) else -1 for part, region, _ in found]
+    return _main(blocks, regions, None), blocks, regions
 
 
 def _parse(carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in H.slices(batch, "html_"):
-                texts, blocks, begins, streams, totals = zip(*[_read(x or "") for x in piece.column("html_").to_pylist()])
-                words, first, _ = H.word_hashes(*H.text_bytes(pa.array(streams, pa.large_string())))
+                _, blocks, regions = zip(*[_read(x or "") for x in piece.column("html_").to_pylist()])
+                lines = ["\n".join(page).encode() for page in blocks]
                 yield pa.record_batch([
-                    *[piece.column(c) for c in carried], pa.array(texts, pa.string()), pa.array(blocks, pa.list_(pa.string())),
-                    pa.array(begins, pa.list_(pa.int32())), piece.column("host"),
-                    pa.array([words[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()),
-                    pa.array(np.diff(first)), pa.array(totals, pa.int64())],
+                    *[piece.column(c) for c in carried], piece.column("host"),
+                    pa.array([pa.compress(x, "zstd", asbytes=True) if x else b"" for x in lines], pa.binary()),
+                    pa.array([len(x) for x in lines], pa.int64()), pa.array(regions, pa.list_(pa.int32())),
+                    pa.array([sum(x.count(" ") + 1 for x in page) for page in blocks], pa.int64())],
                     names=[*carried, *[x.split()[0] for x in _PARSED.split(", ")]])
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a task, copies of one once."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, page in enumerate(batch.column("page").to_pylist()):
+            if page not in seen:
+                seen.add(page)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 # --- suffixes -------------------------------------------------------------------
 class _Streams:
     """The concatenated streams of a bucket; tokens of different hosts are different."""
 
     def __init__(self, rows: pa.Table):
-        get = {c: rows.column(c).combine_chunks() for c in ("host_hash", "tokens", "page", "all_tokens")}
-        self.pages, self.all_tokens = get["page"], get["all_tokens"].to_numpy(zero_copy_only=False)
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in get["tokens"]]
-        self.size = np.array([len(x) for x in parts], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.owner = np.repeat(np.arange(len(parts)), self.size)
-        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        host = get["host_hash"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        # Copies of a page in several tasks count once.
+        rows = rows.take(pa.array(np.unique(rows.column("page").to_numpy(), return_index=True)[1]))
+        self.pages, self.decides = rows.column("page").combine_chunks(), rows.column("decides").to_pylist()
+        lines = [_lines(*x) for x in zip(rows.column("packed").to_pylist(), rows.column("n_bytes").to_pylist())]
+        tokens, first, _ = H.word_hashes(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)]))
+        self.first, self.size = first[:-1], np.diff(first)
+        self.owner = np.repeat(np.arange(len(lines), dtype=np.int32), self.size)
+        host = rows.column("host_hash").to_numpy().astype(np.int64).view(np.uint64)
         self.tokens = H.mixed(tokens ^ host[self.owner])
-        # A run lies in one stream and has no gap in it.
-        n = len(tokens)
-        gaps = np.r_[0, np.cumsum(tokens == _gap_hash())]
-        at = np.arange(n)
-        stop = np.minimum(at + RUN, n)
-        self.whole = (at + RUN <= (self.first + self.size)[self.owner]) & (gaps[stop] == gaps[at])
+        # A run lies in one stream.
+        self.whole = np.arange(len(tokens)) + RUN <= (self.first + self.size)[self.owner]
 
     def suffix_array(self) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes in the order of their first ``RUN`` tokens, by prefix doubling, and each place's rank."""
@@ -115,58 +119,122 @@ class _Streams:
         return np.bincount(self.owner[marks], minlength=len(self.size))
 
 
-def _gap_hash() -> np.uint64:
-    return H.word_hashes(*H.text_bytes(pa.array([_GAP], pa.large_string())))[0][0]
-
-
 _COUNTED = pa.schema([("bucket", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+_SHORT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("packed", pa.binary())])
+_OFTEN = pa.schema([("bucket", pa.int64()), ("short", pa.int64())])
 _COVERED = pa.schema([("page", pa.int64()), ("n_covered", pa.int64()), ("covered", pa.binary())])
 
 
-def _count_intervals(least: int):
-    """Runs of a bucket and in how many of its pages each stands; rare ones only where a host has more buckets."""
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _intervals(streams: _Streams) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as neighbours in the suffix array with one rank, and in how many pages each stands."""
+    order, rank = streams.suffix_array()
+    order = order[streams.whole[order]]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
+    interval = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+    new = np.r_[True, (interval[1:] != interval[:-1]) | (streams.owner[order][1:] != streams.owner[order][:-1])]
+    return streams.grams(order[begin]), np.bincount(interval[new], minlength=len(begin))
+
+
+def _pages_of(streams: _Streams, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and in how many pages each stands, of the runs ``names`` that begin at the places ``at``."""
+    pairs = np.unique(np.stack([names, streams.owner[at]]), axis=1)
+    return np.unique(pairs[0], return_counts=True)
+
+
+def _in_own(streams: _Streams, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs again, counted only in pages that are not mostly made of such runs."""
+    own = 2 * streams.totals(streams.covered(grams)) <= streams.size
+    at = np.flatnonzero(streams.whole & own[streams.owner])
+    names = streams.grams(at)
+    hit = np.isin(names, grams)
+    return _pages_of(streams, at[hit], names[hit])
+
+
+def _counted(bucket: pa.Scalar, grams: np.ndarray, n: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(np.full(len(grams), bucket.as_py())), pa.array(grams), pa.array(n.astype(np.int64))], schema=_COUNTED)
+
+
+def _marked(streams: _Streams, grams: np.ndarray) -> pa.Table:
+    marks = streams.covered(grams)
+    n = streams.totals(marks)
+    hit = np.flatnonzero(n)
+    bits = [np.packbits(marks[a:a + s]).tobytes() if streams.decides[i] else None
+            for i, a, s in zip(hit.tolist(), streams.first[hit].tolist(), streams.size[hit].tolist())]
+    return pa.table([streams.pages.take(pa.array(hit)), pa.array(n[hit].astype(np.int64)), pa.array(bits, pa.binary())], schema=_COVERED)
+
+
+def _cover_hosts(least: int):
+    """A bucket of whole hosts from its suffix array to its boilerplate."""
+    def run(rows: pa.Table) -> pa.Table:
         streams = _Streams(rows)
-        order, rank = streams.suffix_array()
-        order = order[streams.whole[order]]
-        if not len(order):
+        grams, n = _intervals(streams)
+        grams, n = _in_own(streams, grams[n >= least])
+        return _marked(streams, grams[n >= least])
+    return run
+
+
+def _packed(values: np.ndarray) -> tuple[int, bytes]:
+    """Sorted values as the bytes of their gaps, all lowest bytes first."""
+    gaps = np.diff(values, prepend=values[:1])
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return width, gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(first: int, width: int, packed: bytes) -> np.ndarray:
+    gaps = np.zeros((len(packed) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
+
+
+def _short_names(least: int, shift: int, parts: int):
+    """The first bits of all runs of a bucket, each as often as pages hold it (up to ``least``), by ranges."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        grams, n = _intervals(_Streams(rows))
+        short = np.sort(np.repeat(grams.view(np.uint64) >> np.uint64(shift), np.minimum(n, least)))
+        part = short // np.uint64((1 << 64 - shift) // parts + 1)
+        edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        out = [(i, key[0].as_py(), int(short[a]), *_packed(short[a:b])) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
+        return pa.table([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_SHORT)], schema=_SHORT)
+    return run
+
+
+def _often(least: int):
+    """Those of a range that ``least`` pages or more may hold, for each bucket that has them."""
+    def run(rows: pa.Table) -> pa.Table:
+        values = [_unpacked(*x) for x in zip(*[rows.column(c).to_pylist() for c in ("first", "width", "packed")])]
+        value, n = np.unique(np.concatenate(values), return_counts=True)
+        value = value[n >= least]
+        found = [np.unique(x[np.isin(x, value[slice(*np.searchsorted(value, [x[0], x[-1] + np.uint64(1)]))])]) for x in values]
+        bucket = np.repeat(rows.column("bucket").to_numpy(), [len(x) for x in found])
+        return pa.table([pa.array(bucket), pa.array(np.concatenate(found).view(np.int64))], schema=_OFTEN)
+    return run
+
+
+def _count_part(shift: int):
+    """The whole names of these runs, and in how many pages of the bucket each stands."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, often: pa.Table) -> pa.Table:
+        if not rows.num_rows or not often.num_rows:
             return _COUNTED.empty_table()
-        # Neighbours in the array with one rank share the run; a page counts once.
-        begin = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-        interval = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
-        new = np.r_[True, (interval[1:] != interval[:-1]) | (streams.owner[order][1:] != streams.owner[order][:-1])]
-        n = np.bincount(interval[new], minlength=len(begin))
-        spread = rows.column("spread").to_numpy()[streams.owner[order[begin]]]
-        keep = (n >= least) | spread
-        return pa.table([pa.array(np.full(int(keep.sum()), key[0].as_py())), pa.array(streams.grams(order[begin[keep]])),
-                         pa.array(n[keep].astype(np.int64))], schema=_COUNTED)
+        streams = _Streams(rows)
+        at = np.flatnonzero(streams.whole)
+        names = streams.grams(at)
+        hit = np.isin(names.view(np.uint64) >> np.uint64(shift), often.column("short").to_numpy().view(np.uint64))
+        return _counted(key[0], *_pages_of(streams, at[hit], names[hit]))
     return run
 
 
 def _count_in_own(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
-    """The runs again, counted only in pages that are not mostly made of such runs."""
     if not rows.num_rows or not grams.num_rows:
         return _COUNTED.empty_table()
-    streams = _Streams(rows)
-    known = grams.column("gram").to_numpy()
-    own = 2 * streams.totals(streams.covered(known)) <= streams.all_tokens
-    at = np.flatnonzero(streams.whole & own[streams.owner])
-    names = streams.grams(at)
-    hit = np.isin(names, known)
-    pairs = np.unique(np.stack([names[hit], streams.owner[at[hit]]]), axis=1)
-    gram, n = np.unique(pairs[0], return_counts=True)
-    return pa.table([pa.array(np.full(len(gram), key[0].as_py())), pa.array(gram), pa.array(n.astype(np.int64))], schema=_COUNTED)
+    return _counted(key[0], *_in_own(_Streams(rows), grams.column("gram").to_numpy()))
 
 
-def _cover(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
+def _cover_part(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
     if not rows.num_rows or not grams.num_rows:
         return _COVERED.empty_table()
-    streams = _Streams(rows)
-    marks = streams.covered(grams.column("gram").to_numpy())
-    n = streams.totals(marks)
-    hit = np.flatnonzero(n)
-    bits = [np.packbits(marks[a:a + s]).tobytes() for a, s in zip(streams.first[hit].tolist(), streams.size[hit].tolist())]
-    return pa.table([streams.pages.take(pa.array(hit)), pa.array(n[hit].astype(np.int64)), pa.array(bits, pa.binary())], schema=_COVERED)
+    return _marked(_Streams(rows), grams.column("gram").to_numpy())
 
 
 def _schema(schema: pa.Schema) -> str:
@@ -178,59 +246,79 @@ def _enough(counted: DataFrame, least: int) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram")
 
 
-def boilerplate(pages: DataFrame, least: int = 3, bucket_tokens: int = _BUCKET_TOKENS) -> DataFrame:
-    """``(page, n_covered, covered)`` of pages with boilerplate; ``covered`` has a bit per token of the stream.
+def boilerplate(pages: DataFrame, least: int = 3, bucket_tokens: int = _BUCKET_TOKENS, whole_tokens: int = _WHOLE_TOKENS) -> DataFrame:
+    """``(page, n_covered, covered)`` of pages with boilerplate; ``covered`` has a bit per token of the stream where that decides on blocks.
 
-    ``pages``: ``(host, page, tokens, n_tokens, all_tokens)``. A run is boilerplate where
+    ``pages``: ``(host, page, packed, n_bytes, regions, n_tokens)``. A run is boilerplate where
     ``least`` pages of the host with different content hold it that are not themselves mostly made of repeated
-    runs, so copies of one page do not turn its text into boilerplate. Hosts are dealt to buckets whole, a host with
-    more than a quarter of a bucket page by page; its runs are then counted over all its buckets.
+    runs, so copies of one page do not turn its text into boilerplate. Hosts are dealt to buckets whole, one with
+    more than a quarter of a bucket has its own; one with more than ``whole_tokens`` is dealt page by page, and its
+    runs are counted over all its buckets.
     """
-    streams = staged(pages.filter(F.col("n_tokens") >= RUN).groupBy("host", "page").agg(
-        F.first("tokens").alias("tokens"), F.max("all_tokens").alias("all_tokens"), F.max("n_tokens").alias("n_tokens")), "streams")
-    total = streams.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_tokens))
-    large = streams.groupBy("host").agg(F.sum("n_tokens").alias("n")).filter(F.col("n") * 4 > bucket_tokens).select(
-        "host", F.lit(True).alias("spread"))  # at most four per bucket
-    spread = F.coalesce("spread", F.lit(False))
-    dealt = streams.join(F.broadcast(large), "host", "left").select(
-        F.pmod(F.xxhash64("host", F.when(spread, F.col("page"))), F.lit(buckets)).alias("bucket"),
-        F.xxhash64("host").alias("host_hash"), "page", "tokens", "all_tokens", spread.alias("spread"))
-    by = dealt.groupBy("bucket")
-    counted = staged(by.applyInArrow(_count_intervals(least), _schema(_COUNTED)), "runs")
+    pages = pages.filter(F.col("n_tokens") >= RUN)
+    sizes = pages.groupBy("host", "page").agg(F.max("n_tokens").alias("n")).groupBy("host").agg(F.sum("n").alias("n"))
+    sizes = staged(sizes, "hosts")
+    total, longest = sizes.agg(F.sum("n"), F.max("n")).first()
+    buckets = max(1, -(-(total or 0) // bucket_tokens))
+    large = sizes.filter(F.col("n") * 4 > bucket_tokens).select("host", (F.col("n") > whole_tokens).alias("spread"))  # at most four per bucket
+    number = F.pmod(F.xxhash64("host", F.when(F.col("spread"), F.col("page"))), F.lit(buckets))
+    # A single marked element is the article, whatever other pages repeat of it.
+    decides = F.expr("exists(regions, r -> r = 0) OR size(array_distinct(filter(regions, r -> r > 0))) > 1")
+    dealt = pages.join(F.broadcast(large), "host", "left").select(
+        F.when(~F.col("spread"), -1 - F.pmod(F.xxhash64("host"), F.lit(1 << 62))).otherwise(number).alias("bucket"),
+        F.xxhash64("host").alias("host_hash"), "page", decides.alias("decides"), "packed", "n_bytes",
+        F.coalesce("spread", F.lit(False)).alias("spread"))
+    streams = {x: dealt.filter(F.col("spread") == x).drop("spread").mapInArrow(_once, _STREAM) for x in (False, True)}
+    whole = streams[False].groupBy("bucket").applyInArrow(_cover_hosts(least), _schema(_COVERED))
+    if (longest or 0) <= whole_tokens:
+        return whole
+    by = streams[True].groupBy("bucket")
+    # First bits tell which runs may be in enough pages of all buckets, whole names which are; twice the buckets take a bit more.
+    shift = 64 - min(64, 30 + buckets.bit_length())
+    short = by.applyInArrow(_short_names(least, shift, buckets), _schema(_SHORT))
+    often = staged(short.groupBy("part").applyInArrow(_often(least), _schema(_OFTEN)), "often")
+    counted = staged(by.cogroup(often.groupBy("bucket")).applyInArrow(_count_part(shift), _schema(_COUNTED)), "runs")
     repeated = staged(counted.join(_enough(counted, least), "gram").select("bucket", "gram"), "repeated")
     own = by.cogroup(repeated.groupBy("bucket")).applyInArrow(_count_in_own, _schema(_COUNTED))
     found = repeated.join(_enough(own, least), "gram")
-    return by.cogroup(found.groupBy("bucket")).applyInArrow(_cover, _schema(_COVERED))
+    return whole.unionByName(by.cogroup(found.groupBy("bucket")).applyInArrow(_cover_part, _schema(_COVERED)))
 
 
 # --- the whole ------------------------------------------------------------------
-def _unique_blocks(blocks: list[str] | None, begins: list[int] | None, bits: bytes | None) -> str:
+def _main(blocks: list[str], regions: list[int], bits: bytes | None) -> str:
+    """The blocks that the boilerplate leaves, checked against the page's marks.
+
+    A marked element in which a unique block is left is taken whole, so a passage that other pages repeat stays in it;
+    one that is repeated throughout goes where another is left. Unique blocks outside the marked ones go.
+    """
     marks = np.unpackbits(np.frombuffer(bits or b"", np.uint8))
-    out = []
-    for text, at in zip(blocks or (), begins or ()):
+    at, unique = 0, []
+    for text in blocks:
         n = text.count(" ") + 1
-        if 2 * int(marks[at:at + n].sum()) <= n:
-            out.append(text)
-    return "\n".join(out)
+        unique.append(2 * int(marks[at:at + n].sum()) <= n)
+        at += n
+    left = {r for r, u in zip(regions, unique) if u and r > 0} or set(regions)
+    return "\n".join(text for text, r, u in zip(blocks, regions, unique) if r > 0 and r in left or r == 0 and u)
 
 
 def _clean(carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_unique_blocks(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("blocks", "begins", "covered")])]
-            yield pa.record_batch([*[batch.column(c) for c in carried], pa.array(texts, pa.string()), batch.column("n_covered")],
-                                  names=[*carried, "text", "n_covered"])
+            for piece in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                texts = [_main(_lines(packed, n).decode().split("\n") if n else [], regions, bits) for packed, n, regions, bits
+                         in zip(*[piece.column(c).to_pylist() for c in ("packed", "n_bytes", "regions", "covered")])]
+                yield pa.record_batch([*[piece.column(c) for c in carried], pa.array(texts, pa.string()), piece.column("n_covered")],
+                                      names=[*carried, "text", "n_covered"])
     return run
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 3,
-              bucket_tokens: int = _BUCKET_TOKENS) -> DataFrame:
+              bucket_tokens: int = _BUCKET_TOKENS, whole_tokens: int = _WHOLE_TOKENS) -> DataFrame:
     """``(page_id, url, text, boilerplate_tokens)`` of every row; blocks of the text are joined by line breaks.
 
-    The article is what an ``article``, else a ``main`` element, else one named like them holds, without
-    the parts in it that stand apart (menus, notices, comments and so on). Pages without any
-    keep their blocks that are not mostly covered by the host's boilerplate. Null and empty
+    Blocks that are mostly covered by the host's boilerplate go, the unique rest is kept. The marks of a page check this:
+    its article is what an ``article``, else a ``main`` element, else one named like them holds, without
+    the parts in it that stand apart (menus, notices, comments and so on); of several, those with a unique block. Null and empty
     pages, and pages without text, give an empty text; pages without a host are compared with each other. Repeated rows
     all stay and count once as evidence.
     """
@@ -238,11 +326,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     rows = pages.select(F.col(page_id).alias("c0"), F.col(url).alias("c1"), host.alias("host"), F.col(html).cast("string").alias("html_"))
     types = dict(rows.dtypes)
     parsed = rows.mapInArrow(_parse(["c0", "c1"]), f"c0 {types['c0']}, c1 {types['c1']}, {_PARSED}")
-    parsed = staged(parsed.withColumn("page", F.xxhash64("host", "text", "blocks", "tokens")), "pages")
-    found = staged(boilerplate(parsed, least, bucket_tokens), "covered")
-    marked = parsed.filter("text IS NOT NULL").join(found.select("page", "n_covered"), "page", "left").select(
-        "c0", "c1", "text", "n_covered")
-    rest = parsed.filter("text IS NULL").join(found, "page", "left").mapInArrow(
-        _clean(["c0", "c1"]), f"c0 {types['c0']}, c1 {types['c1']}, text string, n_covered long")
-    return marked.unionByName(rest).select(
+    parsed = staged(parsed.withColumn("page", F.xxhash64("host", "packed", "regions")), "pages")
+    found = staged(boilerplate(parsed, least, bucket_tokens, whole_tokens), "covered")
+    return parsed.select("c0", "c1", "page", "packed", "n_bytes", "regions").join(found, "page", "left").mapInArrow(
+        _clean(["c0", "c1"]), f"c0 {types['c0']}, c1 {types['c1']}, text string, n_covered long").select(
         F.col("c0").alias("page_id"), F.col("c1").alias("url"), "text", F.coalesce("n_covered", F.lit(0)).alias("boilerplate_tokens"))

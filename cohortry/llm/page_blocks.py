@@ -74,11 +74,11 @@ def _role(tag: str, attributes: str) -> int | None:
 
 class _Page:
     def __init__(self) -> None:
-        self.blocks: list[tuple[int, str]] = []
+        self.blocks: list[tuple[int, int, str]] = []
         self.held: list[str] = []
-        self.open: list[tuple[str, int]] = []
+        self.open: list[tuple[str, int, int]] = []
         self.count: dict[str, int] = {}
-        self.part = PLAIN
+        self.part, self.region, self.regions = PLAIN, 0, 0
 
     def flush(self) -> None:
         if self.held:
@@ -87,17 +87,22 @@ class _Page:
             if self.part != HIDDEN:
                 text = " ".join((unescape(text) if "&" in text else text).split())
                 if text:
-                    self.blocks.append((self.part, text))
+                    self.blocks.append((self.part, self.region, text))
 
     def push(self, tag: str, part: int) -> None:
-        self.open.append((tag, part))
+        if part != self.part:  # an element within one of its part belongs to that one's region
+            self.region = next((r for _, p, r in reversed(self.open) if p == part), 0) if part > PLAIN else 0
+            if part > PLAIN and not self.region:
+                self.regions += 1
+                self.region = self.regions
+        self.open.append((tag, part, self.region))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.part = part
 
     def pop_to(self, length: int) -> None:
         while len(self.open) > length:
             self.count[self.open.pop()[0]] -= 1
-        self.part = self.open[-1][1] if self.open else PLAIN
+        self.part, self.region = self.open[-1][1:] if self.open else (PLAIN, 0)
 
     def close(self, tag: str) -> None:
         if self.count.get(tag):
@@ -113,15 +118,15 @@ class _Page:
             return HIDDEN
         if now == APART:
             # A form around the whole page does not set its article apart; a heading in an article's header is the article's.
-            around = {t for t, p in self.open if p == APART}
+            around = {t for t, p, _ in self.open if p == APART}
             if role in (ARTICLE, MAIN) and around == {"form"}:
                 return role
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1][0] == "header":
-                return max((p for _, p in self.open), default=APART) if any(p > PLAIN for _, p in self.open) else APART
+                return max((p for _, p, _ in self.open), default=APART) if any(p > PLAIN for _, p, _ in self.open) else APART
             return APART
         if role is None:
             return now
-        if role == ARTICLE and any(t == "article" and p == ARTICLE for t, p in self.open):
+        if role == ARTICLE and any(t == "article" and p == ARTICLE for t, p, _ in self.open):
             return APART  # an article within an article is a comment on it
         return role if role == APART else max(now, role)
 
@@ -141,9 +146,10 @@ class _Page:
             self.push(tag, part)
 
 
-def page_blocks(html: str) -> list[tuple[int, str]]:
-    """``(part, text)`` of the page's blocks in order, white space in single blanks, hidden ones left out.
+def page_blocks(html: str) -> list[tuple[int, int, str]]:
+    """``(part, region, text)`` of the page's blocks in order, white space in single blanks, hidden ones left out.
 
+    Regions are the marked elements, numbered from 1; blocks outside have 0.
     Elements that are not closed, closed twice or cut off at the end are read as a browser
     does, as far as it matters here.
     """

@@ -134,3 +134,43 @@ def test_whole_table(spark):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
     assert QUERIES["op13_main_text"](spark, "/root/testdata/sf0.01").filter(F.col("boilerplate_tokens") > 0).count() > 0
+
+
+@pytest.mark.parametrize("bucket,whole", [(1 << 20, 1 << 20), (400, 1 << 20), (400, 400)])
+def test_articles_pass_the_suffix_array(spark, bucket, whole):
+    """Marked articles are in the streams too: one that several pages repeat goes where a page has another of its own."""
+    teaser = [f"t{i}" for i in range(14)]
+    licence = [f"l{i}" for i in range(10)]
+    rows, streams, wants = [], [], []
+    for i in range(12):
+        own = [f"{i}x{j}" for j in range(90)]
+        blocks = [[f"n{j}" for j in range(9)], teaser, own, licence] if i < 9 else [[f"n{j}" for j in range(9)], own, licence]
+        cards = f"<article class=card><p>{' '.join(teaser)}</p></article>" if i < 9 else ""
+        rows.append((i, f"http://h/{i}", f"<nav>{' '.join(blocks[0])}</nav>{cards}<article><p>{' '.join(own)}</p><p>{' '.join(licence)}</p></article>"))
+        streams.append((sum(blocks, []), sum(map(len, blocks))))
+        wants.append(" ".join(own) + "\n" + " ".join(licence))
+    for i in range(12, 15):  # an article that all its pages share stays
+        rows.append((i, f"http://g/{i}", f"<article>{' '.join(teaser)}</article><div class=comments>" + " ".join(f"{i}c{j}" for j in range(90)) + "</div>"))
+        wants.append(" ".join(teaser))
+    got = {r.page_id: r for r in X.main_text(spark.createDataFrame(rows, SCHEMA), bucket_tokens=bucket, whole_tokens=whole).collect()}
+    assert [got[i].text for i in range(15)] == wants
+    assert [got[i].boilerplate_tokens for i in range(15)] == [sum(m) for m in brute_covered(streams, 3)] + [14] * 3
+    assert got[0].boilerplate_tokens == 9 + 14 + 10
+
+
+@pytest.mark.parametrize("bucket,whole", [(150, 300), (150, 0), (60, 0)])
+def test_large_hosts_match_counted_runs(spark, bucket, whole):
+    """Runs of a host in many buckets are counted over all of them, at the least number of pages too."""
+    draw = random.Random(bucket + whole)
+    shared = [[f"s{k}_{j}" for j in range(draw.randint(8, 12))] for k in range(30)]
+    streams = []
+    for i in range(50):
+        tokens = []
+        for run in draw.sample(shared, 3):
+            tokens += run + [f"{i}u{draw.random()}" for _ in range(draw.choice([10, 30]))]
+        streams.append((tokens, len(tokens)))
+    pages = spark.createDataFrame([(i, "http://h/", " ".join(t)) for i, (t, _) in enumerate(streams)] * 2, SCHEMA).repartition(3)
+    got = X.main_text(pages, bucket_tokens=bucket, whole_tokens=whole).collect()
+    marks = brute_covered(streams, 3)
+    assert len(got) == 100 and sum(map(sum, marks)) > 500
+    assert all(r.boilerplate_tokens == sum(marks[r.page_id]) for r in got)
