@@ -8,10 +8,11 @@ elements in which something unique is left are taken whole and what stands outsi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import hashing as H
@@ -21,14 +22,16 @@ from cohortry.llm.staging import staged
 RUN = 8
 _BUCKET_TOKENS = 1 << 20
 _WHOLE_TOKENS = 2 << 20
-_PARSED = "host string, packed binary, n_bytes long, regions array<int>, n_tokens long"
-_STREAM = "bucket long, host_hash long, page long, decides boolean, packed binary, n_bytes long"
+# About as many bytes of html make a token, never fewer than two.
+_HTML_BYTES = 8
+_WINDOW_BYTES = 16 << 20
+_STREAM = "bucket long, host_hash long, page long, packed binary, n_bytes long, regions array<int>"
 _ODD = H.mixed(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 # --- pages ----------------------------------------------------------------------
 def _lines(packed: bytes, n_bytes: int) -> bytes:
-    """A page's blocks as lines; packed they take less space in files and shuffles than their tokens."""
+    """A page's blocks as lines; packed they take less space in shuffles than their tokens."""
     return pa.decompress(packed, n_bytes, "zstd", asbytes=True) if n_bytes else b""
 
 
@@ -42,45 +45,72 @@ def _read(html: str) -> tuple[str, list[str], list[int]]:
     best = max((part for part, _, _ in found), default=PLAIN)
     blocks = [text for _, _, text in found]
     regions = [region if part == max(best, PLAIN) else -1 for part, region, _ in found]
-    return _main(blocks, regions, None), blocks, regions
+    return _main(blocks, regions, np.zeros(0, bool)), blocks, regions
+
+
+class _Window:
+    """Distinct pages of some rows, each once with the ids of all its rows."""
+
+    def __init__(self) -> None:
+        self.number: dict[int, int] = {}
+        self.pages: list[tuple] = []
+        self.of: list[int] = []
+        self.ids: list[pa.StructArray] = []
+        self.n_bytes = 0
+
+    def add(self, ids: pa.StructArray, pages: Iterator[tuple[int, int, int, bytes, list[int]]]) -> None:
+        for bucket, host, page, lines, regions in pages:
+            if page not in self.number:
+                self.number[page] = len(self.pages)
+                packed = pa.compress(lines, "zstd", asbytes=True) if lines else b""
+                self.pages.append((bucket, host, page, packed, len(lines), regions))
+                self.n_bytes += len(packed)
+            self.of.append(self.number[page])
+        self.ids.append(ids)
+        self.n_bytes += ids.nbytes
+
+    def rows(self) -> pa.RecordBatch:
+        of = np.array(self.of, np.int64)
+        ids = pa.concat_arrays(self.ids).take(pa.array(np.argsort(of, kind="stable")))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of))].astype(np.int32)), ids)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32())]
+        return pa.record_batch([*[pa.array(x, t) for x, t in zip(zip(*self.pages), types)], lists],
+                               names=[*[x.split()[0] for x in _STREAM.split(", ")], "ids"])
+
+
+def _parse(buckets: int):
+    """Pages as streams with their buckets; copies that come close to each other once, with all their ids."""
+    def read(piece: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, list[int]]]:
+        for host, bucket, text in zip(*[piece.column(c).to_pylist() for c in ("host_hash", "bucket", "html_")]):
+            _, blocks, regions = _read(text or "")
+            lines = "\n".join(blocks).encode()
+            name = blake2b(np.array([host, len(regions), *regions], np.int64).tobytes() + lines, digest_size=8).digest()
+            page = int.from_bytes(name, "little", signed=True)
+            yield page % buckets if bucket is None else bucket, host, page, lines, regions
 
-
-def _parse(carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = _Window()
         for batch in batches:
             for piece in H.slices(batch, "html_"):
-                _, blocks, regions = zip(*[_read(x or "") for x in piece.column("html_").to_pylist()])
-                lines = ["\n".join(page).encode() for page in blocks]
-                yield pa.record_batch([
-                    *[piece.column(c) for c in carried], piece.column("host"),
-                    pa.array([pa.compress(x, "zstd", asbytes=True) if x else b"" for x in lines], pa.binary()),
-                    pa.array([len(x) for x in lines], pa.int64()), pa.array(regions, pa.list_(pa.int32())),
-                    pa.array([sum(x.count(" ") + 1 for x in page) for page in blocks], pa.int64())],
-                    names=[*carried, *[x.split()[0] for x in _PARSED.split(", ")]])
+                window.add(pa.StructArray.from_arrays([piece.column(c) for c in ("c0", "c1")], ["c0", "c1"]), read(piece))
+                if window.n_bytes > _WINDOW_BYTES:
+                    yield window.rows()
+                    window = _Window()
+        if window.pages:
+            yield window.rows()
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a task, copies of one once."""
-    seen: set[int] = set()
-    for batch in batches:
-        keep = []
-        for i, page in enumerate(batch.column("page").to_pylist()):
-            if page not in seen:
-                seen.add(page)
-                keep.append(i)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 # --- suffixes -------------------------------------------------------------------
 class _Streams:
     """The concatenated streams of a bucket; tokens of different hosts are different."""
 
     def __init__(self, rows: pa.Table):
-        # Copies of a page in several tasks count once.
-        rows = rows.take(pa.array(np.unique(rows.column("page").to_numpy(), return_index=True)[1]))
-        self.pages, self.decides = rows.column("page").combine_chunks(), rows.column("decides").to_pylist()
-        lines = [_lines(*x) for x in zip(rows.column("packed").to_pylist(), rows.column("n_bytes").to_pylist())]
+        # Copies of a page in several rows count once.
+        _, once, self.of = np.unique(rows.column("page").to_numpy(), return_index=True, return_inverse=True)
+        rows = rows.select(["host_hash", "packed", "n_bytes", "regions"]).take(pa.array(once))
+        self.regions = rows.column("regions")
+        self.lines = lines = [_lines(*x) for x in zip(rows.column("packed").to_pylist(), rows.column("n_bytes").to_pylist())]
         tokens, first, _ = H.word_hashes(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)]))
         self.first, self.size = first[:-1], np.diff(first)
         self.owner = np.repeat(np.arange(len(lines), dtype=np.int32), self.size)
@@ -122,7 +152,6 @@ class _Streams:
 _COUNTED = pa.schema([("bucket", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 _SHORT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("packed", pa.binary())])
 _OFTEN = pa.schema([("bucket", pa.int64()), ("short", pa.int64())])
-_COVERED = pa.schema([("page", pa.int64()), ("n_covered", pa.int64()), ("covered", pa.binary())])
 
 
 def _intervals(streams: _Streams) -> tuple[np.ndarray, np.ndarray]:
@@ -144,34 +173,49 @@ def _pages_of(streams: _Streams, at: np.ndarray, names: np.ndarray) -> tuple[np.
 
 
 def _in_own(streams: _Streams, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs again, counted only in pages that are not mostly made of such runs."""
+    """The runs again, counted only in pages that are not mostly made of such runs (none: 0)."""
+    grams = np.unique(grams)
     own = 2 * streams.totals(streams.covered(grams)) <= streams.size
     at = np.flatnonzero(streams.whole & own[streams.owner])
     names = streams.grams(at)
     hit = np.isin(names, grams)
-    return _pages_of(streams, at[hit], names[hit])
+    found, n = _pages_of(streams, at[hit], names[hit])
+    out = np.zeros(len(grams), np.int64)
+    out[np.searchsorted(grams, found)] = n
+    return grams, out
 
 
 def _counted(bucket: pa.Scalar, grams: np.ndarray, n: np.ndarray) -> pa.Table:
     return pa.table([pa.array(np.full(len(grams), bucket.as_py())), pa.array(grams), pa.array(n.astype(np.int64))], schema=_COUNTED)
 
 
-def _marked(streams: _Streams, grams: np.ndarray) -> pa.Table:
+def _cleaned(streams: _Streams, grams: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
+    """The text of each row's page without the runs ``grams``, and how many of its tokens they cover."""
     marks = streams.covered(grams)
-    n = streams.totals(marks)
-    hit = np.flatnonzero(n)
-    bits = [np.packbits(marks[a:a + s]).tobytes() if streams.decides[i] else None
-            for i, a, s in zip(hit.tolist(), streams.first[hit].tolist(), streams.size[hit].tolist())]
-    return pa.table([streams.pages.take(pa.array(hit)), pa.array(n[hit].astype(np.int64)), pa.array(bits, pa.binary())], schema=_COVERED)
+    texts = [_main(lines.decode().split("\n") if lines else [], regions, marks[a:a + n]) for lines, regions, a, n
+             in zip(streams.lines, streams.regions.to_pylist(), streams.first.tolist(), streams.size.tolist())]
+    return pa.table([ids, pa.array(texts, pa.string()).take(pa.array(streams.of)), pa.array(streams.totals(marks)[streams.of])],
+                    names=["ids", "text", "n_covered"])
 
 
-def _cover_hosts(least: int):
-    """A bucket of whole hosts from its suffix array to its boilerplate."""
+def _whole_hosts(least: int):
+    """A bucket of whole hosts from its suffix array to its texts."""
     def run(rows: pa.Table) -> pa.Table:
         streams = _Streams(rows)
         grams, n = _intervals(streams)
         grams, n = _in_own(streams, grams[n >= least])
-        return _marked(streams, grams[n >= least])
+        return _cleaned(streams, grams[n >= least], rows.column("ids"))
+    return run
+
+
+def _all_hosts(least: int):
+    """Texts of a bucket of whole hosts, and of a part of large ones by the runs found in all their buckets."""
+    whole = _whole_hosts(least)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return whole(rows)
+        return _cleaned(_Streams(rows), grams.column("gram").to_numpy(), rows.column("ids"))
     return run
 
 
@@ -191,6 +235,8 @@ def _unpacked(first: int, width: int, packed: bytes) -> np.ndarray:
 def _short_names(least: int, shift: int, parts: int):
     """The first bits of all runs of a bucket, each as often as pages hold it (up to ``least``), by ranges."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _SHORT.empty_table()
         grams, n = _intervals(_Streams(rows))
         short = np.sort(np.repeat(grams.view(np.uint64) >> np.uint64(shift), np.minimum(n, least)))
         part = short // np.uint64((1 << 64 - shift) // parts + 1)
@@ -231,67 +277,59 @@ def _count_in_own(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -
     return _counted(key[0], *_in_own(_Streams(rows), grams.column("gram").to_numpy()))
 
 
-def _cover_part(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
-    if not rows.num_rows or not grams.num_rows:
-        return _COVERED.empty_table()
-    return _marked(_Streams(rows), grams.column("gram").to_numpy())
-
-
 def _schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
 def _enough(counted: DataFrame, least: int) -> DataFrame:
-    """Runs that stand in ``least`` pages or more, over all buckets."""
-    return counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram")
+    """Each bucket's runs that stand in ``least`` pages or more, over all buckets."""
+    total = F.sum("n").over(Window.partitionBy("gram"))
+    return counted.withColumn("total", total).filter(F.col("total") >= least).select("bucket", "gram")
 
 
-def boilerplate(pages: DataFrame, least: int = 3, bucket_tokens: int = _BUCKET_TOKENS, whole_tokens: int = _WHOLE_TOKENS) -> DataFrame:
-    """``(page, n_covered, covered)`` of pages with boilerplate; ``covered`` has a bit per token of the stream where that decides on blocks.
+def _without_boilerplate(pages: DataFrame, least: int, bucket_tokens: int, whole_tokens: int) -> DataFrame:
+    """``(ids, text, n_covered)``: the rows of a page (several rows may have the same one), its text, its covered tokens.
 
-    ``pages``: ``(host, page, packed, n_bytes, regions, n_tokens)``. A run is boilerplate where
+    ``pages``: ``(c0, c1, host, html_)``. A run is boilerplate where
     ``least`` pages of the host with different content hold it that are not themselves mostly made of repeated
     runs, so copies of one page do not turn its text into boilerplate. Hosts are dealt to buckets whole, one with
     more than a quarter of a bucket has its own; one with more than ``whole_tokens`` is dealt page by page, and its
-    runs are counted over all its buckets.
+    runs are counted over all its buckets. Tokens are guessed by the length of the html here, which moves no result.
     """
-    pages = pages.filter(F.col("n_tokens") >= RUN)
-    sizes = pages.groupBy("host", "page").agg(F.max("n_tokens").alias("n")).groupBy("host").agg(F.sum("n").alias("n"))
+    sizes = pages.groupBy("host").agg(F.expr(f"coalesce(sum(octet_length(html_)), 0) div {_HTML_BYTES}").alias("n"))
     sizes = staged(sizes, "hosts")
     total, longest = sizes.agg(F.sum("n"), F.max("n")).first()
     buckets = max(1, -(-(total or 0) // bucket_tokens))
     large = sizes.filter(F.col("n") * 4 > bucket_tokens).select("host", (F.col("n") > whole_tokens).alias("spread"))  # at most four per bucket
-    number = F.pmod(F.xxhash64("host", F.when(F.col("spread"), F.col("page"))), F.lit(buckets))
-    # A single marked element is the article, whatever other pages repeat of it.
-    decides = F.expr("exists(regions, r -> r = 0) OR size(array_distinct(filter(regions, r -> r > 0))) > 1")
-    dealt = pages.join(F.broadcast(large), "host", "left").select(
-        F.when(~F.col("spread"), -1 - F.pmod(F.xxhash64("host"), F.lit(1 << 62))).otherwise(number).alias("bucket"),
-        F.xxhash64("host").alias("host_hash"), "page", decides.alias("decides"), "packed", "n_bytes",
-        F.coalesce("spread", F.lit(False)).alias("spread"))
-    streams = {x: dealt.filter(F.col("spread") == x).drop("spread").mapInArrow(_once, _STREAM) for x in (False, True)}
-    whole = streams[False].groupBy("bucket").applyInArrow(_cover_hosts(least), _schema(_COVERED))
+    # Buckets of whole hosts are negative; those of spread hosts, from 0, go by the page.
+    name = F.xxhash64("host")
+    bucket = F.when(F.col("spread").isNull(), -1 - F.pmod(name, F.lit(buckets))).when(
+        ~F.col("spread"), -1 - buckets - F.pmod(name, F.lit(1 << 62)))
+    types = dict(pages.dtypes)
+    ids = f"ids array<struct<c0:{types['c0']},c1:{types['c1']}>>"
+    # One plan, so that the pages are written once: all steps below read the same shuffle.
+    by = pages.join(F.broadcast(large), "host", "left").select("c0", "c1", name.alias("host_hash"), bucket.alias("bucket"), "html_").mapInArrow(
+        _parse(buckets), f"{_STREAM}, {ids}").groupBy("bucket")
+    cleaned = f"{ids}, text string, n_covered long"
     if (longest or 0) <= whole_tokens:
-        return whole
-    by = streams[True].groupBy("bucket")
+        return by.applyInArrow(_whole_hosts(least), cleaned)
     # First bits tell which runs may be in enough pages of all buckets, whole names which are; twice the buckets take a bit more.
     shift = 64 - min(64, 30 + buckets.bit_length())
     short = by.applyInArrow(_short_names(least, shift, buckets), _schema(_SHORT))
-    often = staged(short.groupBy("part").applyInArrow(_often(least), _schema(_OFTEN)), "often")
-    counted = staged(by.cogroup(often.groupBy("bucket")).applyInArrow(_count_part(shift), _schema(_COUNTED)), "runs")
-    repeated = staged(counted.join(_enough(counted, least), "gram").select("bucket", "gram"), "repeated")
+    often = short.groupBy("part").applyInArrow(_often(least), _schema(_OFTEN))
+    counted = by.cogroup(often.groupBy("bucket")).applyInArrow(_count_part(shift), _schema(_COUNTED))
+    repeated = _enough(counted, least)
     own = by.cogroup(repeated.groupBy("bucket")).applyInArrow(_count_in_own, _schema(_COUNTED))
-    found = repeated.join(_enough(own, least), "gram")
-    return whole.unionByName(by.cogroup(found.groupBy("bucket")).applyInArrow(_cover_part, _schema(_COVERED)))
+    return by.cogroup(_enough(own, least).groupBy("bucket")).applyInArrow(_all_hosts(least), cleaned)
 
 
 # --- the whole ------------------------------------------------------------------
-def _main(blocks: list[str], regions: list[int], bits: bytes | None) -> str:
+def _main(blocks: list[str], regions: list[int], marks: np.ndarray) -> str:
     """The blocks that the boilerplate leaves, checked against the page's marks.
 
     A marked element in which a unique block is left is taken whole, so a passage that other pages repeat stays in it;
     one that is repeated throughout goes where another is left. Unique blocks outside the marked ones go.
     """
-    marks = np.unpackbits(np.frombuffer(bits or b"", np.uint8))
     at, unique = 0, []
     for text in blocks:
         n = text.count(" ") + 1
@@ -301,17 +339,6 @@ def _main(blocks: list[str], regions: list[int], bits: bytes | None) -> str:
     return "\n".join(text for text, r, u in zip(blocks, regions, unique) if r > 0 and r in left or r == 0 and u)
 
 
-def _clean(carried: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                texts = [_main(_lines(packed, n).decode().split("\n") if n else [], regions, bits) for packed, n, regions, bits
-                         in zip(*[piece.column(c).to_pylist() for c in ("packed", "n_bytes", "regions", "covered")])]
-                yield pa.record_batch([*[piece.column(c) for c in carried], pa.array(texts, pa.string()), piece.column("n_covered")],
-                                      names=[*carried, "text", "n_covered"])
-    return run
-
-
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 3,
               bucket_tokens: int = _BUCKET_TOKENS, whole_tokens: int = _WHOLE_TOKENS) -> DataFrame:
     """``(page_id, url, text, boilerplate_tokens)`` of every row; blocks of the text are joined by line breaks.
@@ -324,10 +351,6 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("c0"), F.col(url).alias("c1"), host.alias("host"), F.col(html).cast("string").alias("html_"))
-    types = dict(rows.dtypes)
-    parsed = rows.mapInArrow(_parse(["c0", "c1"]), f"c0 {types['c0']}, c1 {types['c1']}, {_PARSED}")
-    parsed = staged(parsed.withColumn("page", F.xxhash64("host", "packed", "regions")), "pages")
-    found = staged(boilerplate(parsed, least, bucket_tokens, whole_tokens), "covered")
-    return parsed.select("c0", "c1", "page", "packed", "n_bytes", "regions").join(found, "page", "left").mapInArrow(
-        _clean(["c0", "c1"]), f"c0 {types['c0']}, c1 {types['c1']}, text string, n_covered long").select(
-        F.col("c0").alias("page_id"), F.col("c1").alias("url"), "text", F.coalesce("n_covered", F.lit(0)).alias("boilerplate_tokens"))
+    found = _without_boilerplate(rows, least, bucket_tokens, whole_tokens)
+    return found.select(F.explode("ids").alias("id"), "text", "n_covered").select(
+        F.col("id.c0").alias("page_id"), F.col("id.c1").alias("url"), "text", F.col("n_covered").alias("boilerplate_tokens"))
