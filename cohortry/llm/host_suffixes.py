@@ -12,7 +12,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from cohortry.llm import hashing as H
@@ -149,9 +149,8 @@ class _Streams:
         return np.bincount(self.owner[marks], minlength=len(self.size))
 
 
-_COUNTED = pa.schema([("bucket", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
-_SHORT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("packed", pa.binary())])
-_OFTEN = pa.schema([("bucket", pa.int64()), ("short", pa.int64())])
+_NAMES = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("width", pa.int64()), ("size", pa.int64()),
+                    ("packed", pa.binary()), ("counts", pa.binary())])
 
 
 def _intervals(streams: _Streams) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +184,6 @@ def _in_own(streams: _Streams, grams: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams, out
 
 
-def _counted(bucket: pa.Scalar, grams: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(np.full(len(grams), bucket.as_py())), pa.array(grams), pa.array(n.astype(np.int64))], schema=_COUNTED)
-
-
 def _cleaned(streams: _Streams, grams: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
     """The text of each row's page without the runs ``grams``, and how many of its tokens they cover."""
     marks = streams.covered(grams)
@@ -215,78 +210,105 @@ def _all_hosts(least: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return whole(rows)
-        return _cleaned(_Streams(rows), grams.column("gram").to_numpy(), rows.column("ids"))
+        return _cleaned(_Streams(rows), _names(grams).view(np.int64), rows.column("ids"))
     return run
 
 
-def _packed(values: np.ndarray) -> tuple[int, bytes]:
-    """Sorted values as the bytes of their gaps, all lowest bytes first."""
-    gaps = np.diff(values, prepend=values[:1])
+def _bytes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of the values, all lowest ones first."""
+    return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), "zstd", asbytes=True)
+
+
+def _values(size: int, width: int, packed: bytes) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(packed, size * width, "zstd"), np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def _packed(part: int, bucket: int, names: np.ndarray, n: np.ndarray | None) -> tuple:
+    """Sorted names by their gaps, and how often each is there."""
+    gaps = np.diff(names, prepend=names[:1])
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return width, gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    first = int(names[:1].view(np.int64)[0])
+    return part, bucket, first, width, len(names), _bytes(gaps, width), b"" if n is None else _bytes(n, 4)
+
+
+def _unpacked(first: int, width: int, size: int, packed: bytes) -> np.ndarray:
+    return np.cumsum(_values(size, width, packed), dtype=np.uint64) + np.array(first, np.int64).view(np.uint64)
+
+
+def _lists(rows: pa.Table) -> list[np.ndarray]:
+    return [_unpacked(*x) for x in zip(*[rows.column(c).to_pylist() for c in ("first", "width", "size", "packed")])]
+
+
+def _names(rows: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *_lists(rows)])
+
 
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(_NAMES)], schema=_NAMES)
 
-def _unpacked(first: int, width: int, packed: bytes) -> np.ndarray:
-    gaps = np.zeros((len(packed) // width, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
 
+def _by_ranges(key: tuple[pa.Scalar, ...], names: np.ndarray, n: np.ndarray, least: int, bits: int, parts: int) -> pa.Table:
+    """A bucket's names of ``bits`` bits, by ranges, each with the number of pages that hold it (up to ``least``)."""
+    order = np.argsort(names)
+    names, n = names[order], n[order]
+    at = np.flatnonzero(np.r_[True, names[1:] != names[:-1]][:len(names)])
+    names, n = names[at], np.minimum(np.add.reduceat(n, at) if len(at) else n, least)
+    part = (names >> np.uint64(max(0, bits - 32))) * np.uint64(parts) >> np.uint64(min(bits, 32))
+    edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
+    return _table([_packed(i, key[0].as_py(), names[a:b], n[a:b]) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a])
 
-def _short_names(least: int, shift: int, parts: int):
-    """The first bits of all runs of a bucket, each as often as pages hold it (up to ``least``), by ranges."""
+
+def _frequent(least: int):
+    """Names of a range that ``least`` pages or more of all buckets hold, for each bucket that has them."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return _SHORT.empty_table()
-        grams, n = _intervals(_Streams(rows))
-        short = np.sort(np.repeat(grams.view(np.uint64) >> np.uint64(shift), np.minimum(n, least)))
-        part = short // np.uint64((1 << 64 - shift) // parts + 1)
-        edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        out = [(i, key[0].as_py(), int(short[a]), *_packed(short[a:b])) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
-        return pa.table([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_SHORT)], schema=_SHORT)
+        lists = _lists(rows)
+        n = [_values(size, 4, x) for size, x in zip(rows.column("size").to_pylist(), rows.column("counts").to_pylist())]
+        names, at = np.unique(np.concatenate(lists), return_inverse=True)
+        kept = np.bincount(at, np.concatenate(n))[at] >= least
+        found = [x[k] for x, k in zip(lists, np.split(kept, np.cumsum([len(x) for x in lists])[:-1]))]
+        return _table([_packed(key[0].as_py(), b, x, None) for b, x in zip(rows.column("bucket").to_pylist(), found) if len(x)])
     return run
 
 
-def _often(least: int):
-    """Those of a range that ``least`` pages or more may hold, for each bucket that has them."""
-    def run(rows: pa.Table) -> pa.Table:
-        values = [_unpacked(*x) for x in zip(*[rows.column(c).to_pylist() for c in ("first", "width", "packed")])]
-        value, n = np.unique(np.concatenate(values), return_counts=True)
-        value = value[n >= least]
-        found = [np.unique(x[np.isin(x, value[slice(*np.searchsorted(value, [x[0], x[-1] + np.uint64(1)]))])]) for x in values]
-        bucket = np.repeat(rows.column("bucket").to_numpy(), [len(x) for x in found])
-        return pa.table([pa.array(bucket), pa.array(np.concatenate(found).view(np.int64))], schema=_OFTEN)
+def _short_names(least: int, bits: int, parts: int):
+    """The first bits of all runs of a bucket."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return _NAMES.empty_table()
+        grams, n = _intervals(_Streams(rows))
+        return _by_ranges(key, grams.view(np.uint64) >> np.uint64(64 - bits), n, least, bits, parts)
     return run
 
 
-def _count_part(shift: int):
-    """The whole names of these runs, and in how many pages of the bucket each stands."""
+def _count_part(least: int, bits: int, parts: int):
+    """The whole names of the runs with these first bits, and in how many pages of the bucket each stands."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, often: pa.Table) -> pa.Table:
         if not rows.num_rows or not often.num_rows:
-            return _COUNTED.empty_table()
+            return _NAMES.empty_table()
         streams = _Streams(rows)
         at = np.flatnonzero(streams.whole)
         names = streams.grams(at)
-        hit = np.isin(names.view(np.uint64) >> np.uint64(shift), often.column("short").to_numpy().view(np.uint64))
-        return _counted(key[0], *_pages_of(streams, at[hit], names[hit]))
+        hit = np.isin(names.view(np.uint64) >> np.uint64(64 - bits), _names(often))
+        names, n = _pages_of(streams, at[hit], names[hit])
+        return _by_ranges(key, names.view(np.uint64), n, least, 64, parts)
     return run
 
 
-def _count_in_own(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
-    if not rows.num_rows or not grams.num_rows:
-        return _COUNTED.empty_table()
-    return _counted(key[0], *_in_own(_Streams(rows), grams.column("gram").to_numpy()))
+def _count_in_own(least: int, parts: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, grams: pa.Table) -> pa.Table:
+        if not rows.num_rows or not grams.num_rows:
+            return _NAMES.empty_table()
+        names, n = _in_own(_Streams(rows), _names(grams).view(np.int64))
+        return _by_ranges(key, names.view(np.uint64), n, least, 64, parts)
+    return run
 
 
 def _schema(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
-def _enough(counted: DataFrame, least: int) -> DataFrame:
-    """Each bucket's runs that stand in ``least`` pages or more, over all buckets."""
-    total = F.sum("n").over(Window.partitionBy("gram"))
-    return counted.withColumn("total", total).filter(F.col("total") >= least).select("bucket", "gram")
-
-
 def _without_boilerplate(pages: DataFrame, least: int, bucket_tokens: int, whole_tokens: int) -> DataFrame:
     """``(ids, text, n_covered)``: the rows of a page (several rows may have the same one), its text, its covered tokens.
 
@@ -314,13 +336,16 @@ def _without_boilerplate(pages: DataFrame, least: int, bucket_tokens: int, whole
     if (longest or 0) <= whole_tokens:
         return by.applyInArrow(_whole_hosts(least), cleaned)
     # First bits tell which runs may be in enough pages of all buckets, whole names which are; twice the buckets take a bit more.
-    shift = 64 - min(64, 30 + buckets.bit_length())
-    short = by.applyInArrow(_short_names(least, shift, buckets), _schema(_SHORT))
-    often = short.groupBy("part").applyInArrow(_often(least), _schema(_OFTEN))
-    counted = by.cogroup(often.groupBy("bucket")).applyInArrow(_count_part(shift), _schema(_COUNTED))
-    repeated = _enough(counted, least)
-    own = by.cogroup(repeated.groupBy("bucket")).applyInArrow(_count_in_own, _schema(_COUNTED))
-    return by.cogroup(_enough(own, least).groupBy("bucket")).applyInArrow(_all_hosts(least), cleaned)
+    bits = min(64, 24 + buckets.bit_length())
+    names, few = _schema(_NAMES), -(-buckets // 4)
+
+    def frequent(counted: DataFrame) -> GroupedData:
+        return counted.groupBy("part").applyInArrow(_frequent(least), names).groupBy("bucket")
+
+    often = frequent(by.applyInArrow(_short_names(least, bits, buckets), names))
+    repeated = frequent(by.cogroup(often).applyInArrow(_count_part(least, bits, few), names))
+    own = frequent(by.cogroup(repeated).applyInArrow(_count_in_own(least, few), names))
+    return by.cogroup(own).applyInArrow(_all_hosts(least), cleaned)
 
 
 # --- the whole ------------------------------------------------------------------
