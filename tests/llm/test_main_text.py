@@ -8,7 +8,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,22 @@ def test_copies_travel_once_with_all_ids():
     back = [(i["c0"], i["c1"], r["host_hash"], "<p>" + X._lines(r["packed"], r["n_bytes"]).decode() + "</p>") for r in out for i in r["ids"]]
     assert sorted(back) == rows
     assert all(r["bucket"] == (r["page"] % 5 if r["host_hash"] else -7) for r in out)
+
+
+@pytest.mark.parametrize("bits,parts", [(64, 1), (64, 7), (26, 5), (40, 3000)])
+def test_names_by_ranges_match_counts(bits, parts):
+    """Names of several buckets, the largest and smallest too, are counted over all and go back to those that have them."""
+    draw = np.random.default_rng(bits + parts)
+    values = np.r_[draw.integers(0, 2**64, 60, np.uint64), np.array([0, 2**64 - 1], np.uint64)] >> np.uint64(64 - bits)
+    held = {b: (x := draw.choice(values, 50), draw.integers(0, 4, len(x))) for b in range(4)}
+    total = defaultdict(int)
+    for names, n in held.values():
+        for v in np.unique(names):
+            total[v] += min(3, int(n[names == v].sum()))
+    sent = pa.concat_tables([X._by_ranges((pa.scalar(b),), names, n, 3, bits, parts) for b, (names, n) in held.items()])
+    assert 0 <= min(sent["part"].to_pylist()) and max(sent["part"].to_pylist()) < parts
+    found = pa.concat_tables([X._frequent(3)((pa.scalar(p),), sent.filter(pa.compute.equal(sent["part"], p))) for p in sorted(set(sent["part"].to_pylist()))])
+    for b, (names, _) in held.items():
+        got = X._names(found.filter(pa.compute.equal(found["bucket"], b)))
+        assert sorted(got.tolist()) == sorted({int(v) for v in names if total[v] >= 3})
+    assert {c for c in found["counts"].to_pylist()} == {b""}
