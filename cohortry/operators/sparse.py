@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.config import SEED, FeatureSet
+from cohortry.operators import sparse_blocks as SB
 from cohortry.operators.matrix import scaling_terms
 from cohortry.operators.scalars import one_row
 from cohortry.session import stage_table
@@ -357,8 +358,17 @@ def fit_sparse_kmeans(matrix: SparseMatrix, k: int, n_init: int = 10, seed: int
 
     ``matrix.df`` should be a staged table of at least one row. ``starts`` gives the first centres (``n_init`` times k);
     else k-means++ draws them. A label without rows gets the row that is farthest from its centre.
+
+    Where at most one attribute has very many levels, and centres are drawn, the passes are those of ``sparse_blocks``;
+    else centres are tables that are joined.
     """
     p, q = len(matrix.numeric), k * n_init
+    spans = _spans(matrix.levels, matrix.categorical) if matrix.spans is None else matrix.spans
+    plain, rare = SB.rare_attribute(spans, q)
+    if starts is None and plain:
+        packed = SB.pack(matrix.df.select("features"), p, spans, rare, q, seed)
+        costs, dense, hot = SB.fit(packed, SB.draw_starts(packed, k, n_init), max_iter, tol)
+        return SparseClustering(Centres(dense, hot), float(costs.min()), tuple(map(float, costs)))
     centres = starts or _starts(matrix, k, n_init, seed)
     costs = np.full(n_init, math.inf)
     for _ in range(max_iter):

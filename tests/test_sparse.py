@@ -181,5 +181,86 @@ def test_points_over_many_levels_are_not_sent_to_all_tasks(spark):
     assert first["gaps"] == pytest.approx(list(want))
 
 
+def test_block_passes_are_plain_lloyd(spark, monkeypatch):
+    """Rows of rare levels, of one that many rows share, and of none, against plain steps over the wide matrix."""
+    from cohortry.operators import sparse_blocks as SB
+
+    n, k, models = 12_000, 3, 2
+    df = stage_table(spark.range(n).select(
+        F.col("id").cast("int").alias("client_id"), (F.hash("id") / 1e9 + F.col("id") % 3 * 3).alias("x"),
+        F.concat(F.lit("g"), F.col("id") % 4).alias("g"),
+        F.when(F.col("id") % 2 == 0, F.lit("shared")).when(F.col("id") % 9 > 0, F.concat(F.lit("level "), F.hash("id", F.lit(1)) % 150)).alias("c")), "rows")
+    matrix = SP.sparse_matrix(df, FeatureSet("t", ("x",), ("g", "c")))
+    x, _ = wide(matrix)
+    monkeypatch.setattr(SB, "COMMON_BYTES", 8 * k * models * 20)
+    plain, rare = SB.rare_attribute(matrix.spans, k * models)
+    assert plain and rare == 1 and matrix.spans[1][1] > 100
+    packed = SB.pack(matrix.df.select("features"), 1, matrix.spans, rare, k * models, 1)
+    layout = packed.layout
+    assert len(layout.shared) == 1
+    rows = np.concatenate([np.frombuffer(r["x"], "<f8").reshape(-1, layout.width) for r in packed.df.collect()])
+    assert rows[:, 0].sum() == n and (rows[:, -1] >= 0).sum() > 4000
+
+    def broad(row):
+        out = np.zeros(x.shape[1])
+        out[0] = row[1]
+        levels = [int(i) for i in layout.levels(row[None])[0] if i < layout.common]
+        out[[layout.places()[i] + 1 for i in levels] + ([int(row[-1]) + 1] if row[-1] >= 0 else [])] = 1
+        return out
+
+    picked = rows[[5, 5, 6000, 11, 8000, 9000]]  # of two equal centres the second is left without rows
+    centres = np.array([broad(r) for r in picked]).reshape(models, k, -1)
+    for step in (1, 2, 40):
+        costs, dense, hot = SB.fit(packed, picked.reshape(models, k, -1), step, 1e-9)
+        want = []
+        for c in centres:
+            for _ in range(step):
+                gap = np.stack([((x - a) ** 2).sum(1) for a in c], axis=1)
+                label, cost = gap.argmin(1), gap.min(1).sum()
+                new = np.array([x[label == j].mean(0) if (label == j).any() else x[gap.min(1).argmax()] for j in range(k)])
+                if np.abs(new - c).max() < 1e-12:
+                    break
+                c = new
+            want.append((cost, c))
+        assert costs == pytest.approx([w[0] for w in want], rel=1e-9)
+        best = want[int(np.argmin([w[0] for w in want]))][1]
+        got = np.zeros(best.shape)
+        got[:, 0] = dense[:, 0]
+        for r in hot.collect():
+            got[:, r["place"] + 1] = r["m"]
+        assert got == pytest.approx(best, abs=1e-9)
+
+
+def test_blocks_draw_the_rows_that_joins_draw(people, monkeypatch):
+    from cohortry.operators import sparse_blocks as SB
+
+    matrix = SP.sparse_matrix(people.unionByName(people.filter("client_id < 50")), FS)
+    matrix = SP.SparseMatrix(stage_table(matrix.df, "drawn"), matrix.numeric, matrix.categorical, matrix.levels, matrix.spans)
+    want = SP._starts(matrix, 3, 4, 7)
+    for common in (SB.COMMON_BYTES, 8 * 12 * 8):
+        monkeypatch.setattr(SB, "COMMON_BYTES", common)
+        plain, rare = SB.rare_attribute(matrix.spans, 12)
+        assert plain and (rare is None) == (common > 1000)
+        got = SB.draw_starts(SB.pack(matrix.df.select("features"), 2, matrix.spans, rare, 12, 7), 3, 4)
+        assert got[:, :, 1:3].reshape(12, 2) == pytest.approx(want.dense)
+
+
+def test_a_pass_over_many_levels_moves_no_number_per_level(spark, monkeypatch):
+    """With a level per row and 20 centres, no pass joins or stages a table of centres."""
+    from cohortry.operators import sparse_blocks as SB
+
+    rows = spark.range(30_000).select(
+        F.col("id").alias("client_id"), (F.col("id") % 11).cast("double").alias("x"),
+        *[F.concat(F.lit(z), F.col("id") % 4).alias(z) for z in ("zone", "branch")], F.concat(F.lit("n"), F.col("id")).alias("name"))
+    matrix = SP.sparse_matrix(stage_table(rows, "rows"), FeatureSet("", ("x",), ("zone", "branch", "name")), "minmax")
+    for name in ("with_distances", "_sums", "_starts"):
+        monkeypatch.setattr(SP, name, None)
+    monkeypatch.setattr(SB, "COMMON_BYTES", 1 << 18)
+    fit = SP.fit_sparse_kmeans(matrix, 4, n_init=5)
+    monkeypatch.undo()
+    found = fit.transform(matrix).groupBy("cluster").agg(F.collect_set("zone").alias("z"), F.count("*").alias("n")).collect()
+    assert len(found) == 4 and all(len(r["z"]) == 1 and r["n"] == 7500 for r in found)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
