@@ -221,58 +221,90 @@ def _widened(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([v, np.ones((len(v), 1))], axis=1), (v * v).sum(axis=1)
 
 
-def _slabs(wide: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _slabs(wide: np.ndarray, centres: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Squared distances less the rows' squared lengths, k x models x rows: one product of widened rows and centres."""
     m, k, d = centres.shape
     flat = centres.transpose(1, 0, 2).reshape(k * m, d)
-    return (np.concatenate([-2 * flat, (flat * flat).sum(axis=1)[:, None]], axis=1) @ wide.T).reshape(k, m, len(wide))
+    points = np.concatenate([-2 * flat, (flat * flat).sum(axis=1)[:, None]], axis=1)
+    return np.matmul(points, wide.T, out=None if out is None else out.reshape(k * m, len(wide))).reshape(k, m, len(wide))
+
+
+class _Room:
+    """Arrays that tiles fill one after the other, so that a tile takes no new memory."""
+
+    def __init__(self) -> None:
+        self.flat: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: type) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.flat or len(self.flat[name]) < size:
+            self.flat[name] = np.empty(size, kind)
+        return self.flat[name][:size].reshape(shape)
 
 
 def _seed_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
-    """Of every model one row, drawn in proportion to its squared distance from the centres so far."""
+    """Of every model one row, drawn in proportion to its squared distance from the centres so far.
+
+    The draw of a row and a model is the same in every group, so it is made once.
+    """
     groups, shapes, bits, seed, step = state
     names = _row_hash(x)
-    for group, shape, out in zip(groups, shapes, results):
-        m, r, d = group.centres.shape
-        v = np.ascontiguousarray(x[:, group.columns])
-        wide, square = _widened(v)
-        salt = _mixed(np.arange(m, dtype=np.uint64) + np.uint64((seed * 1000 + step) % (1 << 40)) * np.uint64(1 << 20))
-        for rows, models in _tiles(len(v), m, max(r, 1)):
-            u = (_mixed(names[rows] ^ salt[models, None]) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0 ** -54
-            weight = np.ones(u.shape)
-            if r:
-                weight = np.maximum(_slabs(wide[rows], group.centres[models]).min(axis=0) + square[rows], 0)
+    views = [(v, *_widened(v)) for v in (np.ascontiguousarray(x[:, g.columns]) for g in groups)]
+    most = max((len(g.centres) for g in groups), default=0)
+    salt = _mixed(np.arange(most, dtype=np.uint64) + np.uint64((seed * 1000 + step) % (1 << 40)) * np.uint64(1 << 20))
+    r = max((g.centres.shape[1] for g in groups), default=0)
+    for rows, models in _tiles(len(x), most, max(r, 1)):
+        u = (_mixed(names[rows] ^ salt[models, None]) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0 ** -54
+        late = np.maximum(-np.log(u), 2.0 ** -54)
+        for group, shape, out, (v, wide, square) in zip(groups, shapes, results, views):
+            centres = group.centres[models]
+            time = late[:len(centres)]
+            weight = 1.0
+            if centres.shape[1]:
+                weight = np.maximum(_slabs(wide[rows], centres).min(axis=0) + square[rows], 0)
             # The largest log(weight) - log(-log(u)); rows that are centres already stay behind all others, but may
             # be taken if there are no others.
-            keys = weight / np.maximum(-np.log(u), 2.0 ** -54)
+            keys = weight / time
             own = _held(x[rows], bits, group.runs[models])
-            shape.offer(out, keys if own is None else np.where(own, keys, -np.inf), v[rows], models)
+            shape.offer(out, keys if own is None else np.where(own, keys, -np.inf), v[rows], slice(models.start, models.start + len(centres)))
 
 
 def _lloyd_work(x: np.ndarray, state: tuple, results: list[np.ndarray]) -> None:
     """Per model and label the rows and their sum; per model the cost and the farthest row."""
     groups, shapes, bits = state
+    room, columns = _Room(), None
     for group, shape, out in zip(groups, shapes, results):
         m, k, d = group.centres.shape
         sums, counts = out[:m * k * d].reshape(m, k, d), out[m * k * d:m * k * (d + 1)].reshape(m, k)
         cost = out[m * k * (d + 1):shape.sums]
-        v = np.ascontiguousarray(x[:, group.columns])
-        wide, square = _widened(v)
+        if columns is None or not np.array_equal(columns, group.columns):  # groups of one matrix stand together
+            columns = group.columns
+            v = np.ascontiguousarray(x[:, columns])
+            wide, square = _widened(v)
         for rows, models in _tiles(len(v), m, k):
             part = wide[rows]
-            gap = _slabs(part, group.centres[models])
-            near = gap[0]
+            size = (len(group.runs[models]), len(part))
+            gap = _slabs(part, group.centres[models], room("gap", (k, *size), float))
+            near, hits, marks = room("near", size, float), room("hits", (k, *size), bool), room("marks", size, float)
+            near[:] = gap[0]
             for g in gap[1:]:
-                near = np.minimum(near, g)
+                np.minimum(near, g, out=near)
             own = _held(x[rows], bits, group.runs[models])
-            left = np.ones(near.shape, bool) if own is None else own.copy()
-            for label, g in enumerate(gap):
-                mark = (g == near) & left  # of equally near centres the first
-                left ^= mark
-                total = mark.astype(float) @ part
+            np.equal(gap, near, out=hits)
+            if own is not None:
+                hits &= own
+            if np.count_nonzero(hits) > (near.size if own is None else np.count_nonzero(own)):
+                left = np.ones(size, bool)
+                for hit in hits:  # of equally near centres the first
+                    hit &= left
+                    left ^= hit
+            for label, hit in enumerate(hits):
+                marks[:] = hit
+                total = marks @ part
                 sums[models, label] += total[:, :-1]
                 counts[models, label] += total[:, -1]
-            near = np.maximum(near + square[rows], 0)
+            near += square[rows]
+            np.maximum(near, 0, out=near)
             if own is not None:
                 near *= own
             cost[models] += near.sum(axis=1)

@@ -193,3 +193,41 @@ def test_a_pass_works_in_tiles_of_a_cache():
         assert np.allclose(sums[i], [mine[label == j].sum(axis=0) for j in range(k)])
         assert np.isclose(cost[i], gap.min(axis=1).sum())
         assert np.allclose(far[i], mine[gap.min(axis=1).argmax()])
+
+
+def test_groups_of_one_matrix_share_their_rows_and_draws(monkeypatch):
+    """Rows are taken out and draws made once for all groups, with the results of a group alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6))
+    x[1500:] = x[:1500]  # equal rows, and below centres that are equally near
+    bits, views, runs = np.zeros(0, np.int64), [np.arange(4), np.array([5, 2])], np.full(7, -1)
+    centres = {(i, k): x[rng.integers(0, 1500, (7, k))][:, :, v] for i, v in enumerate(views) for k in (2, 3, 5)}
+    for c in centres.values():
+        c[:, 1] = c[:, 0]
+    groups = [L.Group(views[i], c, runs) for (i, _), c in centres.items()]
+    calls = {"_widened": 0, "_mixed": 0}
+    for name in calls:
+        def counted(*args, name=name, whole=getattr(L, name)):
+            calls[name] += 1
+            return whole(*args)
+        monkeypatch.setattr(L, name, counted)
+
+    def run(work, groups, shapes, *more):
+        out = [s.empty() for s in shapes]
+        before = dict(calls)
+        work(x, (groups, shapes, bits, *more), out)
+        return out, {k: calls[k] - before[k] for k in calls}
+
+    shapes = [L._Shape(g.centres.size + g.centres[:, :, 0].size + 7, 7, len(g.columns)) for g in groups]
+    together, used = run(L._lloyd_work, groups, shapes)
+    assert used["_widened"] == 2
+    for g, shape, got in zip(groups, shapes, together):
+        assert (run(L._lloyd_work, [g], [shape])[0][0] == got).all()
+        label = ((x[:, g.columns][:, None, None] - g.centres) ** 2).sum(3).argmin(2)
+        counts = got[g.centres.size:g.centres.size + 7 * g.centres.shape[1]].reshape(7, -1)
+        assert (counts[:, 1] == 0).all() and (counts == [np.bincount(a, minlength=g.centres.shape[1]) for a in label.T]).all()
+    shapes = [L._Shape(0, 7, len(g.columns)) for g in groups]
+    together, used = run(L._seed_work, groups, shapes, 3, 2)
+    assert used["_mixed"] <= x.shape[1] + 1 + 3  # the rows' names, the models' salt, and a draw for each tile
+    for g, shape, got in zip(groups, shapes, together):
+        assert (run(L._seed_work, [g], [shape], 3, 2)[0][0] == got).all()
